@@ -47,6 +47,9 @@ def busy_keys(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame:
 
 
 def mark_busy(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame:
+    """Add ``_hot``; a table that has it already keeps it, so that keys are counted once per plan."""
+    if HOT in df.columns:
+        return df
     hot = F.broadcast(busy_keys(df, by, hot_rows))
     joined = df.join(hot, same_keys(df, hot, by, "_h_"), "left")
     return joined.select(*[df[c] for c in df.columns],
@@ -100,7 +103,7 @@ def with_edge_rows(cut_df: DataFrame, by: Sequence[str], order: Sequence[str],
                    before: int = 0, after: int = 0) -> DataFrame:
     """Add copies (``_own`` = false) of the ``before``/``after`` rows next to each busy slice."""
     columns = [c for c in cut_df.columns if c not in (SLICE, HOT)]
-    keep = [*[F.col(c) for c in columns], F.col(SLICE)]
+    keep = [*[F.col(c) for c in columns], F.col(SLICE), F.col(HOT)]
     result = cut_df.select(*keep, F.lit(True).alias("_own"))
     row = F.struct(*[F.col(c).alias(c) for c in columns])
     for count, step in ((before, -1), (after, 1)):
@@ -121,7 +124,7 @@ def with_edge_rows(cut_df: DataFrame, by: Sequence[str], order: Sequence[str],
                     .select(SLICE, F.explode(F.slice(F.flatten("_edges"), 1, count)).alias("_e")))
         result = result.unionByName(
             borrowed.select(*[F.col("_e._row." + c).alias(c) for c in columns],
-                            F.col(SLICE), F.lit(False).alias("_own")))
+                            F.col(SLICE), F.lit(True).alias(HOT), F.lit(False).alias("_own")))
     return result
 
 
@@ -129,6 +132,8 @@ def with_time_halo(df: DataFrame, by: Sequence[str], ts: str, width: str, reach:
                    backward: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Give each busy slice the rows within ``reach`` before (or after) it, ``_own`` = false.
 
+    Adds ``_hot``, ``_slice`` and ``_own``.
+
     ``backward`` = true serves frames that look back in time, false those that look ahead.
     """
     step, span = durations.micros(width), durations.micros(reach)
@@ -144,4 +149,4 @@ def with_time_halo(df: DataFrame, by: Sequence[str], ts: str, width: str, reach:
                                                 slices.cast("array<bigint>"))
                                          .otherwise(F.array(F.col("_home")))))
             .withColumn("_own", F.col(SLICE).eqNullSafe(F.col("_home")))
-            .drop("_home", HOT))
+            .drop("_home"))

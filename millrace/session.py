@@ -70,4 +70,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

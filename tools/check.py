@@ -75,7 +75,7 @@ def main():
     from queries.all import ORACLE, QUERIES
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = session.get_session("check", "local[8]", **{"spark__sql__shuffle__partitions": 8,
-                                                        "spark__ui__enabled": "false",
+                                                        "spark__ui__enabled": "false", "spark__ui__showConsoleProgress": "false",
                                                         "spark__driver__memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
