@@ -98,9 +98,12 @@ def shift(df: DataFrame, by: Sequence[str], order: Sequence[str],
 def rows_frame(df: DataFrame, by: Sequence[str], order: Sequence[str], before: int, after: int,
                aggregates: dict[str, Column], slice_width: Slice = "1 hour",
                hot_rows: int = sl.HOT_ROWS) -> DataFrame:
-    """Aggregates over ``ROWS BETWEEN before PRECEDING AND after FOLLOWING``."""
+    """Aggregates over ``ROWS BETWEEN before PRECEDING AND after FOLLOWING``.
+
+    A negative ``after`` ends the frame before the current row.
+    """
     c = sl.cut(df, by, order, slice_width, hot_rows)
-    full = sl.with_edge_rows(c, by, order, before, after)
+    full = sl.with_edge_rows(c, by, order, before, max(after, 0))
     w = (Window.partitionBy(*by, sl.SLICE).orderBy(*sl.order_columns(order))
          .rowsBetween(-before, after))
     added = {n: a.over(w) for n, a in aggregates.items()}
