@@ -16,7 +16,7 @@ def band_from(c: Column, bands, default: str) -> Column:
     """First band whose lower bound is reached."""
     chain = None
     for bound, label in bands:
-        chain = (chain or F).when(c >= bound, F.lit(label))
+        chain = (F if chain is None else chain).when(c >= bound, F.lit(label))
     return chain.otherwise(F.lit(default))
 
 
@@ -24,7 +24,7 @@ def band_below(c: Column, bands, default: str) -> Column:
     """First band whose upper bound is not reached."""
     chain = None
     for bound, label in bands:
-        chain = (chain or F).when(c < bound, F.lit(label))
+        chain = (F if chain is None else chain).when(c < bound, F.lit(label))
     return chain.otherwise(F.lit(default))
 
 
@@ -43,7 +43,7 @@ def velocity_flag(latency_ms: Column) -> Column:
 def sla_tier(latency_ms: Column, score: Column) -> Column:
     chain = None
     for latency, risk, label in SLA_BANDS:
-        chain = (chain or F).when((latency_ms < latency) & (score < risk), F.lit(label))
+        chain = (F if chain is None else chain).when((latency_ms < latency) & (score < risk), F.lit(label))
     return chain.otherwise(F.lit("BREACHED"))
 
 

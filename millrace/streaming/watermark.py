@@ -21,9 +21,8 @@ def assign(df: DataFrame, ts: str, delay: str = "5 seconds", strategy: str = "bo
     return df.withWatermark(ts, "0 seconds" if strategy.startswith("ascending") else delay)
 
 
-METRICS = T.StructType.fromDDL(
-    "query STRING, operator STRING, ts TIMESTAMP, rows_in DOUBLE, rows_per_s DOUBLE, batch_ms BIGINT, watermark TIMESTAMP,"
-    " late BIGINT, state_rows BIGINT, checkpoint_ms BIGINT")
+METRICS = ("query STRING, operator STRING, ts TIMESTAMP, rows_in DOUBLE, rows_per_s DOUBLE, batch_ms BIGINT,"
+           " watermark TIMESTAMP, late BIGINT, state_rows BIGINT, checkpoint_ms BIGINT")
 
 
 def progress_rows(progress) -> list[tuple]:
