@@ -168,8 +168,8 @@ def order_summary(orders: DataFrame, size: str, by=("symbol", "side")) -> DataFr
     return windows.tumble(orders, "ts", size, list(by), {
         "total_orders": F.count("*"), "filled_count": F.count_if(status == "FILLED"),
         "partial_count": F.count_if(status == "PARTIALLY_FILLED"), "new_count": F.count_if(status == "NEW"),
-        "total_value": F.round(F.sum("value"), 4), "avg_price": F.round(F.avg("price"), 6),
-        "min_price": F.round(F.min("price"), 6), "max_price": F.round(F.max("price"), 6)})
+        "total_value": F.round(F.sum("value"), 4), "avg_price": F.round(F.avg("price"), 9),
+        "min_price": F.round(F.min("price"), 9), "max_price": F.round(F.max("price"), 9)})
 
 
 def slippage_bps(paid: Column, limit: Column, digits: int = 4) -> Column:
@@ -218,7 +218,7 @@ def trade_alerts(enriched: DataFrame, minimum: float = 100000) -> DataFrame:
 
 def trade_summary(enriched: DataFrame, size: str, by=("symbol", "side"), high: float = 10000) -> DataFrame:
     return windows.tumble(enriched, "ts", size, list(by), {
-        "trade_count": F.count("*"), "volume": F.round(F.sum("quantity"), 4), "total_value": F.round(F.sum("trade_value"), 2),
+        "trade_count": F.count("*"), "volume": F.round(F.sum("quantity"), 4), "total_value": F.round(F.sum("trade_value"), 4),
         "max_value": F.max("trade_value"), "high_risk_count": F.count_if(F.col("trade_value") >= high)})
 
 
@@ -309,11 +309,11 @@ def pit_signals(cars: DataFrame, gap: str) -> DataFrame:
         .when(F.avg("fuel") < 15, "FUEL_CRITICAL").otherwise("CONTINUE")})
 
 
-def proxy_score(notional: Column) -> Column:
+def proxy_score(notional: Column, digits: int = 2) -> Column:
     """Risk score 0..100 that rises within each notional tier."""
     return F.round(F.when(notional >= 500000, 95.0).when(notional >= 100000, 80.0 + (notional - 100000) / 400000 * 15.0)
                    .when(notional >= 10000, 50.0 + (notional - 10000) / 90000 * 30.0)
-                   .when(notional >= 1000, 20.0 + (notional - 1000) / 9000 * 30.0).otherwise(notional / 1000 * 20.0), 4)
+                   .when(notional >= 1000, 20.0 + (notional - 1000) / 9000 * 30.0).otherwise(notional / 1000 * 20.0), digits)
 
 
 def volume_spikes(trades: DataFrame, size: str, count: int, notional: float) -> DataFrame:
