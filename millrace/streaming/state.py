@@ -33,7 +33,7 @@ class _InOrder(StatefulProcessor):
         self.carry = handle.getValueState("carry", "text STRING", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [(int(us), int(side), body) for pdf in rows for us, side, body in zip(pdf["_us"], pdf["_side"], pdf["_body"])]
+        new = [(int(us), int(side), body) for pdf in rows for us, side, body in zip(pdf["us_"], pdf["side_"], pdf["body_"])]
         if new:
             self.waiting.appendList(new)
             # a row may go once the watermark has passed its millisecond
@@ -57,23 +57,23 @@ class _InOrder(StatefulProcessor):
             self.carry.update((json.dumps(state),))
         if not out:
             return iter([])
-        frame = pd.DataFrame(out, columns=["_a", "_b", "_tag"]).astype(object)
+        frame = pd.DataFrame(out, columns=["a_", "b_", "tag_"]).astype(object)
         for k, v in zip(self.keys, key):
             frame[k] = v
-        return iter([frame[[*self.keys, "_a", "_b", "_tag"]]])
+        return iter([frame[[*self.keys, "a_", "b_", "tag_"]]])
 
     def close(self) -> None:
         pass
 
 
 def _packed(df: DataFrame, by: Sequence[str], ts: str, side: int) -> DataFrame:
-    return df.select(*by, F.col(ts).alias("_t"), durations.since_epoch(ts).alias("_us"), F.lit(side).alias("_side"),
-                     F.to_json(F.struct(*df.columns), _JSON).alias("_body"))
+    return df.select(*by, F.col(ts).alias("t_"), durations.since_epoch(ts).alias("us_"), F.lit(side).alias("side_"),
+                     F.to_json(F.struct(*df.columns), _JSON).alias("body_"))
 
 
 def in_order(df: DataFrame, by: Sequence[str], step: Step, ttl: str | None = None) -> DataFrame:
-    """Run a step over packed rows per key: columns by, _a, _b, _tag."""
-    out = T.StructType([df.schema[k] for k in by] + [T.StructField(c, T.StringType()) for c in ("_a", "_b", "_tag")])
+    """Run a step over packed rows per key: columns by, a_, b_, tag_ (Spark renames input columns that start with an underscore)."""
+    out = T.StructType([df.schema[k] for k in by] + [T.StructField(c, T.StringType()) for c in ("a_", "b_", "tag_")])
     ttl_ms = durations.micros(ttl) // 1000 if ttl else None
     return df.groupBy(*by).transformWithStateInPandas(_InOrder(by, step, ttl_ms), out, "append", "EventTime")
 
@@ -89,7 +89,7 @@ def dedup(df: DataFrame, by: Sequence[str], ts: str, ttl: str | None = None) ->
         return True, ([] if seen else [(rows[0][2], None, "")])
 
     out = in_order(_packed(df, by, ts, 0), by, step, ttl)
-    return out.select(*_body("_a", df, df.columns))
+    return out.select(*_body("a_", df, df.columns))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
@@ -108,7 +108,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
 
     packed = _packed(right, by, right_ts, 0).union(_packed(left, by, left_ts, 1))
     out = in_order(packed, by, step, ttl)
-    return out.select(*_body("_a", left, left.columns), *_body("_b", right, versions))
+    return out.select(*_body("a_", left, left.columns), *_body("b_", right, versions))
 
 
 def lag(df: DataFrame, by: Sequence[str], ts: str, columns: dict[str, tuple[str, int]]) -> DataFrame:
@@ -126,7 +126,7 @@ def lag(df: DataFrame, by: Sequence[str], ts: str, columns: dict[str, tuple[str,
 
     out = in_order(_packed(df, by, ts, 0), by, step)
     added = T.StructType([T.StructField(a, df.schema[c].dataType) for a, (c, _) in columns.items()])
-    return out.select(*_body("_a", df, df.columns), *[F.from_json("_b", added, _JSON)[a].alias(a) for a in columns])
+    return out.select(*_body("a_", df, df.columns), *[F.from_json("b_", added, _JSON)[a].alias(a) for a in columns])
 
 
 def range_sum(df: DataFrame, by: Sequence[str], ts: str, value: str, reach: str, alias: str) -> DataFrame:
@@ -144,7 +144,7 @@ def range_sum(df: DataFrame, by: Sequence[str], ts: str, value: str, reach: str,
 
     out = in_order(_packed(df, by, ts, 0), by, step)
     added = T.StructType([T.StructField(alias, T.DoubleType())])
-    return out.select(*_body("_a", df, df.columns), F.from_json("_b", added)[alias].alias(alias))
+    return out.select(*_body("a_", df, df.columns), F.from_json("b_", added)[alias].alias(alias))
 
 
 def changelog(df: DataFrame, by: Sequence[str], ts: str, kind: str = "row_kind", mode: str = "retract") -> DataFrame:
@@ -173,7 +173,7 @@ def changelog(df: DataFrame, by: Sequence[str], ts: str, kind: str = "row_kind",
         return now, out
 
     out = in_order(_packed(df, by, ts, 0), by, step)
-    return out.select(*_body("_a", df, [c for c in df.columns if c != kind]), F.col("_tag").alias(kind))
+    return out.select(*_body("a_", df, [c for c in df.columns if c != kind]), F.col("tag_").alias(kind))
 
 
 def top_n(df: DataFrame, by: Sequence[str], ts: str, order: str, n: int) -> DataFrame:
@@ -196,7 +196,7 @@ def top_n(df: DataFrame, by: Sequence[str], ts: str, order: str, n: int) -> Data
         return top, out
 
     out = in_order(_packed(df, by, ts, 0), by, step)
-    return out.select(*_body("_a", df, df.columns), F.col("_tag").alias("row_kind"))
+    return out.select(*_body("a_", df, df.columns), F.col("tag_").alias("row_kind"))
 
 
 def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, define: dict[str, str], within: str,
@@ -222,9 +222,9 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
             i += len(path) if path and skip == "past" else 1
         return held[i:], out
 
-    packed = df.select(*by, F.col(ts).alias("_t"), durations.since_epoch(ts).alias("_us"), F.lit(0).alias("_side"),
-                       mask.cast("string").alias("_body"))
+    packed = df.select(*by, F.col(ts).alias("t_"), durations.since_epoch(ts).alias("us_"), F.lit(0).alias("side_"),
+                       mask.cast("string").alias("body_"))
     out = in_order(packed, by, step)
-    return out.select(*by, F.timestamp_micros(F.col("_a").cast("long")).alias("match_start"),
-                      F.timestamp_micros(F.col("_b").cast("long")).alias("match_end"),
-                      F.col("_tag").cast("long").alias("match_rows"))
+    return out.select(*by, F.timestamp_micros(F.col("a_").cast("long")).alias("match_start"),
+                      F.timestamp_micros(F.col("b_").cast("long")).alias("match_end"),
+                      F.col("tag_").cast("long").alias("match_rows"))
