@@ -84,3 +84,10 @@ def fmt_duration(seconds: str | Column) -> Column:
     s = _col(seconds).cast("long")
     hours, minutes = F.floor(s / 3600), F.floor(s % 3600 / 60)
     return F.concat(hours.cast("string"), F.lit("h "), minutes.cast("string"), F.lit("m"))
+
+
+def logarithm(c: str | Column, base: float | None = None) -> Column:
+    """Natural or other logarithm with -Infinity at 0 and NaN below, where Spark's own gives NULL."""
+    v = _col(c).cast("double")
+    value = F.ln(v) if base is None else F.log(float(base), v)
+    return (F.when(v == 0, F.lit(float("-inf"))).when(v < 0, F.lit(float("nan"))).otherwise(value))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from millrace.functions.scalar import logarithm
 from millrace.operators import joins, over, windows
 
 KINDS = ("passthrough", "cast", "math", "coalesce", "ifnull", "upper", "lower", "trim", "substring", "round", "abs",
@@ -32,7 +33,7 @@ def feature_column(column: str, kind: str = "passthrough", param: str = "", alia
     elif kind == "round":
         out = F.round(c, int(param or 2))
     elif kind == "log":
-        out = F.ln(c)
+        out = logarithm(c)
     elif kind == "hash_encode":
         out = F.md5(c.cast("string"))
     elif kind == "date_format":

@@ -66,14 +66,23 @@ def match_sequence(df: DataFrame, by: Sequence[str], ts: str, steps: Sequence[st
     placed = rank_over(marked, by, [ts, *tie], {"_at": "row_number"}, slice_width, hot_rows)
     starts = sequence_starts(placed, by, ts, steps, define, within, ["_at"], slice_width, hot_rows)
     spans = starts.withColumn("_resume", F.col("_at") + len(steps))
-    chosen = choose_matches(spans, spans.where(sl.HOT), by)
+    picked = choose_matches(spans, spans.where(sl.HOT), by)
+    picked = picked.select(*[F.col(c).alias("_c_" + c) for c in picked.columns])
+    chosen = spans.join(picked, sl.same_keys(spans, picked, (*by, "_at"), "_c_"), "left_semi")
     data = [F.struct(*[F.col(f"m_{s}.{c}").alias(c) for c in df.columns]).alias(f"m_{s}") for s in steps]
     return chosen.select(*df.columns, *data)
 
 
-def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str]) -> DataFrame:
+def python_partitions(df: DataFrame) -> int:
+    """Partitions of a Python stage; stated, as AQE would merge them by bytes although Python work is by row."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Keep matches greedily in row order: after each one, the next start at or past ``_resume``.
 
+    Returns the keys, ``_at`` and the columns ``keep`` of the chosen rows.
+
     ``spans`` has ``_at``, ``_resume`` (row numbers per key) and ``_slice``; ``busy`` is its part for busy keys.
     There, the first row allowed after a slice is a step function of the first row allowed in it. These
     functions are short, because most entries lead to the same exit; they are composed along each busy
@@ -116,33 +125,31 @@ def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str]) -> Data
         out = pdf[[*by, sl.SLICE]].rename(columns=lambda c: "_e_" + c)
         return out.assign(_entry=entries)
 
-    narrow = spans.select(*by, sl.SLICE, "_at", "_resume")
+    narrow = spans.select(*by, sl.SLICE, "_at", "_resume", *keep)
     functions = (busy.select(*by, sl.SLICE, "_at", "_resume").groupBy(*by, sl.SLICE)
                  .applyInPandas(exits, step_function))
     entries = functions.groupBy(*by).applyInPandas(compose, entry_type)
     entered = narrow.join(entries, sl.same_keys(narrow, entries, (*by, sl.SLICE), "_e_"), "left").select(
         *[narrow[c] for c in narrow.columns], F.coalesce("_entry", F.lit(0).cast("long")).alias("_entry"))
 
-    picked = T.StructType([T.StructField("_c_" + f.name, f.dataType) for f in keys.fields]
-                          + [T.StructField("_c__at", T.LongType())])
+    out = [*by, "_at", *keep]
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, allowed = None, 0
         for pdf in batches:
-            keep = []
+            chosen = []
             rows = zip(zip(*[pdf[c] for c in (*by, sl.SLICE)]), pdf["_at"], pdf["_resume"], pdf["_entry"])
             for here, at, go, entry in rows:
                 if not _same(here, group):
                     group, allowed = here, entry
-                keep.append(at >= allowed)
+                chosen.append(at >= allowed)
                 if at >= allowed:
                     allowed = go
-            yield pdf[keep][[*by, "_at"]].rename(columns=lambda c: "_c_" + c)
+            yield pdf[chosen][out]
 
     # sorted rows stream through the task, so a slice is never held in memory
-    chosen = (entered.repartition(*by, sl.SLICE).sortWithinPartitions(*by, sl.SLICE, "_at")
-              .mapInPandas(choose, picked))
-    return spans.join(chosen, sl.same_keys(spans, chosen, (*by, "_at"), "_c_"), "left_semi")
+    return (entered.repartition(python_partitions(spans), *by, sl.SLICE).sortWithinPartitions(*by, sl.SLICE, "_at")
+            .mapInPandas(choose, T.StructType([spans.schema[c] for c in out])))
 
 
 def _same(a, b) -> bool:
@@ -298,6 +305,8 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
     if skip not in SKIPS:
         raise ValueError(f"skip must be one of {SKIPS}")
     p, navigate, carry = Pattern(pattern), navigate or {}, list(carry)
+    if len(p.variables) > 26:
+        raise ValueError("more than 26 pattern variables")
     unknown = ({*define, *navigate} | ({skip_to} if skip in ("first", "last") else set())) - set(p.variables)
     if unknown:
         raise ValueError(f"not in the pattern: {unknown}")
@@ -318,17 +327,14 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
     halo = sl.with_time_halo(marked, by, "_ts", slice_width, within, backward=False, hot_rows=hot_rows)
 
     limit, keys = durations.micros(within), list(by)
+    letters = {v: chr(ord("a") + i) for i, v in enumerate(p.variables)}
     found_type = T.StructType([df.schema[k] for k in by] + [
-        T.StructField(sl.SLICE, T.LongType()), T.StructField("_ts", df.schema[ts].dataType),
-        T.StructField("_at", T.LongType()), T.StructField("_path", T.ArrayType(T.StringType())),
-        T.StructField("_resume", T.LongType())])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        at, us, own, masks = (pdf[c].to_numpy() for c in ("_at", "_us", "_own", "_m"))
-        ends = us.searchsorted(us + limit)
-        columns = {c: pdf[c].to_list() for c in carry}
+        T.StructField(sl.SLICE, T.LongType()), T.StructField("_at", T.LongType()),
+        T.StructField("_path", T.StringType()), T.StructField("_resume", T.LongType())])
+    names = [f.name for f in found_type.fields]
 
+    def matches_in(at, us, own, masks, columns) -> Iterator[tuple[int, str, int]]:
+        """Matches of one slice: first row number, letters, row number to resume at."""
         def fits(v: str, row: int, taken) -> bool:
             if not masks[row] & bits[v]:
                 return False
@@ -345,39 +351,65 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
             return bool(navigate[v](lambda c: columns[c][row], lambda w, c: bound(w, c, False),
                                     lambda w, c: bound(w, c, True)))
 
-        picked, paths, resume = [], [], []
-        for i in own.nonzero()[0]:
-            path = p.match(fits, int(i), int(ends[i]), not navigate)
+        end = 0
+        for i in range(len(at)):
+            while end < len(us) and us[end] < us[i] + limit:
+                end += 1
+            path = p.match(fits, i, end, not navigate) if own[i] else None
             if not path:  # an empty match is no match
                 continue
             if skip == "past":
                 step = len(path)
             elif skip == "next":
                 step = 1
+            elif skip_to not in path:
+                step = len(path)
             else:
-                order = path if skip == "first" else path[::-1]
-                step = order.index(skip_to) if skip_to in path else len(path)
-                step = len(path) - 1 - step if skip == "last" and skip_to in path else step
-                step = max(step, 1)  # a target at the start must still advance
-            picked.append(i)
-            paths.append(path)
-            resume.append(int(at[i]) + step)
-        out = pdf.iloc[picked][[*keys, sl.SLICE, "_ts", "_at"]]
-        return out.assign(_path=pd.Series(paths, out.index, dtype=object),
-                          _resume=pd.Series(resume, out.index, dtype="int64"))
+                place = path.index(skip_to) if skip == "first" else len(path) - 1 - path[::-1].index(skip_to)
+                step = max(place, 1)  # a target at the start must still advance
+            yield at[i], "".join(letters[v] for v in path), at[i] + step
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches sorted by key, slice and row; one slice at a time is in memory."""
+        group, held = None, None
+
+        def finished():
+            rows = matches_in(*(held[c] for c in ("_at", "_us", "_own", "_m")), held)
+            return [(*group, *r) for r in rows]
+
+        for pdf in batches:
+            found, values = [], {c: pdf[c].to_list() for c in pdf.columns}
+            groups = list(zip(*[values[c] for c in (*keys, sl.SLICE)]))
+            start = 0
+            for i in range(1, len(groups) + 1):
+                if i < len(groups) and _same(groups[i], groups[start]):
+                    continue
+                if not _same(groups[start], group):
+                    if held:
+                        found += finished()
+                    group, held = groups[start], {c: [] for c in values}
+                for c, v in values.items():
+                    held[c] += v[start:i]
+                start = i
+            yield pd.DataFrame(found, columns=names).astype(object)
+        if held:
+            yield pd.DataFrame(finished(), columns=names).astype(object)
 
     def matches_of(part: DataFrame) -> DataFrame:
-        return part.groupBy(*by, sl.SLICE).applyInPandas(walk, found_type)
+        rows = part.select(*by, *[c for c in carry if c not in by], sl.SLICE, "_own", "_us", "_at", "_m")
+        return (rows.repartition(python_partitions(df), *by, sl.SLICE).sortWithinPartitions(*by, sl.SLICE, "_at")
+                .mapInPandas(walk, found_type))
 
     matches = matches_of(halo)
     if skip != "next":
-        matches = choose_matches(matches, matches_of(halo.where(sl.HOT)), by)
+        matches = choose_matches(matches, matches_of(halo.where(sl.HOT)), by, ["_path"])
     # back to the rows: a match covers contiguous row numbers of its key
     steps = matches.select(*[F.col(k).alias("_s_" + k) for k in by], F.col("_at").alias("match_id"),
-                           F.posexplode("_path").alias("_i", "variable"))
+                           F.posexplode(F.split("_path", "(?<=.)(?=.)")).alias("_i", "_letter"))
     steps = steps.withColumn("_s__at", F.col("match_id") + F.col("_i"))
+    variable = F.create_map(*[F.lit(x) for v, letter in letters.items() for x in (letter, v)])[F.col("_letter")]
     detail = placed.join(steps, sl.same_keys(placed, steps, (*by, "_at"), "_s_")).select(
-        *[placed[c] for c in df.columns], placed["_at"], "match_id", "variable")
+        *[placed[c] for c in df.columns], placed["_at"], "match_id", variable.alias("variable"))
     if rows == "all":
         return detail.drop("_at")
     body = F.struct(*[F.col(c).alias(c) for c in df.columns if c not in by])

@@ -31,23 +31,36 @@ class _InOrder(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us BIGINT, side INT, body STRING")
         self.carry = handle.getValueState("carry", "text STRING", self.ttl_ms)
+        self.timer = handle.getValueState("timer", "ms BIGINT")
 
     def handleInputRows(self, key, rows, timerValues):
         new = [(int(us), int(side), body) for pdf in rows for us, side, body in zip(pdf["us_"], pdf["side_"], pdf["body_"])]
         if new:
             self.waiting.appendList(new)
-            # a row may go once the watermark has passed its millisecond
-            for ms in {-(-us // 1000) for us, _, _ in new}:
-                self.handle.registerTimer(ms)
+            self._wake(min(us for us, _, _ in new))
         return iter([])
 
+    def _wake(self, us: int) -> None:
+        """One timer per key, for its earliest row: that goes once the watermark has passed its millisecond."""
+        ms = -(-us // 1000)
+        if self.timer.exists():
+            now = self.timer.get()[0]
+            if now <= ms:
+                return
+            self.handle.deleteTimer(now)
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = list(self.waiting.get())
         ready = sorted((r for r in rows if r[0] <= passed), key=lambda r: (r[0], r[1]))
+        left = [r for r in rows if r[0] > passed]
+        self.timer.clear()
+        if left:
+            self._wake(min(r[0] for r in left))
         if not ready:
             return iter([])
-        left = [r for r in rows if r[0] > passed]
         self.waiting.put(left) if left else self.waiting.clear()
         state = json.loads(self.carry.get()[0]) if self.carry.exists() else None
         state, out = self.step(state, [tuple(r) for r in ready])

@@ -57,9 +57,9 @@ def wash_trades(events, **kw):
     return P.match_sequence(events.select(*EV), ["user_id"], "ts", ["A", "B", "C"], {
         "A": lambda s: s["A"]("event_type") == "purchase",
         "B": lambda s: (s["B"]("event_type") != "purchase")
-        & (F.abs(s["A"]("value") - s["B"]("value")) / s["A"]("value") < 0.5),
+        & (F.try_divide(F.abs(s["A"]("value") - s["B"]("value")), s["A"]("value")) < 0.5),
         "C": lambda s: (s["C"]("event_type") == "purchase")
-        & (F.abs(s["B"]("value") - s["C"]("value")) / s["B"]("value") < 0.5)}, "48 hours", **kw)
+        & (F.try_divide(F.abs(s["B"]("value") - s["C"]("value")), s["B"]("value")) < 0.5)}, "48 hours", **kw)
 
 
 @query("cep_wash", greedy_sql(WASH, "m.k AS user_id, event_id AS buy1, id2 AS other, id3 AS buy2, value AS v1, v3"))

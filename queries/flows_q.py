@@ -144,7 +144,7 @@ ORDERS = ORDER.replace("{lineitem}", "lineitem").replace("{orders}", "orders")
 
 @query("flow_orders", f"""WITH x AS ({ORDERS}) SELECT {bucket('7 DAY')}, side, o_orderpriority, count(*) AS total_orders,
  count(*) FILTER (WHERE status = 'FILLED') AS filled_count, count(*) FILTER (WHERE status = 'PARTIALLY_FILLED') AS partial_count,
- count(*) FILTER (WHERE status = 'NEW') AS new_count, round(sum(value), 4) AS total_value, round(avg(price), 9) AS avg_price,
+ count(*) FILTER (WHERE status = 'NEW') AS new_count, round(sum(value), 4) AS total_value, round(avg(price), 7) AS avg_price,
  round(min(price), 9) AS min_price, round(max(price), 9) AS max_price FROM x GROUP BY 1, 2, 3, 4""")
 def flow_orders(t):
     return P.order_summary(t.sql(ORDER, "lineitem", "orders"), "7 days", ("side", "o_orderpriority"))
