@@ -108,14 +108,12 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
         *keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"),
         F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), version.alias("_v"))
     c = sl.cut(l.unionByName(r), by, ["_t", "_side"], slice_width, hot_rows)
-    w = (Window.partitionBy(*by, sl.SLICE).orderBy("_t", "_side", "_v")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    merged = c.withColumn("_here", F.last("_v", ignorenulls=True).over(w))
-    carried = sl.prefix(c, by, {"_lastv": F.max_by(F.when(F.col("_side") == 0, F.col("_v")),
-                                                   F.when(F.col("_side") == 0, F.struct("_t", "_v")))},
-                        {"_past": F.last("_lastv", ignorenulls=True)})
-    found = (sl.with_prefix(merged.where(F.col("_side") == 1), carried, by)
-             .withColumn("_match", F.when(F.col("_t").isNotNull(), F.coalesce("_here", "_past"))))
+    at_version = F.when(F.col("_side") == 0, F.struct("_t", "_v"))
+    full = sl.with_prefix(c, c, by, {"_lastv": F.max_by("_v", at_version)}, {"v": F.last("_lastv", ignorenulls=True)})
+    w = sl.slice_window(by, "_t", "_side", "_v")
+    here = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = (full.withColumns({"_here": here, "_before": sl.past("v", w)}).where("_data = 1 AND _side = 1")
+             .withColumn("_match", F.when(F.col("_t").isNotNull(), F.coalesce("_here", "_before"))))
     if ttl is not None:
         age = F.col("_t") - durations.interval(ttl)
         found = found.withColumn("_match", F.when(F.col("_match." + right_ts) >= age, F.col("_match")))

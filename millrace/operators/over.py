@@ -22,37 +22,34 @@ def rank_over(df: DataFrame, by: Sequence[str], order: Sequence[str], functions:
     unknown = set(names) - {"row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile"}
     if unknown:
         raise ValueError(f"not a numbering function: {sorted(unknown)}")
-    w = Window.partitionBy(*by, sl.SLICE).orderBy(*sl.order_columns(order))
-    local = {}
+    aggregates, combine = {"_c": F.count(F.lit(1))}, {"before": F.sum("_c")}
+    if "dense_rank" in names:
+        keys = [F.col(o.lstrip("-")) for o in order]
+        aggregates["_d"] = F.count_distinct(F.struct(*keys))
+        combine["dbefore"] = F.sum("_d")
+    w = sl.slice_window(by, *sl.order_columns(order))
+    local = {"_before": F.coalesce(sl.past("before", w), F.lit(0)),
+             "_extra": F.count_if(F.col("_data") == 0).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
     if {"row_number", "ntile"} & set(names):
         local["_rn"] = F.row_number().over(w)
     if {"rank", "percent_rank"} & set(names):
         local["_rk"] = F.rank().over(w)
     if "dense_rank" in names:
         local["_dr"] = F.dense_rank().over(w)
+        local["_dbefore"] = F.coalesce(sl.past("dbefore", w), F.lit(0))
     if "cume_dist" in names:
-        peers = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        local["_le"] = F.count(F.lit(1)).over(peers)
+        local["_le"] = F.sum("_data").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     totals = {"percent_rank", "cume_dist", "ntile"} & set(names)
     if totals:
-        local["_tn"] = F.count(F.lit(1)).over(Window.partitionBy(*by, sl.SLICE))
-    numbered = c.withColumns(local)
-
-    aggregates = {"_c": F.count(F.lit(1))}
-    combine = {"_before": F.sum("_c")}
-    if "dense_rank" in names:
-        keys = [F.col(o.lstrip("-")) for o in order]
-        aggregates["_d"] = F.count_distinct(F.struct(*keys))
-        combine["_dbefore"] = F.sum("_d")
-    carried = sl.prefix(c, by, aggregates, combine)
-    joined = sl.with_prefix(numbered, carried, by)
+        local["_tn"] = F.sum("_data").over(Window.partitionBy(*by, sl.SLICE))
+    joined = sl.with_prefix(c, c, by, aggregates, combine).withColumns(local).where("_data = 1")
     if totals:
         size = (c.where(sl.HOT).groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
                 .select(*[F.col(k).alias("_t_" + k) for k in by], "_all"))
         size = F.broadcast(size)  # one row per busy key
         joined = joined.join(size, sl.same_keys(joined, size, by, "_t_"), "left")
         total = F.coalesce(F.col("_all"), F.col("_tn"))
-    before = F.coalesce(F.col("_before"), F.lit(0))
+    before = F.col("_before") - F.col("_extra")  # the added row was numbered too
 
     def value(spec: str) -> Column:
         name = spec.split("(")[0]
@@ -61,11 +58,11 @@ def rank_over(df: DataFrame, by: Sequence[str], order: Sequence[str], functions:
         if name == "rank":
             return (F.col("_rk") + before).cast("long")
         if name == "dense_rank":
-            return (F.col("_dr") + F.coalesce(F.col("_dbefore"), F.lit(0))).cast("long")
+            return (F.col("_dr") - F.col("_extra") + F.col("_dbefore")).cast("long")
         if name == "percent_rank":
             return F.when(total > 1, (F.col("_rk") + before - 1) / (total - 1)).otherwise(F.lit(0.0))
         if name == "cume_dist":
-            return (F.col("_le") + before) / total
+            return (F.col("_le") + F.col("_before")) / total
         n = int(spec.split("(")[1].rstrip(") "))
         at, small = F.col("_rn") + before - 1, F.floor(total / n)
         extra = total % n
@@ -136,16 +133,17 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str],
     Kinds: sum, count, min, max, avg.
     """
     c = sl.cut(df, by, order, slice_width, hot_rows)
-    w = (Window.partitionBy(*by, sl.SLICE).orderBy(*sl.order_columns(order))
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    w = sl.slice_window(by, *sl.order_columns(order))
+    frame = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     parts: dict[str, tuple[str, str]] = {}
     for name, (kind, column) in aggregates.items():
         for part in (("sum", "count") if kind == "avg" else (kind,)):
             parts[f"_{part}_{name}"] = (part, column)
-    local = {n: _RUNNING[k][0](col).over(w) for n, (k, col) in parts.items()}
-    carried = sl.prefix(c, by, {"c" + n: _RUNNING[k][0](col) for n, (k, col) in parts.items()},
-                        {"p" + n: _RUNNING[k][1]("c" + n) for n, (k, _) in parts.items()})
-    joined = sl.with_prefix(c.withColumns(local), carried, by)
+    full = sl.with_prefix(c, c, by, {"c" + n: _RUNNING[k][0](col) for n, (k, col) in parts.items()},
+                          {"p" + n: _RUNNING[k][1]("c" + n) for n, (k, _) in parts.items()})
+    here = {n: _RUNNING[k][0](F.when(F.col("_data") == 1, F.col(col))).over(frame) for n, (k, col) in parts.items()}
+    before = {"p" + n: sl.past("p" + n, w) for n in parts}
+    joined = full.withColumns({**here, **before}).where("_data = 1")
 
     def merged(n: str) -> Column:
         kind, here, past = parts[n][0], F.col(n), F.col("p" + n)

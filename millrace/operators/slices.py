@@ -82,21 +82,33 @@ def cut(df: DataFrame, by: Sequence[str], order: Sequence[str], width: str | flo
     return marked.withColumn(SLICE, F.when(F.col(HOT), number).otherwise(F.lit(0)).cast("long"))
 
 
-def prefix(cut_df: DataFrame, by: Sequence[str], aggregates: dict[str, Column],
-           combine: dict[str, Column]) -> DataFrame:
-    """Per busy (key, slice): ``combine`` over the aggregates of all earlier slices.
+def with_prefix(cut_df: DataFrame, source: DataFrame, by: Sequence[str], aggregates: dict[str, Column],
+                combine: dict[str, Column]) -> DataFrame:
+    """Add to each slice of a busy key one row with ``combine`` over the aggregates of all earlier slices.
 
-    One row per slice, so the per-key window below is over slices, not over rows.
+    ``source`` holds the rows to aggregate, cut alike. The added rows have ``_data`` = 0, the others 1, and
+    their values in the struct ``_past``; windows order by ``_data`` first, so no join brings them in and
+    the rows are shuffled once. The per-key window below runs over slices, not over rows.
     """
-    per_slice = (cut_df.where(HOT).groupBy(*by, SLICE)
+    per_slice = (source.where(HOT).groupBy(*by, SLICE)
                  .agg(*[a.alias(n) for n, a in aggregates.items()]))
     earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return per_slice.select(*[F.col(k).alias("_p_" + k) for k in (*by, SLICE)],
-                            *[c.over(earlier).alias(n) for n, c in combine.items()])
+    carried = per_slice.select(*by, SLICE, F.lit(True).alias(HOT), F.lit(0).alias("_data"),
+                               F.struct(*[c.over(earlier).alias(n) for n, c in combine.items()]).alias("_past"))
+    kind = carried.schema["_past"].dataType
+    data = cut_df.withColumns({"_data": F.lit(1), "_past": F.lit(None).cast(kind)})
+    return data.unionByName(carried, allowMissingColumns=True)
 
 
-def with_prefix(cut_df: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
-    return cut_df.join(carried, same_keys(cut_df, carried, (*by, SLICE), "_p_"), "left")
+def slice_window(by: Sequence[str], *order: Column):
+    """Window over one slice, the row that ``with_prefix`` added first."""
+    return Window.partitionBy(*by, SLICE).orderBy("_data", *order)
+
+
+def past(name: str, w) -> Column:
+    """Value carried into the slice; NULL in the first slice and for other keys."""
+    rows = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.first("_past", ignorenulls=True).over(rows)[name]
 
 
 def with_edge_rows(cut_df: DataFrame, by: Sequence[str], order: Sequence[str],

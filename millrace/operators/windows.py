@@ -58,12 +58,13 @@ def assign_sessions(df: DataFrame, ts: str, gap: str, by: Sequence[str],
     """
     limit = durations.micros(gap)
     c = sl.cut(df.where(F.col(ts).isNotNull()), by, [ts], slice_width, hot_rows)
-    w = Window.partitionBy(*by, sl.SLICE).orderBy(ts)
+    w = Window.partitionBy(*by, sl.SLICE, sl.HOT).orderBy(ts)  # _hot, so that its filters pass the window
     apart = durations.since_epoch(ts) - durations.since_epoch(F.lag(ts).over(w))
     local = (c.withColumn("_opens", F.when(apart.isNull() | (apart > limit), F.col(ts)))
              .withColumn("_start", F.last("_opens", ignorenulls=True).over(
                  w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
 
+    # per slice of a busy key: its first and last event and the start of its last session
     edges = (local.where(sl.HOT).groupBy(*by, sl.SLICE)
              .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.max("_start").alias("_tail")))
     over_slices = Window.partitionBy(*by).orderBy(sl.SLICE)
@@ -74,11 +75,15 @@ def assign_sessions(df: DataFrame, ts: str, gap: str, by: Sequence[str],
     carried = (linked.withColumn("_from", F.last(opens, ignorenulls=True).over(
                    over_slices.rowsBetween(Window.unboundedPreceding, -1)))
                .where("_joins")
-               .select(*[F.col(k).alias("_p_" + k) for k in (*by, sl.SLICE)],
-                       F.col("_first").alias("_head"), "_from"))
-    joined = sl.with_prefix(local, carried, by)
-    start = F.when(F.col("_start") == F.col("_head"), F.col("_from")).otherwise(F.col("_start"))
-    return joined.select(*[local[x] for x in df.columns], start.alias("session_start"))
+               .select(*by, sl.SLICE, F.col("_first").alias("_start"), F.col("_from").alias("session_start")))
+    # the heads of slices that continue a session; few, and only of busy keys
+    keys = [*by, sl.SLICE, "_start"]
+    renamed = carried.select(*[F.col(k).alias("_p_" + k) for k in keys], "session_start")
+    cold = local.where(~F.col(sl.HOT)).select(*df.columns, F.col("_start").alias("session_start"))
+    hot = local.where(sl.HOT)
+    joined = hot.join(renamed, sl.same_keys(hot, renamed, keys, "_p_"), "left")
+    return cold.unionByName(joined.select(*[hot[x] for x in df.columns],
+                                          F.coalesce("session_start", "_start").alias("session_start")))
 
 
 def cumulate(df: DataFrame, ts: str, step: str, max_size: str, by: Sequence[str],

@@ -200,5 +200,7 @@ def catalog_table(spark: SparkSession, name: str, catalog: str | None = None, da
 
 
 def values(spark: SparkSession, rows: Sequence[tuple], columns: str) -> DataFrame:
-    """Inline rows with a DDL schema."""
-    return spark.createDataFrame(list(rows), columns)
+    """Inline rows with a DDL schema; literals in the plan, so nothing is shipped through Python."""
+    fields = T.StructType.fromDDL(columns).fields
+    literals = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*literals)))

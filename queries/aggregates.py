@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import over
+from millrace.operators import over, slices
 from queries.registry import query
 
 
@@ -133,6 +133,7 @@ SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, row_number() OVER w
 FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_linenumber)""")
 def win_rank(t):
     rows = t.lineitem.select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    rows = slices.mark_busy(rows, ["l_suppkey"], slices.HOT_ROWS)  # counted once for both orders
     ranked = over.rank_over(rows, ["l_suppkey"], ["-l_quantity"], {"rk": "rank", "dr": "dense_rank"}, 1)
     numbered = over.rank_over(ranked, ["l_suppkey"], ["-l_extendedprice", "l_orderkey", "l_partkey", "l_linenumber"],
                               {"rn": "row_number"}, 100)
