@@ -78,7 +78,13 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         raise ValueError("a correlation matrix needs two columns")
     named = df.select(*[as_number(df, c).alias(c) for c in columns])
     pairs = list(combinations(range(len(columns)), 2))
-    row = named.agg(*[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs])
+
+    def coefficient(a: str, b: str) -> Column:
+        # over rows with both values; corr() itself fails on a constant column in ANSI mode
+        spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
+        return F.try_divide(F.covar_pop(a, b), spread)
+
+    row = named.agg(*[coefficient(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs])
 
     def cell(i: int, j: int) -> Column:
         if i == j:
