@@ -7,6 +7,7 @@ arrival. The state of a key holds the waiting rows and what the operator carries
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -147,13 +148,18 @@ def range_sum(df: DataFrame, by: Sequence[str], ts: str, value: str, reach: str,
     span = durations.micros(reach)
 
     def step(past, rows):
-        past, out = past or [], []
-        values = [(us, json.loads(b).get(value)) for us, _, b in rows]
+        # past and new values in time order, with running totals: a frame is a difference of two
+        held = [*(past or []), *[[us, json.loads(b).get(value)] for us, _, b in rows]]
+        times = [us for us, _ in held]
+        totals, counts = [0.0], [0]
+        for _, v in held:
+            totals.append(totals[-1] + (v or 0.0))
+            counts.append(counts[-1] + (v is not None))
+        out = []
         for us, _, body in rows:
-            near = [v for at, v in [*past, *values] if us - span <= at <= us and v is not None]
-            out.append((body, json.dumps({alias: sum(near) if near else None}), ""))
-        newest = rows[-1][0]
-        return [[at, v] for at, v in [*past, *values] if at >= newest - span], out
+            i, j = bisect_left(times, us - span), bisect_right(times, us)
+            out.append((body, json.dumps({alias: totals[j] - totals[i] if counts[j] > counts[i] else None}), ""))
+        return held[bisect_left(times, times[-1] - span):], out
 
     out = in_order(_packed(df, by, ts, 0), by, step)
     added = T.StructType([T.StructField(alias, T.DoubleType())])

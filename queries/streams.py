@@ -67,8 +67,7 @@ def stream_cumulate(t):
 
 @query("stream_distinct", tumble_sql("1 DAY", "event_type", "count(DISTINCT user_id) AS users"))
 def stream_distinct(t):
-    # exact distinct counts are refused on streams; the sets are bounded by the key's window
-    return out(W.tumble(stream(t), "ts", "1 day", ["event_type"], {"users": F.size(F.collect_set("user_id")).cast("long")}))
+    return out(W.tumble_distinct(stream(t), "ts", "1 day", ["event_type"], "user_id", "users"))
 
 
 SIDES = """b AS (SELECT user_id, event_id AS buy_id, ts AS buy_ts, value AS spend FROM events WHERE event_type = 'purchase'),
