@@ -25,13 +25,13 @@ Step = Callable[[object, list[tuple[int, int, str]]], tuple[object, list[tuple]]
 
 
 class _InOrder(StatefulProcessor):
-    def __init__(self, keys: Sequence[str], step: Step, ttl_ms: int | None):
-        self.keys, self.step, self.ttl_ms = list(keys), step, ttl_ms
+    def __init__(self, keys: Sequence[str], step: Step, ttl_us: int | None):
+        self.keys, self.step, self.ttl_us = list(keys), step, ttl_us
 
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us BIGINT, side INT, body STRING")
-        self.carry = handle.getValueState("carry", "text STRING", self.ttl_ms)
+        self.carry = handle.getValueState("carry", "us BIGINT, text STRING")
         self.timer = handle.getValueState("timer", "ms BIGINT")
 
     def handleInputRows(self, key, rows, timerValues):
@@ -42,7 +42,7 @@ class _InOrder(StatefulProcessor):
         return iter([])
 
     def _wake(self, us: int) -> None:
-        """One timer per key, for its earliest row: that goes once the watermark has passed its millisecond."""
+        """One timer per key, for its earliest row (which goes once the watermark has passed it) or its expiry."""
         ms = -(-us // 1000)
         if self.timer.exists():
             now = self.timer.get()[0]
@@ -54,21 +54,35 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.waiting.get())
+        rows = [tuple(r) for r in self.waiting.get()]
         ready = sorted((r for r in rows if r[0] <= passed), key=lambda r: (r[0], r[1]))
         left = [r for r in rows if r[0] > passed]
+        if len(left) < len(rows):
+            self.waiting.put(left) if left else self.waiting.clear()
+        written, state = None, None
+        if self.carry.exists():
+            written, text = self.carry.get()
+            state = json.loads(text)
+        out = []
+        for run in self._runs(ready):
+            if written is not None and self._expired(written, run[0][0]):
+                written, state = None, None
+            before = json.dumps(state)
+            state, more = self.step(state, run)
+            out += more
+            if json.dumps(state) != before:
+                written = run[-1][0]
+        if written is not None and self._expired(written, passed):
+            state = None
+        if state is None:
+            self.carry.clear()
+        elif ready:
+            self.carry.update((written, json.dumps(state)))
         self.timer.clear()
         if left:
             self._wake(min(r[0] for r in left))
-        if not ready:
-            return iter([])
-        self.waiting.put(left) if left else self.waiting.clear()
-        state = json.loads(self.carry.get()[0]) if self.carry.exists() else None
-        state, out = self.step(state, [tuple(r) for r in ready])
-        if state is None:
-            self.carry.clear()
-        else:
-            self.carry.update((json.dumps(state),))
+        elif state is not None and self.ttl_us is not None:
+            self._wake(written + self.ttl_us + 1)
         if not out:
             return iter([])
         frame = pd.DataFrame(out, columns=["a_", "b_", "tag_"]).astype(object)
@@ -76,6 +90,15 @@ class _InOrder(StatefulProcessor):
             frame[k] = v
         return iter([frame[[*self.keys, "a_", "b_", "tag_"]]])
 
+    def _expired(self, written: int, now: int) -> bool:
+        return self.ttl_us is not None and now - written > self.ttl_us
+
+    def _runs(self, rows):
+        """With a time to live, row by row, so that state expires between rows; else all at once."""
+        if self.ttl_us is None:
+            return [rows] if rows else []
+        return [[r] for r in rows]
+
     def close(self) -> None:
         pass
 
@@ -86,10 +109,13 @@ def _packed(df: DataFrame, by: Sequence[str], ts: str, side: int) -> DataFrame:
 
 
 def in_order(df: DataFrame, by: Sequence[str], step: Step, ttl: str | None = None) -> DataFrame:
-    """Run a step over packed rows per key: columns by, a_, b_, tag_ (Spark renames input columns that start with an underscore)."""
+    """Run a step over packed rows per key, whose state expires ``ttl`` of event time after it last changed.
+
+    Columns: by, a_, b_, tag_ (Spark renames input columns that start with an underscore).
+    """
     out = T.StructType([df.schema[k] for k in by] + [T.StructField(c, T.StringType()) for c in ("a_", "b_", "tag_")])
-    ttl_ms = durations.micros(ttl) // 1000 if ttl else None
-    return df.groupBy(*by).transformWithStateInPandas(_InOrder(by, step, ttl_ms), out, "append", "EventTime")
+    ttl_us = durations.micros(ttl) if ttl else None
+    return df.groupBy(*by).transformWithStateInPandas(_InOrder(by, step, ttl_us), out, "append", "EventTime")
 
 
 def _body(column: str, df: DataFrame, names: Sequence[str], prefix: str = ""):

@@ -239,3 +239,76 @@ def test_plans(spark, events):
     assert "WindowGroupLimit" in plan
     scan = W.tumble(events, "ts", "1 hour", ["event_type"], {"n": F.count("*")})._jdf.queryExecution().executedPlan().toString()
     assert "props" not in scan.split("ReadSchema")[-1]
+
+
+def test_ddl_and_inventory(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS shop")
+    spark.sql("DROP TABLE IF EXISTS shop.items")
+    spark.sql("CREATE TABLE shop.items (id INT, name STRING) USING parquet")
+    try:
+        spark.sql("INSERT INTO shop.items VALUES (1, 'a'), (2, 'b')")
+        spark.sql("ALTER TABLE shop.items ADD COLUMNS (price DOUBLE)")
+        spark.sql("CREATE OR REPLACE TEMPORARY VIEW cheap AS SELECT * FROM shop.items WHERE id < 2")
+        assert rows(spark.table("cheap"), "id", "price") == [(1, None)]
+        assert [r.col_name for r in spark.sql("DESCRIBE shop.items").collect()] == ["id", "name", "price"]
+        assert "items" in [r.tableName for r in spark.sql("SHOW TABLES IN shop").collect()]
+        spark.sql("INSERT OVERWRITE shop.items VALUES (3, 'c', 1.0)")
+        assert readers.catalog_table(spark, "shop.items").count() == 1
+        spark.sql("TRUNCATE TABLE shop.items")
+        assert spark.table("shop.items").count() == 0
+        assert "Scan" in spark.sql("EXPLAIN SELECT * FROM shop.items").first()[0]
+    finally:
+        spark.sql("DROP TABLE shop.items")
+        spark.sql("DROP DATABASE shop")
+
+
+def test_every_spec_operator_builds(spark, events):
+    """One node of every kind that needs no outside system."""
+    def node(i, op, **params):
+        return {"id": i, "op": op, "params": params}
+
+    n = {"n": "count(*)"}
+    steps = [
+        node("f", "filter", condition="value > 1"), node("p", "project", columns=["user_id", "event_id", "ts", "value", "event_type"]),
+        node("t", "tumble_window", time="ts", size="1 day", aggs=n), node("h", "hop_window", time="ts", slide="6 hours", size="1 day", aggs=n),
+        node("s", "session_window", time="ts", gap="6 hours", by=["user_id"], aggs=n),
+        node("c", "cumulate_window", time="ts", step="6 hours", max_size="1 day", aggs=n),
+        node("a", "aggregate", by=["user_id"], aggs=n, having="n > 3"), node("d", "dedup", by=["user_id"], order=["ts"]),
+        node("k", "topn", by=["user_id"], order=["-value", "event_id"], n=2), node("w", "watermark_assigner", time="ts"),
+        node("m", "match_recognize", by=["user_id"], time="ts", pattern="A B", define={"A": "value > 5"}, within="1 day"),
+        node("e", "cep_alert", time="ts", size="1 day", by=["user_id"], aggs=n, condition="n > 2", severity="HIGH"),
+        node("u", "map_udf", function="upper", inputs=["event_type"], alias="kind", passthrough=["event_id"]),
+        node("x", "ai_model", load="twice", inputs=["value"], alias="y", returns="double"),
+    ]
+    pairs = [
+        node("un", "union", type="UNION"), node("lj", "lookup_join", keys=["user_id"], columns=["seen"]),
+        node("ij", "interval_join", keys=["user_id"], left_time="ts", right_time="ts2", lower="-1 hours", upper="1 hours"),
+        node("tj", "temporal_join", keys=["user_id"], left_time="ts", right_time="ts2"),
+        node("rj", "regular_join", condition="l.user_id = r.user_id", how="LEFT OUTER"),
+        node("fs", "feature_store", keys=["user_id"], left_time="ts", right_time="ts2", ttl="1 day"),
+    ]
+    sources = [node("src", "input", table="events"), node("dim", "input", table="dim"),
+               node("gen", "datagen_source", fields={"g": {"min": 1, "max": 3}}, number_of_rows=10),
+               node("val", "values_source", rows=[[1, "a"]], columns="i INT, s STRING")]
+    edges = [{"from": "src", "to": s["id"]} for s in steps + pairs]
+    edges += [{"from": "src" if p["id"] == "un" else "dim", "to": p["id"], "port": "right"} for p in pairs]
+    edges += [{"from": s["id"], "to": "sink_" + s["id"]} for s in steps + pairs + sources[2:]]
+    outs = [node("sink_" + s["id"], "blackhole_sink") for s in steps + pairs + sources[2:]]
+
+    def twice():
+        return lambda frame: frame["value"] * 2
+
+    dim = events.select("user_id", F.col("ts").alias("ts2"), F.col("value").alias("seen"))
+    Pipeline("all", sources + steps + pairs + outs, edges).run(spark, {"events": events, "dim": dim}, {"twice": twice})
+
+
+def test_feature_job_on_a_stream_and_lookup(spark, events, tmp_path):
+    from millrace.streaming import run
+    from millrace.streaming.watermark import assign
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = assign(run.file_stream(spark, str(tmp_path / "in"), "*.parquet", events.schema), "ts", "1 hour")
+    job = FE.FeatureJob(features=[{"col": "value", "kind": "bucket", "param": "10", "alias": "size"}], time_column="ts",
+                        windows=[{"type": "tumble", "size": "1 day", "by": ["size"], "aggs": {"n": "count(*)"}}])
+    got, want = run.drain(job.build(s)[0]), job.build(events)[0]
+    assert 0 < got.count() < want.count() + 1
+    assert set(rows(got, "n")) <= set(rows(want, "n"))

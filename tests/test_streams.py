@@ -95,3 +95,47 @@ def test_watermark_strategies(spark, events, folder):
         assign(s, "ts", strategy="hopeful")
     with pytest.raises(ValueError):
         W.session(s, "ts", "1 hour", [], aggs())
+
+
+def test_state_expires_by_event_time(spark, events, folder):
+    """After ``ttl`` without a change the key counts as new again."""
+    out = run.drain(state.dedup(stream(spark, events, folder), ["user_id"], "ts", ttl="3 days"))
+    limit = events.agg(F.max("ts") - F.expr("INTERVAL 1 HOUR")).first()[0]
+    want, since = [], {}
+    for r in events.where(F.col("ts") <= F.lit(limit)).orderBy("ts").collect():
+        first = since.get(r.user_id)
+        if first is None or (r.ts - first).total_seconds() > 3 * 86400:
+            want.append((r.event_id,))
+            since[r.user_id] = r.ts
+    assert rows(out, "event_id") == sorted(want, key=repr) and len(want) > 15
+
+
+def test_asof_stream_equals_table(spark, events, folder):
+    from millrace.operators import joins
+    s = stream(spark, events, folder)
+    b = s.where("event_type = 'purchase'").selectExpr("user_id", "event_id", "ts")
+    c = s.where("event_type = 'click'").selectExpr("user_id", "ts AS cts", "value AS cv")
+    out = run.drain(state.asof_join(b, c, ["user_id"], "ts", "cts", "left"))
+    limit = events.agg(F.max("ts")).first()[0]  # both sides share the watermark of the common source
+    eb = events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    ec = events.where("event_type = 'click'").selectExpr("user_id", "ts AS cts", "value AS cv")
+    want = joins.asof_join(eb, ec, ["user_id"], "ts", "cts", "left").where(
+        F.col("ts") <= F.lit(limit) - F.expr("INTERVAL 1 HOUR"))
+    assert rows(out, "event_id", "cv") == rows(want, "event_id", "cv")
+
+
+def test_recorder_appends_progress(spark, events, folder, tmp_path):
+    import time
+    from millrace.streaming.watermark import ProgressRecorder
+    listener = ProgressRecorder(spark, str(tmp_path / "metrics"))
+    spark.streams.addListener(listener)
+    try:
+        run.drain(W.tumble(stream(spark, events, folder), "ts", "1 hour", [], {"n": F.count("*")}))
+        for _ in range(40):
+            if (tmp_path / "metrics").exists() and spark.read.schema(METRICS).parquet(str(tmp_path / "metrics")).count() >= 3:
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    seen = spark.read.schema(METRICS).parquet(str(tmp_path / "metrics"))
+    assert seen.agg(F.sum("rows_in")).first()[0] == events.count()
