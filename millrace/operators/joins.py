@@ -46,6 +46,9 @@ def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts:
         raise ValueError("upper bound before lower bound")
     if how not in ("inner", "left", "right"):
         raise ValueError(f"unsupported interval join: {how}")
+    clash = (set(left.columns) & set(right.columns)) - set(on)
+    if clash:
+        raise ValueError(f"rename right columns {sorted(clash)}")
     r = right.select(*[F.col(k).alias("_r_" + k) for k in on],
                      *[c for c in right.columns if c not in on])
     in_time = (F.col(right_ts) >= F.col(left_ts) + durations.interval(lower)) & \

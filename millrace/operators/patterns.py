@@ -96,6 +96,8 @@ def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str], keep: S
         T.StructField("_e_" + sl.SLICE, T.LongType()), T.StructField("_entry", T.LongType())])
     by = list(by)
 
+    slice_column = sl.SLICE  # tasks get values, not modules
+
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
         at, go = pdf["_at"].to_numpy(), pdf["_resume"].to_numpy()
@@ -111,18 +113,18 @@ def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str], keep: S
             else:
                 upto.append(int(at[i]))
                 leave.append(out[i])
-        head = pdf.iloc[:1][[*by, sl.SLICE]].reset_index(drop=True)
+        head = pdf.iloc[:1][[*by, slice_column]].reset_index(drop=True)
         return head.assign(_upto=[upto], _exit=[leave])
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sl.SLICE)
+        pdf = pdf.sort_values(slice_column)
         entries, state = [], 0
         for upto, leave in zip(pdf["_upto"], pdf["_exit"]):
             entries.append(state)
             place = int(pd.Series(upto).searchsorted(state))
             if place < len(upto):
                 state = int(leave[place])
-        out = pdf[[*by, sl.SLICE]].rename(columns=lambda c: "_e_" + c)
+        out = pdf[[*by, slice_column]].rename(columns=lambda c: "_e_" + c)
         return out.assign(_entry=entries)
 
     narrow = spans.select(*by, sl.SLICE, "_at", "_resume", *keep)
@@ -138,7 +140,7 @@ def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str], keep: S
         group, allowed = None, 0
         for pdf in batches:
             chosen = []
-            rows = zip(zip(*[pdf[c] for c in (*by, sl.SLICE)]), pdf["_at"], pdf["_resume"], pdf["_entry"])
+            rows = zip(zip(*[pdf[c] for c in (*by, slice_column)]), pdf["_at"], pdf["_resume"], pdf["_entry"])
             for here, at, go, entry in rows:
                 if not _same(here, group):
                     group, allowed = here, entry
@@ -331,7 +333,7 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
     found_type = T.StructType([df.schema[k] for k in by] + [
         T.StructField(sl.SLICE, T.LongType()), T.StructField("_at", T.LongType()),
         T.StructField("_path", T.StringType()), T.StructField("_resume", T.LongType())])
-    names = [f.name for f in found_type.fields]
+    names, group_columns = [f.name for f in found_type.fields], [*keys, sl.SLICE]
 
     def matches_in(at, us, own, masks, columns) -> Iterator[tuple[int, str, int]]:
         """Matches of one slice: first row number, letters, row number to resume at."""
@@ -379,7 +381,7 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
 
         for pdf in batches:
             found, values = [], {c: pdf[c].to_list() for c in pdf.columns}
-            groups = list(zip(*[values[c] for c in (*keys, sl.SLICE)]))
+            groups = list(zip(*[values[c] for c in group_columns]))
             start = 0
             for i in range(1, len(groups) + 1):
                 if i < len(groups) and _same(groups[i], groups[start]):

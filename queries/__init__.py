@@ -1,0 +1,7 @@
+"""Queries on the given tables and their oracle SQL."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -112,9 +112,9 @@ def agg_first(t):
 
 # an order has a handful of lines, so the gathered lists stay small
 @query("agg_collect", """
-SELECT l_orderkey, list_sort(list(l_partkey)) AS parts FROM lineitem GROUP BY l_orderkey""")
+SELECT l_orderkey, array_to_string(list_sort(list(l_partkey)), '|') AS parts FROM lineitem GROUP BY l_orderkey""")
 def agg_collect(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("parts"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("l_partkey")).cast("array<string>"), "|").alias("parts"))
 
 
 @query("agg_listagg", """
