@@ -312,3 +312,22 @@ def test_feature_job_on_a_stream_and_lookup(spark, events, tmp_path):
     got, want = run.drain(job.build(s)[0]), job.build(events)[0]
     assert 0 < got.count() < want.count() + 1
     assert set(rows(got, "n")) <= set(rows(want, "n"))
+
+
+def test_task_code_needs_no_package_on_executors(tmp_path):
+    """Functions and classes that run in tasks unpickle where the package cannot be imported."""
+    import subprocess
+    import sys
+    from pyspark import cloudpickle
+    from millrace.operators.patterns import Pattern
+    from millrace.streaming.state import _InOrder
+
+    def step(carry, rows):
+        return carry, []
+
+    blob = tmp_path / "blob"
+    blob.write_bytes(cloudpickle.dumps((_InOrder(["k"], step, None), Pattern("A B+"))))
+    code = ("import pickle, sys; p = pickle.load(open(sys.argv[1], 'rb'))[1];"
+            "print(p.match(lambda v, r, t: True, 0, 4, True), 'millrace' in sys.modules)")
+    out = subprocess.run([sys.executable, "-c", code, str(blob)], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert out.stdout.strip() == "['A', 'B', 'B', 'B'] False", out.stderr
