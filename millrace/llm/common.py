@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace import session
@@ -65,5 +67,11 @@ def map_documents(docs: DataFrame, text: str, carry: Sequence[str], make: Callab
     return packed.mapInArrow(run, schema)
 
 
-def empty_to_null(column: Column) -> Column:
-    return F.when(column != "", column)
+def send(spark: SparkSession, value) -> Broadcast:
+    """Broadcast objects of this package; they travel by value, so executors need no copy of it. See ``received``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast):
+    return pickle.loads(sent.value)
+

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace import session
-from millrace.llm import decontaminate, packing, token_files
-from millrace.llm.common import documents
+from millrace.llm import decontaminate, packing, quality_fm, rules, token_files, toxicity
+from millrace.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +29,22 @@ def sql_words(text: str) -> str:
     return f"regexp_extract_all({lower}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
 
 
+HELD_OUT = (fold(F.col("doc.doc_id")) == 0).alias("held_out")
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = quality_fm.train(docs, session.table(spark, sf_dir, "labels"))
+    return quality_fm.score(docs, model).select("doc.doc_id", HELD_OUT, "score", "predicted")
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark, sf_dir):
+    return rules.judge(documents(spark, sf_dir)).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                                        "base_failed", "kept", "quality")
+
+
 @query("op4_decontamination", f"""
 WITH d AS (SELECT doc_id, {sql_words('text')} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {sql_words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -56,6 +72,13 @@ def op6_token_files(spark, sf_dir):
     return token_files.ids_crc32(token_files.read(spark, path))
 
 
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    trained = toxicity.train(docs, session.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, trained).select("doc.doc_id", HELD_OUT, "score", "predicted")
+
+
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     pieces = packing.pack(documents(spark, sf_dir))
