@@ -103,7 +103,7 @@ def pack(docs: DataFrame, carry=("doc_id",), text: str = "text", end_id: int = 1
 
     def run(batches):
         from pyspark import TaskContext
-        encoder, end = WordEncoder(file), np.array([end_id], "<u4").tobytes()
+        encoder, end = WordEncoder.shared(file), np.array([end_id], "<u4").tobytes()
         packer = Packer(tiers, TaskContext.get().partitionId() << 33)
         kept: dict[int, tuple] = {}  # document: its ids, its row in a batch of carried columns
         count = waiting = 0

@@ -36,7 +36,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
 
     def make():
         from pyspark import TaskContext
-        encoder, block, end = WordEncoder(file), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        encoder, block, end = WordEncoder.shared(file), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         written = [0]
 
         def work(texts):

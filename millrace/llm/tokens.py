@@ -17,85 +17,86 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the n-th other byte as code point 256 + n."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(other)}
+
+
 class WordEncoder:
     """Encodes texts word by word, keeping the ids of words already met.
 
-    The vocabulary's rules never join characters across ASCII white space, so a text's ids are its words' ids in a row.
-    Words not met yet go to the library in one text, parted by a special token. Of a word that ends in punctuation, stem
-    and end are looked up apart, in lower case, which the tokenizer would do as well. Ids are little-endian unsigned 32-bit
-    integers. What is kept is bounded by ``keep_bytes`` and then begun anew.
+    The vocabulary's rules never join characters across ASCII white space, so a text's ids are its words' ids in a row. A new word of
+    Latin letters, with or without punctuation after them, is lowered and given to the library's BPE model, which is what
+    the tokenizer does with it after longer preparation; any other word goes to the tokenizer whole. Ids are little-endian
+    unsigned 32-bit integers. What is kept is bounded by ``keep_bytes`` and then begun anew.
     """
 
-    def __init__(self, path: str, keep_bytes: int = 100 << 20, separator: str = "<|startoftext|>"):
+    def __init__(self, path: str, keep_bytes: int = 120 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator, self.cut = separator, self.tokenizer.token_to_id(separator)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.keep_bytes, self.kept = keep_bytes, 0
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.tails: dict[bytes, bytes] = {b"": b""}
+
+    @staticmethod
+    def shared(path: str) -> WordEncoder:
+        """One encoder for all tasks of a Python worker, so that a task finds the words that earlier ones met."""
+        import tokenizers
+        kept = tokenizers.__dict__.setdefault("_encoders_by_path", {})
+        if path not in kept:
+            kept[path] = WordEncoder(path)
+        return kept[path]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_parts(self, parts: list[bytes]) -> None:
-        at = 0
-        while at < len(parts):
-            size, end = 0, at
-            while end < len(parts) and (end == at or size < 1 << 18):
-                size, end = size + len(parts[end]), end + 1
-            joined = self.separator.join([p.decode() for p in parts[at:end]])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.cut)
-            begins, ends = np.concatenate(([0], cuts + 1)) * 4, np.concatenate((cuts, [len(ids)])) * 4
-            raw = ids.tobytes()
-            for part, a, z in zip(parts[at:end], begins.tolist(), ends.tolist()):
-                self.parts[part] = raw[a:z]
-                self.kept += len(part) + z - a + 150
-            at = end
-
-    def _learn(self, words: set[bytes]) -> None:
-        split, odd = {}, []
-        for word in words:
-            if b"<|" in word:
-                odd.append(word)
-                continue
-            low = word.lower()
-            stem = low.rstrip(TAIL)
-            if len(stem) < len(low) and stem and (stem.isalpha() or self._latin(stem)):
-                split[word] = stem, low[len(stem):]
-            else:
-                split[word] = low, b""
-        known = self.parts
-        self._learn_parts(list({p for pair in split.values() for p in pair if p not in known}))
-        for word, (stem, tail) in split.items():
-            self.words[word] = known[stem] + known[tail]
-        for word in odd:
-            self.words[word] = self.whole(word.decode())
-        self.kept += sum(len(w) + len(self.words[w]) + 150 for w in words)
+    def run(self, letters: str) -> bytes:
+        """Ids of one run of letters or of punctuation, written in the vocabulary's letters."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
-    @staticmethod
-    def _latin(stem: bytes) -> bool:
-        text = stem.decode()
-        return text.isalpha() and max(text) < "ɐ"
+    def new(self, word: bytes) -> bytes:
+        if b"<|" in word:
+            return self.whole(word.decode())
+        low = word.lower()
+        stem = low.rstrip(TAIL)
+        if stem.isalpha():
+            ids = self.run(stem.decode())
+        else:
+            text = stem.decode()
+            if not (text.isalpha() and max(text) < "ɐ" and "İ" not in text):
+                return self.whole(word.decode())
+            letters = self.letters
+            ids = self.run("".join([letters[b] for b in text.lower().encode()]))
+        if len(stem) == len(low):
+            return ids
+        tail = low[len(stem):]
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self.run(tail.decode())
+        return ids + self.tails[tail]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as bytes."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and (end == at or size < 1 << 20):
-                size, end = size + len(texts[end]), end + 1
-            split = [t.split() for t in texts[at:end]]
-            if self.kept > self.keep_bytes:
-                self.words.clear()
-                self.parts.clear()
-                self.parts[b""], self.kept = b"", 0
-            new = set().union(*split).difference(self.words)
-            if new:
-                self._learn(new)
-            get = self.words.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
-            at = end
+        out, known = [], self.words
+        for text in texts:
+            words = text.split()
+            ids = list(map(known.get, words))
+            if None in ids:
+                for k, own in enumerate(ids):
+                    if own is None:
+                        word = words[k]
+                        own = known.get(word)
+                        if own is None:
+                            own = known[word] = self.new(word)
+                            self.kept += len(word) + len(own) + 150
+                        ids[k] = own
+                if self.kept > self.keep_bytes:
+                    known.clear()
+                    self.kept = 0
+            out.append(b"".join(ids))
         return out
