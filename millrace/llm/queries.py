@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace import session
-from millrace.llm import decontaminate, packing, quality_fm, rules, token_files, toxicity
+from millrace.llm import decontaminate, jaccard, packing, quality_fm, rules, token_files, toxicity
 from millrace.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,20 @@ def op6_token_files(spark, sf_dir):
     return token_files.ids_crc32(token_files.read(spark, path))
 
 
+@query("op7_ngram_jaccard", """
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+FROM w LEFT JOIN n USING (r) JOIN reach ON reach.a = w.r JOIN w t ON t.r = reach.b GROUP BY w.r, w.doc_id, n.n""")
+def op7_ngram_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
