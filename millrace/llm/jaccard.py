@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace import session
+from millrace.llm.common import map_documents, written
 
 SKETCH_BITS = 20
 SLICE = 4096
@@ -59,25 +59,25 @@ def node_of(shingles: np.ndarray) -> bytes:
 
 
 def sets(batches, size: int):
-    """Each document's text in turn: row of the batch's first column (or None) and set."""
+    """The set of each text in turn."""
     shingler = Shingler(size)
     for batch in batches:
-        ids = batch.column(1) if batch.num_columns > 1 else None
-        for k, text in enumerate(batch.column(0).cast(pa.binary()).to_pylist()):
-            yield ids[k].as_py() if ids is not None else None, shingler.of(text or b"")
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            yield shingler.of(text or b"")
 
 
-def members(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """``doc_id``, ``node`` (empty without words) and ``n_shingles`` of each row."""
-    def run(batches):
+def members(docs: DataFrame, carry, text: str, size: int) -> DataFrame:
+    """``doc`` (the carried columns), ``node`` (empty without words) and ``n_shingles`` of each row."""
+    def make():
         shingler = Shingler(size)
-        for batch in batches:
-            own = [shingler.of(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([node_of(s) for s in own], pa.binary()),
-                                              pa.array([len(s) for s in own], pa.int64())], names=["doc_id", "node", "n_shingles"])
 
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"))
-    return rows.mapInArrow(run, "doc_id bigint, node binary, n_shingles bigint")
+        def work(texts):
+            own = [shingler.of(t) for t in texts]
+            return [pa.array([node_of(s) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64())]
+
+        return work
+
+    return map_documents(docs, text, carry, make, "node binary, n_shingles bigint")
 
 
 def sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
     def count(batches):
         total, met = np.zeros(buckets, np.uint32), 0
-        for _, own in sets(batches, size):
+        for own in sets(batches, size):
             at, n = np.unique(own & np.uint64(buckets - 1), return_counts=True)
             total[at.astype(np.int64)] += n.astype(np.uint32)
             met += 1
@@ -118,11 +118,6 @@ def sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def least_overlap(m, n, percent: int):
-    """Least number of common shingles of two linked sets: ceil(percent (m + n) / (100 + percent)), in whole numbers."""
-    return -(-(percent * (m + n)) // (100 + percent))
-
-
 class Prefix:
     """Order of a set's shingles, and how many of the first ones a document enters."""
 
@@ -191,7 +186,7 @@ def entries(docs: DataFrame, text: str, counts: np.ndarray, size: int, percent:
                 body = b"".join([steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), own["doc"].tobytes(), own["pos"].tobytes()])
                 yield int(p), None, None, len(used), len(own), None, zlib.compress(head + body, 1)
 
-        for _, own in sets(batches, size):
+        for own in sets(batches, size):
             if not len(own):
                 continue
             node = node_of(own)
@@ -255,14 +250,6 @@ def entries(docs: DataFrame, text: str, counts: np.ndarray, size: int, percent:
     return dealt.mapInArrow(shared, "token bigint, node binary, n int, k int, pos int").dropDuplicates(["token", "node"])
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write and read back: a cut of the lineage in the folder that the cluster shares."""
-    spark = df.sparkSession
-    path = session.work_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fits(percent: int, a: str = "a", b: str = "b") -> Column:
     """Whether a shared shingle lies in both prefixes that the pair's sizes and number of matches ask for."""
     text = (f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
@@ -290,7 +277,7 @@ def shingle_sets(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> Da
         table = np.frombuffer(known.value, np.uint8)
         seen: set[bytes] = set()
         nodes, tokens = [], []
-        for _, own in sets(batches, size):
+        for own in sets(batches, size):
             if not len(own):
                 continue
             node = node_of(own)
@@ -394,30 +381,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null, empty and blank texts have none and link with nothing. Equal sets link, repeated rows too. A null id is no
     candidate for the least one; a component of null ids only has none. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = written(members(docs, doc_id, text, size), "members")
+    rows = written(members(docs, [doc_id], text, size).select(F.col(f"doc.`{doc_id}`").cast("bigint").alias("doc_id"), "node", "n_shingles"), "members")
+    least = least_ids(rows, linked(docs, text, size, percent, rounds)).select("node", F.col("top.doc_id").alias("component_id"))
+    return (rows.join(least, "node", "left")
+            .select("doc_id", "n_shingles", F.when(F.octet_length("node") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component of ``near_duplicates`` the row of the least id stays.
+
+    Ids that are null come last; of repeated rows, and of rows of the same id and set, one stays. Documents without words link with nothing, so
+    all stay. Columns are those of ``docs``.
+    """
+    every = members(docs, docs.columns, text, size)
+    lean = written(members(docs, [doc_id], text, size).select(F.col(f"doc.`{doc_id}`").alias("doc_id"), "node", "n_shingles"), "members")
+    tops = least_ids(lean, linked(docs, text, size, percent, rounds)).select("top").distinct()
+    tops = tops.select(F.col("top.doc_id").alias("id"), F.col("top.node").alias("top"))
+    # Joined by id and set, copies with other ids spread over all tasks.
+    rows = every.withColumn("each", F.when(F.octet_length("node") > 0, 0).otherwise(F.monotonically_increasing_id()))
+    kept = (rows.join(tops, F.col(f"doc.`{doc_id}`").eqNullSafe(F.col("id")) & (F.col("node") == F.col("top")), "left")
+            .where("top is not null or octet_length(node) = 0").withColumn("id", F.col(f"doc.`{doc_id}`")))
+    return kept.dropDuplicates(["id", "node", "each"]).select("doc.*")
+
+
+def linked(docs: DataFrame, text: str, size: int, percent: int, rounds: int) -> DataFrame:
+    """``node`` and ``comp`` (the least node of the component) of nodes that share a prefix shingle with another."""
     counts = sketch(docs, text, size)
     found = written(entries(docs, text, counts, size, percent), "entries")
     shared = found.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     found = written(found.join(shared, "token"), "shared")
     nodes = found.select("node").distinct()
     labels = written(nodes.select("node", F.col("node").alias("comp")), "labels")
-    tokens = written(shingle_sets(docs, text, size, labels).join(nodes, "node", "left_semi"), "sets")
+    tokens = written(shingle_sets(docs, text, size, labels).join(labels, "node", "left_semi"), "sets")
     busy = written(found.where(F.col("docs") > BUSY).drop("docs"), "busy")
     if not busy.isEmpty():
         own = busy.select("node").distinct()
         few = written(tokens.join(own, "node", "left_semi"), "sets")
         for k in range(rounds):
             labels = components(hub_round(busy, labels, few, k, percent), labels)
-    labels = components(written(verified(last_pairs(found.drop("docs"), labels, percent), tokens, percent), "links"), labels)
-    return named(rows, labels)
+    return components(written(verified(last_pairs(found.drop("docs"), labels, percent), tokens, percent), "links"), labels)
 
 
-def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Least id of each component, given to its rows."""
-    least = rows.where(F.octet_length("node") > 0).groupBy("node").agg(F.min("doc_id").alias("least"))
+def least_ids(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node`` and ``top``: its component's least id with the node that has it; null ids come last."""
+    one = F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "node")
+    least = rows.where(F.octet_length("node") > 0).groupBy("node").agg(F.min(one).alias("least"))
     of = least.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least")
-    top = of.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = of.join(top, "comp").select("node", "component_id")
-    return (rows.join(ids, "node", "left")
-            .select("doc_id", "n_shingles", F.when(F.octet_length("node") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    return of.join(of.groupBy("comp").agg(F.min("least").alias("top")), "comp").select("node", "top")

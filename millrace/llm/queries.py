@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace import session
-from millrace.llm import decontaminate, jaccard, packing, quality_fm, rules, token_files, toxicity
+from millrace.llm import chat, decontaminate, html_layout, jaccard, licenses, packing, quality_fm, rules, token_files, toxicity
 from millrace.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,18 @@ def op1_quality_classifier(spark, sf_dir):
     return quality_fm.score(docs, model).select("doc.doc_id", HELD_OUT, "score", "predicted")
 
 
+@query("op2_license_scan")
+def op2_license_scan(spark, sf_dir):
+    spans = licenses.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    names = lambda rows: F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda s: s["label"]))), ",")
+    return spans.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+                        F.array_min(F.transform(base, lambda s: s["first"])).cast("long").alias("first_word"),
+                        F.array_max(F.transform(base, lambda s: s["first"])).cast("long").alias("last_word"),
+                        names(base).alias("base_labels"), names(F.col("spans")).alias("labels"),
+                        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"))
+
+
 @query("op3_quality_rules")
 def op3_quality_rules(spark, sf_dir):
     return rules.judge(documents(spark, sf_dir)).select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -65,6 +77,11 @@ def op4_decontamination(spark, sf_dir):
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op5_html_layout")
+def op5_html_layout(spark, sf_dir):
+    return html_layout.extract(session.table(spark, sf_dir, "pages")).select("doc.page_id", "text")
+
+
 @query("op6_token_files")
 def op6_token_files(spark, sf_dir):
     path = session.work_dir(spark, "tokens")
@@ -86,6 +103,22 @@ def op7_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+@query("op8_chat_format", """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, list(struct_pack(r := role, x := text) ORDER BY place) AS w FROM p GROUP BY conv_id),
+d AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, w FROM c GROUP BY n_turns, w),
+pre AS (SELECT DISTINCT w[1:k] AS w FROM (SELECT w, unnest(range(1, n_turns)) AS k FROM c)),
+m AS (SELECT d.* FROM d ANTI JOIN pre ON d.w = pre.w),
+marked AS (SELECT conv_id, place, replace(replace(role, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS role,
+                  replace(replace(text, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS text FROM p)
+SELECT conv_id, CAST((place - 1) // 256 AS BIGINT) AS part, n_turns, n_copies,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM m JOIN marked USING (conv_id) GROUP BY conv_id, (place - 1) // 256, n_turns, n_copies""")
+def op8_chat_format(spark, sf_dir):
+    return chat.render(session.table(spark, sf_dir, "conversations"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
