@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
     Tasks turn texts into sparse rows; the driver gets at most ``sample`` rows of at most ``word_slots`` entries each.
     """
-    rows = labelled(docs, labels, label, sample)
+    rows = labelled(docs.select("doc_id", *dict.fromkeys([text, *metadata])), labels, label, sample)
     n_meta = len(metadata)
 
     def make():
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
         return work
 
-    got = map_documents(rows, text, ["_label"], make, "at binary, value binary", [F.col(f"`{m}`").cast("double") for m in metadata])
+    got = map_documents(rows, text, ["_label"], make, "at binary, value binary", [F.col(f"`{m}`").try_cast("double") for m in metadata])
     got = got.select("doc._label", "at", "value", F.xxhash64("at", "value").alias("h")).collect()
     if not got:
         return None
@@ -187,5 +187,5 @@ def score(docs: DataFrame, model: FactorisationMachine | None, carry=("doc_id",)
 
         return work
 
-    scored = map_documents(docs, text, carry, make, "score double", [F.col(f"`{m}`").cast("double") for m in metadata])
+    scored = map_documents(docs, text, carry, make, "score double", [F.col(f"`{m}`").try_cast("double") for m in metadata])
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

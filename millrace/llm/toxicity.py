@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     fewer than ``least_pair_docs``, are left to the lower order. What reaches the driver is bounded by the sample. A quarter of the labelled rows (those of fold 1)
     are not counted; they calibrate the score.
     """
-    rows = labelled(docs, labels, label, sample)
+    rows = labelled(docs.select("doc_id", text), labels, label, sample)
     counted, held = rows.where(fold(F.col("doc_id")) != 1), rows.where(fold(F.col("doc_id")) == 1)
     vocabulary = Vocabulary(sorted(bytes(r["unit"]) for r in unit_documents(counted, text).where(F.col("docs") >= least_docs).collect()))
     pairs, size = pair_documents(counted, text, vocabulary), vocabulary.size
@@ -240,12 +240,11 @@ def measured(docs: DataFrame, vocabulary: Vocabulary, model: KneserNey, carry, t
 def score(docs: DataFrame, trained, carry=("doc_id",), text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``doc``, the length-normalised log-likelihood ratios (``MEASURES``), ``score`` (0 to 1) and ``predicted``.
 
-    Null and empty texts have ratios of 0 and get the score of such; repeated rows score alike; without a model the score is 0.5 and
-    nothing is predicted toxic.
+    Null and empty texts have ratios of 0 and get the score of such; repeated rows score alike; without a model every score is 0.
     """
     if trained is None:
         doc = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")
-        return docs.select(doc, *[F.lit(0.0).alias(m) for m in MEASURES], F.lit(0.5).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(doc, *[F.lit(0.0).alias(m) for m in MEASURES], F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     vocabulary, model, weights = trained
     odds = sum((F.col(m) * float(w) for m, w in zip(MEASURES, weights)), F.lit(float(weights[-1])))
     return (measured(docs, vocabulary, model, carry, text).withColumn("score", 1 / (1 + F.exp(-odds)))
