@@ -9,18 +9,27 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def is_container(c: str | Column, path: str) -> Column:
+    """Whether an object or array stands at the path: by its JSON type, since a string may begin with a bracket too.
+
+    A path with a wildcard gives an array of all that it finds, and is judged by its text.
+    """
+    if "*" in path:
+        return F.ltrim(F.get_json_object(_col(c), path)).rlike(r"^[\[{]")
+    found = F.try_variant_get(F.try_parse_json(_col(c)), path, "variant")
+    return F.schema_of_variant(found).rlike("^(OBJECT|ARRAY)")
+
+
 def json_value(c: str | Column, path: str, returning: str = "string", default: object = None) -> Column:
     """Scalar at a JSON path; NULL (or the default) for objects, arrays and failed casts."""
-    raw = F.get_json_object(_col(c), path)
-    scalar = F.when(~F.ltrim(raw).rlike(r"^[\[{]"), raw)
+    scalar = F.when(~is_container(c, path), F.get_json_object(_col(c), path))
     value = scalar if returning == "string" else scalar.try_cast(returning)
     return value if default is None else F.coalesce(value, F.lit(default).cast(returning))
 
 
 def json_query(c: str | Column, path: str) -> Column:
     """Object or array at a JSON path; NULL for scalars."""
-    raw = F.get_json_object(_col(c), path)
-    return F.when(F.ltrim(raw).rlike(r"^[\[{]"), raw)
+    return F.when(is_container(c, path), F.get_json_object(_col(c), path))
 
 
 def json_exists(c: str | Column, path: str) -> Column:
@@ -42,9 +51,11 @@ def json_array(*items: Column) -> Column:
 
 def truncate(c: str | Column, digits: int = 0) -> Column:
     """Towards zero at ``digits`` decimals."""
-    d = _col(c).cast("decimal(28,10)")
+    d = _col(c).try_cast("decimal(28,10)")
     scale = F.lit(10 ** digits)
-    return (F.sign(_col(c)) * F.floor(F.abs(d) * scale) / scale).cast("double")
+    exact = (F.sign(_col(c)) * F.floor(F.abs(d) * scale) / scale).cast("double")
+    # Numbers of more than 18 digits before the point have no decimals to lose, unless digits is negative.
+    return F.coalesce(exact, _col(c).cast("double"))
 
 
 def split_index(c: str | Column, delimiter: str, index: int) -> Column:

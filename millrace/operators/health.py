@@ -94,13 +94,13 @@ def peaks(metrics: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Data
     return metrics.groupBy(*by).agg(*[F.max(c).alias("peak_" + c) for c in columns])
 
 
-def compare_queries(metrics: DataFrame, ts: str, bucket: str, column: str, queries: Sequence, last: int = 60,
+def compare_queries(metrics: DataFrame, ts: str, bucket: str, column: str, queries: Sequence, last: int | None = None,
                     name: str = "query") -> DataFrame:
-    """Average of a metric per time bucket, one column per query, for the newest ``last`` buckets."""
+    """Average of a metric per time bucket, one column per query; all buckets, or the newest ``last``."""
     mine = metrics.where(F.col(name).isin(list(queries)))
     per = mine.groupBy(F.window(ts, bucket)["start"].alias("bucket")).pivot(name, list(queries)).agg(F.avg(column))
     named = per.select("bucket", *[F.col(str(q)).alias(f"q_{q}") for q in queries])
-    return named.orderBy(F.desc("bucket")).limit(last)
+    return named.orderBy(F.desc("bucket")).limit(last) if last else named
 
 
 def run_deltas(runs: DataFrame, by: Sequence[str], order: str, duration: str, rows: str,

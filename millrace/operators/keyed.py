@@ -11,21 +11,23 @@ from millrace.operators.over import rank_over, shift
 
 # Spark prunes rank filters before the shuffle up to this limit (windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
+SALTS = 64
 
 
 def top_n(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int,
-          rank_column: str | None = None, slice_width: str | float = "1 hour") -> DataFrame:
-    """First ``n`` rows per key.
+          rank_column: str | None = None) -> DataFrame:
+    """First ``n`` rows per key, along columns of any type that has an order.
 
-    Up to GROUP_LIMIT rows Spark keeps only n rows per key and map task before the shuffle, so
-    a busy key costs nothing; beyond that the sliced numbering is used.
+    Up to GROUP_LIMIT rows Spark keeps only n rows per key and map task before the shuffle. For a larger n a salt does the
+    same: the first n rows of each key and salt are chosen first, so a busy key is never one task's work.
     """
-    if n <= GROUP_LIMIT:
-        w = Window.partitionBy(*by).orderBy(*sl.order_columns(order))
-        ranked = df.withColumn("_rn", F.row_number().over(w))
-    else:
-        ranked = rank_over(df, by, order, {"_rn": "row_number"}, slice_width)
-    out = ranked.where(F.col("_rn") <= n)
+    first = sl.order_columns(order)
+    rows = df
+    if n > GROUP_LIMIT:
+        salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        chosen = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*first))
+        rows = salted.withColumn("_rn", chosen).where(F.col("_rn") <= n).drop("_salt", "_rn")
+    out = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*first))).where(F.col("_rn") <= n)
     if rank_column:
         return out.withColumnRenamed("_rn", rank_column)
     return out.drop("_rn")

@@ -161,6 +161,19 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str],
     return joined.select(*[F.col(x) for x in df.columns], *out)
 
 
+def last_values(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[str, str],
+                tie: Sequence[str] = ()) -> DataFrame:
+    """LAST_VALUE with the default frame: ``{"last": "value"}`` of the last peer along ``tie``.
+
+    Peers (rows equal in ``order``) are aggregated first and joined back, so a busy key is spread by its order values.
+    """
+    names = [o.lstrip("-") for o in order]
+    last = df.groupBy(*by, *names).agg(*[F.max_by(c, F.struct(*(tie or names))).alias("_v_" + a) for a, c in columns.items()])
+    named = last.select(*[F.col(k).alias("_k_" + k) for k in [*by, *names]], *["_v_" + a for a in columns])
+    joined = df.join(named, sl.same_keys(df, named, [*by, *names], "_k_"), "left")
+    return joined.select(*[df[c] for c in df.columns], *[F.col("_v_" + a).alias(a) for a in columns])
+
+
 def nth_values(df: DataFrame, by: Sequence[str], order: Sequence[str],
                columns: dict[str, tuple[str, int]]) -> DataFrame:
     """FIRST_VALUE (n = 1) and NTH_VALUE with the default frame: ``{"second": ("value", 2)}``.

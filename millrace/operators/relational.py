@@ -59,9 +59,11 @@ def union(first: DataFrame, second: DataFrame, distinct: bool = False) -> DataFr
     return both.distinct() if distinct else both
 
 
-def page(df: DataFrame, order: Sequence[str], first: int, last: int, cap: int = 5000) -> DataFrame:
-    """Rows ``first``..``last`` (1-based) of an ordered result, at most ``cap`` of them."""
-    rows = min(last - first + 1, cap)
+def page(df: DataFrame, order: Sequence[str], first: int, last: int, cap: int | None = None) -> DataFrame:
+    """Rows ``first``..``last`` (1-based) of an ordered result; a range of more than ``cap`` rows is an error, never shortened."""
+    rows = last - first + 1
+    if cap is not None and rows > cap:
+        raise ValueError(f"a page of {rows} rows; at most {cap} are allowed")
     return df.orderBy(*sl.order_columns(order)).offset(first - 1).limit(rows)
 
 

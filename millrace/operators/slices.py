@@ -57,12 +57,26 @@ def mark_busy(df: DataFrame, by: Sequence[str], hot_rows: int) -> DataFrame:
 
 
 def slice_number(df: DataFrame, column: str, width: str | float) -> Column:
-    """Monotone slice number of a time (duration text) or numeric (step) column."""
-    if isinstance(df.schema[column].dataType, _TIME_TYPES):
+    """Monotone slice number: of a time (duration text), a number (step), or the first bytes of a text.
+
+    NaN stands after all numbers, as the order has it. Numbers beyond the bounds share the outermost slices.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, _TIME_TYPES):
         return F.floor(durations.since_epoch(column) / F.lit(durations.micros(str(width))))
-    if isinstance(df.schema[column].dataType, T.NumericType):
-        return F.floor(F.col(column) / F.lit(float(width))).cast("long")
-    raise ValueError(f"cannot slice {column!r}: not a time or numeric column")
+    if isinstance(kind, T.NumericType):
+        edge = float(2 ** 60)
+        inside = F.greatest(F.least(F.col(column).cast("double") / F.lit(float(width) if _is_number(width) else 1.0), F.lit(edge)), F.lit(-edge))
+        return F.when(F.isnan(F.col(column).cast("double")), F.lit(2 ** 61)).when(F.col(column).isNotNull(), F.floor(inside).cast("long"))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+    if isinstance(kind, T.BooleanType):
+        return F.col(column).cast("long")
+    raise ValueError(f"cannot slice {column!r}: no order of {kind.simpleString()} is known here")
+
+
+def _is_number(width) -> bool:
+    return isinstance(width, (int, float)) or str(width).replace(".", "", 1).isdigit()
 
 
 def cut(df: DataFrame, by: Sequence[str], order: Sequence[str], width: str | float,
@@ -144,11 +158,12 @@ def with_time_halo(df: DataFrame, by: Sequence[str], ts: str, width: str, reach:
                    backward: bool, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Give each busy slice the rows within ``reach`` before (or after) it, ``_own`` = false.
 
-    Adds ``_hot``, ``_slice`` and ``_own``.
+    Adds ``_hot``, ``_slice`` and ``_own``. Slices are at least as wide as the reach, so that a row is in two of them at most.
 
     ``backward`` = true serves frames that look back in time, false those that look ahead.
     """
-    step, span = durations.micros(width), durations.micros(reach)
+    span = durations.micros(reach)
+    step = max(durations.micros(width), span)
     at = durations.since_epoch(ts)
     own = F.floor(at / F.lit(step))
     other = F.floor((at + F.lit(span if backward else -span)) / F.lit(step))

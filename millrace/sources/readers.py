@@ -9,15 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from millrace.operators.schema_ops import parse_columns
 
 FORMATS = ("parquet", "orc", "json", "csv", "avro")
-# Modulus of the generator's arithmetic: products of two residues stay within 64 bits.
-_PRIME = 2 ** 31 - 1
+#: Generated integers are below this.
+_RANGE = 2 ** 60
 
 
 def mixed(id_column: Column, seed: int) -> Column:
-    """Integer in [0, 2**31 - 1) that depends on id and seed only, so that reruns agree."""
-    x = (id_column % _PRIME * 48271 + (seed * 7919 + 12345) % _PRIME) % _PRIME
-    x = (x * x + 40692) % _PRIME
-    return (x * 69621 + seed) % _PRIME
+    """Integer in [0, 2**60) from the MD5 of id and seed only, so that reruns agree and no period is met."""
+    digest = F.md5(F.concat_ws(":", id_column.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def generated_field(id_column: Column, spec: dict, seed: int) -> Column:
@@ -34,14 +33,16 @@ def generated_field(id_column: Column, spec: dict, seed: int) -> Column:
     r = mixed(id_column, seed)
     if kind in ("STRING", "VARCHAR"):
         length = int(spec.get("length", 100))
-        parts = [F.lpad(F.hex(mixed(id_column, seed + 1000 * i)), 8, "0") for i in range(-(-length // 8))]
+        parts = [F.lpad(F.hex(mixed(id_column, seed + 1000 * i)), 15, "0") for i in range(-(-length // 15))]
         return F.lower(F.left(F.concat(*parts), F.lit(length)))
     if kind == "BOOLEAN":
         return r % 2 == 0
     if kind in ("DOUBLE", "FLOAT") or kind.startswith("DECIMAL"):
         low, high = float(spec.get("min", 0)), float(spec.get("max", 1))
-        return (F.lit(low) + r / F.lit(float(_PRIME - 1)) * F.lit(high - low)).cast(kind)
-    low, high = int(spec.get("min", 0)), int(spec.get("max", 2 ** 31 - 2))
+        return (F.lit(low) + r / F.lit(float(_RANGE - 1)) * F.lit(high - low)).cast(kind)
+    low, high = int(spec.get("min", 0)), int(spec.get("max", 2 ** 31 - 1))
+    if not 0 < high - low + 1 <= _RANGE:
+        raise ValueError(f"an integer range holds 1 to 2**60 values: {low} to {high}")
     return (F.lit(low).cast("long") + r % F.lit(high - low + 1)).cast(kind)
 
 

@@ -208,10 +208,10 @@ def limit_offset(t):
 
 @query("order_nulls", """
 SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-ORDER BY l.quality ASC NULLS LAST, d.doc_id DESC LIMIT 500""")
+ORDER BY l.quality ASC NULLS LAST, d.doc_id DESC""")
 def order_nulls(t):
     return (t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-            .orderBy(F.asc_nulls_last("quality"), F.desc("doc_id")).limit(500))
+            .orderBy(F.asc_nulls_last("quality"), F.desc("doc_id")))
 
 
 @query("topn", """

@@ -8,19 +8,14 @@ from millrace.plans.spec import Pipeline
 from millrace.sources import readers, sinks
 from queries.registry import query
 
-MIX = "((({x} % 2147483647 * 48271 + ({seed} * 7919 + 12345) % 2147483647) % 2147483647))"
-
-
 def mixed_sql(column: str, seed: int) -> str:
-    """The generator's arithmetic in SQL."""
-    x = f"(({column} % 2147483647 * 48271 + {(seed * 7919 + 12345) % 2147483647}) % 2147483647)"
-    y = f"(({x} * {x} + 40692) % 2147483647)"
-    return f"(({y} * 69621 + {seed}) % 2147483647)"
+    """The generator's numbers in SQL: the first 60 bits of an MD5."""
+    return f"CAST('0x' || substr(md5(CAST({column} AS VARCHAR) || ':{seed}'), 1, 15) AS BIGINT)"
 
 
 @query("src_datagen", f"""
 SELECT event_id, event_id + 100 AS seq, 1 + {mixed_sql('event_id', 32)} % 50 AS user_no,
- round(5.0::DOUBLE + {mixed_sql('event_id', 63)} / 2147483646.0::DOUBLE * 95.0::DOUBLE, 6) AS price,
+ round(5.0::DOUBLE + {mixed_sql('event_id', 63)} / 1152921504606846975.0::DOUBLE * 95.0::DOUBLE, 6) AS price,
  {mixed_sql('event_id', 94)} % 2 = 0 AS flag FROM events""")
 def src_datagen(t):
     fields = {"seq": {"kind": "sequence", "start": 100}, "user_no": {"min": 1, "max": 50},
