@@ -168,6 +168,7 @@ def order_summary(orders: DataFrame, size: str, by=("symbol", "side")) -> DataFr
     return windows.tumble(orders, "ts", size, list(by), {
         "total_orders": F.count("*"), "filled_count": F.count_if(status == "FILLED"),
         "partial_count": F.count_if(status == "PARTIALLY_FILLED"), "new_count": F.count_if(status == "NEW"),
+        "rejected_count": F.count_if(status == "REJECTED"),
         "total_value": F.round(F.sum("value"), 4), "avg_price": F.round(F.avg("price"), 7),
         "min_price": F.round(F.min("price"), 9), "max_price": F.round(F.max("price"), 9)})
 

@@ -136,7 +136,7 @@ def flow_risk_score(t):
         F.round("volume_percentile", 9).alias("volume_percentile"))
 
 
-ORDER = """SELECT l_partkey AS symbol, l_returnflag AS side, CASE o_orderstatus WHEN 'F' THEN 'FILLED' WHEN 'P' THEN 'PARTIALLY_FILLED' ELSE 'NEW' END AS status,
+ORDER = """SELECT l_partkey AS symbol, l_returnflag AS side, CASE WHEN l_linenumber = 7 THEN 'REJECTED' WHEN o_orderstatus = 'F' THEN 'FILLED' WHEN o_orderstatus = 'P' THEN 'PARTIALLY_FILLED' ELSE 'NEW' END AS status,
   l_extendedprice AS value, l_extendedprice / l_quantity AS price, l_extendedprice * (1 - l_discount) / l_quantity AS paid, o_orderdate AS ts, l_orderkey, l_linenumber, l_suppkey,
   o_orderpriority FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
 ORDERS = ORDER.replace("{lineitem}", "lineitem").replace("{orders}", "orders")
@@ -144,7 +144,7 @@ ORDERS = ORDER.replace("{lineitem}", "lineitem").replace("{orders}", "orders")
 
 @query("flow_orders", f"""WITH x AS ({ORDERS}) SELECT {bucket('7 DAY')}, side, o_orderpriority, count(*) AS total_orders,
  count(*) FILTER (WHERE status = 'FILLED') AS filled_count, count(*) FILTER (WHERE status = 'PARTIALLY_FILLED') AS partial_count,
- count(*) FILTER (WHERE status = 'NEW') AS new_count, round(sum(value), 4) AS total_value, round(avg(price), 7) AS avg_price,
+ count(*) FILTER (WHERE status = 'NEW') AS new_count, count(*) FILTER (WHERE status = 'REJECTED') AS rejected_count, round(sum(value), 4) AS total_value, round(avg(price), 7) AS avg_price,
  round(min(price), 9) AS min_price, round(max(price), 9) AS max_price FROM x GROUP BY 1, 2, 3, 4""")
 def flow_orders(t):
     return P.order_summary(t.sql(ORDER, "lineitem", "orders"), "7 days", ("side", "o_orderpriority"))
