@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators import inference, joins, keyed, patterns, relational, windows
 from millrace.sources import readers, sinks
+from millrace.streaming import state
 
 EDGE_TYPES = ("forward", "hash", "rebalance", "broadcast", "rescale")
 SOURCES = {"datagen_source", "filesystem_source", "kafka_source", "jdbc_source", "cdc_source", "pulsar_source",
            "kinesis_source", "catalog_table", "values_source", "input"}
-SINKS = {"filesystem_sink", "kafka_sink", "cdc_sink", "jdbc_sink", "elasticsearch_sink", "mongodb_sink", "print_sink",
-         "blackhole_sink", "result_output"}
+SINKS = {"filesystem_sink", "kafka_sink", "cdc_sink", "jdbc_sink", "elasticsearch_sink", "mongodb_sink", "hudi_sink", "iceberg_sink",
+         "print_sink", "blackhole_sink", "result_output"}
 # parameters that must be present
 REQUIRED = {
     "datagen_source": ["fields"], "filesystem_source": ["path"], "kafka_source": ["topic", "bootstrap_servers", "schema"],
@@ -36,6 +37,8 @@ REQUIRED = {
     "ai_model": ["load", "inputs", "alias"], "feature_store": ["keys", "left_time", "right_time"],
     "watermark_assigner": ["time"], "changelog_normalize": ["by", "order", "mode"], "cdc_source": ["table"],
     "filesystem_sink": ["path"], "kafka_sink": ["topic", "bootstrap_servers"], "cdc_sink": ["keys"],
+    "pulsar_source": ["service_url", "topic"], "kinesis_source": ["stream", "region"], "elasticsearch_sink": ["hosts", "index"],
+    "mongodb_sink": ["uri", "database", "collection"], "hudi_sink": ["path", "table", "record_key", "precombine"], "iceberg_sink": ["table"],
     "jdbc_sink": ["url", "table"], "print_sink": [], "blackhole_sink": [], "result_output": ["name"],
 }
 
@@ -49,6 +52,23 @@ class Context:
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
     functions: dict[str, Callable] = field(default_factory=dict)
+    settings: dict = field(default_factory=dict)
+    node: str = ""
+
+    @property
+    def ttl(self) -> str | None:
+        return self.settings.get("ttl")
+
+    def writer(self, df: DataFrame):
+        """Writer of a stream with the pipeline's checkpoint and trigger (``available_now`` or an interval)."""
+        folder = self.settings.get("checkpoint")
+        if not folder:
+            raise SpecError(f"{self.node}: a sink of a stream needs the setting 'checkpoint'")
+        writer = df.writeStream.outputMode("append").queryName(self.node).option("checkpointLocation", f"{folder}/{self.node}")
+        trigger = self.settings.get("trigger") or self.settings.get("mini_batch")
+        if trigger == "available_now":
+            return writer.trigger(availableNow=True)
+        return writer.trigger(processingTime=trigger) if trigger else writer
 
 
 def _exprs(aggs: dict[str, str]) -> dict:
@@ -69,7 +89,7 @@ def _watermark(ins, p, ctx):
 def _lookup(ins, p, ctx):
     if p.get("left_time"):
         right = ins[1].select(*p["keys"], p["right_time"], *p["columns"])
-        return joins.asof_join(ins[0], right, p["keys"], p["left_time"], p["right_time"], "left")
+        return _asof([ins[0], right], p, ctx, "left")
     return joins.lookup_join(ins[0], ins[1], p["keys"], p["columns"])
 
 
@@ -78,9 +98,131 @@ def _aggregate(ins, p, ctx):
     return out.where(p["having"]) if p.get("having") else out
 
 
+def _sink(fmt: str, options: dict, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable:
+    """Sink that one format serves, for tables (appended) and streams."""
+    def make(df, ctx):
+        rows = shape(df)
+        if df.isStreaming:
+            writer = ctx.writer(rows).format(fmt).options(**options)
+            return lambda: writer.start()
+        return lambda: rows.write.mode("append").format(fmt).options(**options).save()
+    return make
+
+
+def _files_sink(ins, p, ctx):
+    df, fmt, parts = ins[0], p.get("format", "parquet"), p.get("partition_by", [])
+    if df.isStreaming:
+        return lambda: ctx.writer(df).format(fmt).partitionBy(*parts).option("path", p["path"]).start()
+    return lambda: sinks.write_files(df, p["path"], fmt, parts, mode=p.get("mode", "append"))
+
+
+def _kafka_sink(ins, p, ctx):
+    options = sinks.kafka_sink_options(p["topic"], p["bootstrap_servers"])
+    return _sink("kafka", options, lambda df: sinks.encode_messages(df, p.get("keys", []), p.get("format", "json")))(ins[0], ctx)
+
+
+def _cdc_sink(ins, p, ctx):
+    options = sinks.kafka_sink_options(p["topic"], p["bootstrap_servers"])
+    return _sink("kafka", options, lambda df: sinks.encode_upserts(df, p["keys"]))(ins[0], ctx)
+
+
 def _jdbc_sink(ins, p, ctx):
-    options = readers.jdbc_options(**p)
-    return lambda: ins[0].write.mode("append").format("jdbc").options(**options).save()
+    """Appends; with ``staging`` (a prefix) each batch of a stream goes to a staging table of its own, which the function named by
+    ``merge`` upserts from."""
+    df, own = ins[0], {k: v for k, v in p.items() if k not in ("staging", "merge", "keys")}
+    options = readers.jdbc_options(**own)
+    if not df.isStreaming:
+        return lambda: df.write.mode("append").format("jdbc").options(**options).save()
+    if p.get("staging"):
+        rest = {k: v for k, v in options.items() if k != "dbtable"}
+        write = sinks.jdbc_writer(lambda batch: f"{p['staging']}_{batch}", ctx.functions.get(p.get("merge", "")), **rest)
+    else:
+        def write(batch, batch_id):
+            batch.write.mode("append").format("jdbc").options(**options).save()
+    return lambda: ctx.writer(df).foreachBatch(write).start()
+
+
+def _connector_sink(fmt: str, options: Callable[..., dict]) -> Callable:
+    return lambda ins, p, ctx: _sink(fmt, options(**p))(ins[0], ctx)
+
+
+def _connector_source(fmt: str, options: Callable[..., dict]) -> Callable:
+    def read(ins, p, ctx):
+        own = {k: v for k, v in p.items() if k != "streaming"}
+        reader = ctx.spark.readStream if p.get("streaming", True) else ctx.spark.read
+        return reader.format(fmt).options(**options(**own)).load()
+    return read
+
+
+def _blackhole(ins, p, ctx):
+    if ins[0].isStreaming:
+        return lambda: ctx.writer(ins[0]).format("noop").start()
+    return lambda: sinks.blackhole(ins[0])
+
+
+def _print(ins, p, ctx):
+    if ins[0].isStreaming:
+        return lambda: ctx.writer(ins[0]).format("console").start()
+    return lambda: sinks.console(ins[0])
+
+
+def _result(ins, p, ctx):
+    """A view of a table; of a stream, files and a view over them, so that results do not gather in the driver."""
+    if not ins[0].isStreaming:
+        return lambda: sinks.result_output(ins[0], p["name"], p.get("limit"))
+
+    node, writer = ctx.node, ctx.writer(ins[0])
+
+    def start():
+        path = f"{ctx.settings['checkpoint']}/{node}-rows"
+        folder = ctx.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(ctx.spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        query = writer.format("parquet").option("path", path).start()
+        if ctx.settings.get("trigger") == "available_now":
+            query.awaitTermination()
+        rows = ctx.spark.read.schema(ins[0].schema).parquet(path)
+        (rows.limit(p["limit"]) if p.get("limit") else rows).createOrReplaceTempView(p["name"])
+        return query
+
+    return start
+
+
+def _time_of(p: dict) -> str:
+    return p.get("time") or p["order"][0].lstrip("-")
+
+
+def _dedup(ins, p, ctx):
+    if not ins[0].isStreaming:
+        return keyed.dedup(ins[0], p["by"], p["order"], p.get("keep", "first"))
+    if p.get("keep", "first") != "first" or p["order"][0].startswith("-"):
+        raise SpecError(f"{ctx.node}: on a stream the first row by event time is kept; the last one never is final")
+    return state.dedup(ins[0], p["by"], _time_of(p), p.get("ttl", ctx.ttl))
+
+
+def _topn(ins, p, ctx):
+    if not ins[0].isStreaming:
+        return keyed.top_n(ins[0], p["by"], p["order"], int(p["n"]))
+    if not p.get("time"):
+        raise SpecError(f"{ctx.node}: top-N of a stream needs its event time ('time')")
+    return state.top_n(ins[0], p["by"], p["time"], p["order"][0], int(p["n"]), p.get("ttl", ctx.ttl))
+
+
+def _asof(ins, p, ctx, how: str):
+    join = state.asof_join if ins[0].isStreaming else joins.asof_join
+    return join(ins[0], ins[1], p["keys"], p["left_time"], p["right_time"], how, p.get("ttl", ctx.ttl))
+
+
+def _match(ins, p, ctx):
+    if ins[0].isStreaming:
+        return state.match_pattern(ins[0], p["by"], p["time"], p["pattern"], p["define"], p["within"], p.get("skip", "past"))
+    return patterns.match_pattern(ins[0], p["by"], p["time"], p["pattern"], p["define"], p["within"], p.get("skip", "past"),
+                                  p.get("rows", "one"), p.get("skip_to"))
+
+
+def _changelog(ins, p, ctx):
+    if ins[0].isStreaming:
+        return state.changelog(ins[0], p["by"], _time_of(p), p.get("kind", "row_kind"), p["mode"], p.get("ttl", ctx.ttl))
+    return keyed.changelog_normalize(ins[0], p["by"], p["order"], p["mode"])
 
 
 NODES: dict[str, Callable] = {
@@ -108,35 +250,34 @@ NODES: dict[str, Callable] = {
     "cumulate_window": lambda ins, p, ctx: windows.cumulate(
         ins[0], p["time"], p["step"], p["max_size"], p.get("by", []), _exprs(p["aggs"])),
     "aggregate": _aggregate,
-    "dedup": lambda ins, p, ctx: keyed.dedup(ins[0], p["by"], p["order"], p.get("keep", "first")),
-    "topn": lambda ins, p, ctx: keyed.top_n(ins[0], p["by"], p["order"], int(p["n"])),
+    "dedup": _dedup,
+    "topn": _topn,
     "interval_join": lambda ins, p, ctx: joins.interval_join(
         ins[0], ins[1], p["keys"], p["left_time"], p["right_time"], p["lower"], p["upper"], p.get("how", "inner").lower()),
-    "temporal_join": lambda ins, p, ctx: joins.asof_join(
-        ins[0], ins[1], p["keys"], p["left_time"], p["right_time"], p.get("how", "inner").lower()),
+    "temporal_join": lambda ins, p, ctx: _asof(ins, p, ctx, p.get("how", "inner").lower()),
     "regular_join": lambda ins, p, ctx: joins.regular_join(
         ins[0].alias("l"), ins[1].alias("r"), F.expr(p["condition"]), p.get("how", "inner").lower().replace(" outer", "")),
-    "match_recognize": lambda ins, p, ctx: patterns.match_pattern(
-        ins[0], p["by"], p["time"], p["pattern"], p["define"], p["within"], p.get("skip", "past"), p.get("rows", "one"),
-        p.get("skip_to")),
+    "match_recognize": _match,
     "cep_alert": lambda ins, p, ctx: patterns.keyed_alert(
         ins[0], p["time"], p["size"], p["by"], _exprs(p["aggs"]), p["condition"], p["severity"]),
     "ai_model": lambda ins, p, ctx: inference.score(
         ins[0], ctx.functions[p["load"]], p["inputs"], p["alias"], p.get("passthrough"), returns=p.get("returns", "string")),
-    "feature_store": lambda ins, p, ctx: joins.asof_join(
-        ins[0], ins[1], p["keys"], p["left_time"], p["right_time"], "left", p.get("ttl")),
+    "feature_store": lambda ins, p, ctx: _asof(ins, p, ctx, "left"),
     "watermark_assigner": _watermark,
-    "changelog_normalize": lambda ins, p, ctx: keyed.changelog_normalize(ins[0], p["by"], p["order"], p["mode"]),
-    "filesystem_sink": lambda ins, p, ctx: lambda: sinks.write_files(
-        ins[0], p["path"], p.get("format", "parquet"), p.get("partition_by", []), mode=p.get("mode", "append")),
-    "kafka_sink": lambda ins, p, ctx: lambda: sinks.encode_messages(ins[0], p.get("keys", []), p.get("format", "json"))
-    .write.format("kafka").options(**sinks.kafka_sink_options(p["topic"], p["bootstrap_servers"])).save(),
-    "cdc_sink": lambda ins, p, ctx: lambda: sinks.encode_upserts(ins[0], p["keys"])
-    .write.format("kafka").options(**sinks.kafka_sink_options(p["topic"], p["bootstrap_servers"])).save(),
+    "changelog_normalize": _changelog,
+    "pulsar_source": _connector_source("pulsar", readers.pulsar_options),
+    "kinesis_source": _connector_source("kinesis", readers.kinesis_options),
+    "elasticsearch_sink": _connector_sink("org.elasticsearch.spark.sql", sinks.elasticsearch_options),
+    "mongodb_sink": _connector_sink("mongodb", sinks.mongodb_options),
+    "hudi_sink": lambda ins, p, ctx: _sink("hudi", {**sinks.hudi_options(**{k: v for k, v in p.items() if k != "path"}), "path": p["path"]})(ins[0], ctx),
+    "iceberg_sink": lambda ins, p, ctx: _sink("iceberg", {"path": p["table"]})(ins[0], ctx),
+    "filesystem_sink": _files_sink,
+    "kafka_sink": _kafka_sink,
+    "cdc_sink": _cdc_sink,
     "jdbc_sink": _jdbc_sink,
-    "print_sink": lambda ins, p, ctx: lambda: sinks.console(ins[0]),
-    "blackhole_sink": lambda ins, p, ctx: lambda: sinks.blackhole(ins[0]),
-    "result_output": lambda ins, p, ctx: lambda: sinks.result_output(ins[0], p["name"], p.get("limit")),
+    "print_sink": _print,
+    "blackhole_sink": _blackhole,
+    "result_output": _result,
 }
 _TWO_INPUTS = {"union", "enrich", "lookup_join", "interval_join", "temporal_join", "regular_join", "feature_store"}
 
@@ -206,11 +347,7 @@ class Pipeline:
               functions: dict[str, Callable] | None = None) -> dict[str, object]:
         """Results by node id: a DataFrame, the dict of a split, or for a sink the function that runs it."""
         self.validate()
-        for key, value in self.settings.get("conf", {}).items():
-            spark.conf.set(key, value)
-        if self.settings.get("parallelism"):
-            spark.conf.set("spark.sql.shuffle.partitions", str(self.settings["parallelism"]))
-        ctx = Context(spark, tables or {}, functions or {})
+        ctx = Context(spark, tables or {}, functions or {}, self.settings)
         nodes, done = {n["id"]: n for n in self.nodes}, {}
         for node_id in self.order():
             ins = sorted((e for e in self.edges if e["to"] == node_id),
@@ -220,11 +357,30 @@ class Pipeline:
                 source = done[e["from"]]
                 df = source[e["route"]] if isinstance(source, dict) else source
                 frames.append(relational.redistribute(df, e.get("type", "forward"), e.get("keys", []), e.get("partitions")))
+            ctx.node = node_id
             done[node_id] = NODES[nodes[node_id]["op"]](frames, nodes[node_id].get("params", {}), ctx)
+        mode = self.settings.get("mode")
+        streams = any(isinstance(d, DataFrame) and d.isStreaming for d in done.values())
+        if mode in ("streaming", "batch") and streams != (mode == "streaming"):
+            raise SpecError(f"mode {mode!r} is asked for, but the sources are {'streams' if streams else 'tables'}")
         return done
 
     def run(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None,
             functions: dict[str, Callable] | None = None) -> dict[str, object]:
-        """Build and run every sink."""
-        built = self.build(spark, tables, functions)
-        return {n["id"]: built[n["id"]]() for n in self.nodes if n["op"] in SINKS}
+        """Build and run every sink; streams are started and their queries returned.
+
+        Settings hold while the sinks are run or started, and the session's own come back afterwards: ``conf``, ``parallelism``, ``mode``,
+        ``ttl`` (event time after which idle state is forgotten), ``checkpoint`` (folder) and ``trigger`` or ``mini_batch``.
+        """
+        conf = {k: str(v) for k, v in self.settings.get("conf", {}).items()}
+        if self.settings.get("parallelism"):
+            conf["spark.sql.shuffle.partitions"] = str(self.settings["parallelism"])
+        before = {k: spark.conf.get(k, None) for k in conf}
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        try:
+            built = self.build(spark, tables, functions)
+            return {n["id"]: built[n["id"]]() for n in self.nodes if n["op"] in SINKS}
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value) if value is not None else spark.conf.unset(key)

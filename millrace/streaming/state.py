@@ -25,8 +25,8 @@ Step = Callable[[object, list[tuple[int, int, str]]], tuple[object, list[tuple]]
 
 
 class _InOrder(StatefulProcessor):
-    def __init__(self, keys: Sequence[str], step: Step, ttl_us: int | None):
-        self.keys, self.step, self.ttl_us = list(keys), step, ttl_us
+    def __init__(self, keys: Sequence[str], step: Step, ttl_us: int | None, whole: bool = False):
+        self.keys, self.step, self.ttl_us, self.whole = list(keys), step, ttl_us, whole
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -95,7 +95,7 @@ class _InOrder(StatefulProcessor):
 
     def _runs(self, rows):
         """With a time to live, row by row, so that state expires between rows; else all at once."""
-        if self.ttl_us is None:
+        if self.ttl_us is None or self.whole:
             return [rows] if rows else []
         return [[r] for r in rows]
 
@@ -108,14 +108,16 @@ def _packed(df: DataFrame, by: Sequence[str], ts: str, side: int) -> DataFrame:
                      F.to_json(F.struct(*df.columns), _JSON).alias("body_"))
 
 
-def in_order(df: DataFrame, by: Sequence[str], step: Step, ttl: str | None = None) -> DataFrame:
+def in_order(df: DataFrame, by: Sequence[str], step: Step, ttl: str | None = None, whole: bool = False) -> DataFrame:
     """Run a step over packed rows per key, whose state expires ``ttl`` of event time after it last changed.
 
+    Rows that are ready go to the step one by one, so that state can expire between them, or all at once (``whole``).
+
     Columns: by, a_, b_, tag_ (Spark renames input columns that start with an underscore).
     """
     out = T.StructType([df.schema[k] for k in by] + [T.StructField(c, T.StringType()) for c in ("a_", "b_", "tag_")])
     ttl_us = durations.micros(ttl) if ttl else None
-    return df.groupBy(*by).transformWithStateInPandas(_InOrder(by, step, ttl_us), out, "append", "EventTime")
+    return df.groupBy(*by).transformWithStateInPandas(_InOrder(by, step, ttl_us, whole), out, "append", "EventTime")
 
 
 def _body(column: str, df: DataFrame, names: Sequence[str], prefix: str = ""):
@@ -151,8 +153,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     return out.select(*_body("a_", left, left.columns), *_body("b_", right, versions))
 
 
-def lag(df: DataFrame, by: Sequence[str], ts: str, columns: dict[str, tuple[str, int]]) -> DataFrame:
-    """LAG on a stream: ``{"prev": ("value", 1)}``."""
+def lag(df: DataFrame, by: Sequence[str], ts: str, columns: dict[str, tuple[str, int]], ttl: str | None = None) -> DataFrame:
+    """LAG on a stream: ``{"prev": ("value", 1)}``. Past rows are forgotten ``ttl`` after the key's last row."""
     deepest = max(n for _, n in columns.values())
 
     def step(past, rows):
@@ -164,13 +166,16 @@ def lag(df: DataFrame, by: Sequence[str], ts: str, columns: dict[str, tuple[str,
             past = [*past, {c: row.get(c) for c, _ in columns.values()}][-deepest:]
         return past, out
 
-    out = in_order(_packed(df, by, ts, 0), by, step)
+    out = in_order(_packed(df, by, ts, 0), by, step, ttl)
     added = T.StructType([T.StructField(a, df.schema[c].dataType) for a, (c, _) in columns.items()])
     return out.select(*_body("a_", df, df.columns), *[F.from_json("b_", added, _JSON)[a].alias(a) for a in columns])
 
 
 def range_sum(df: DataFrame, by: Sequence[str], ts: str, value: str, reach: str, alias: str) -> DataFrame:
-    """SUM over the rows at most ``reach`` before each row; its peers in time are included."""
+    """SUM over the rows at most ``reach`` before each row; its peers in time are included.
+
+    A key's state expires once nothing can reach it any more.
+    """
     span = durations.micros(reach)
 
     def step(past, rows):
@@ -187,13 +192,18 @@ def range_sum(df: DataFrame, by: Sequence[str], ts: str, value: str, reach: str,
             out.append((body, json.dumps({alias: totals[j] - totals[i] if counts[j] > counts[i] else None}), ""))
         return held[bisect_left(times, times[-1] - span):], out
 
-    out = in_order(_packed(df, by, ts, 0), by, step)
+    # Peers in time must be handled together, which a time to live would part; the state is bounded by the reach.
+    out = in_order(_packed(df, by, ts, 0), by, step, reach, whole=True)
     added = T.StructType([T.StructField(alias, T.DoubleType())])
     return out.select(*_body("a_", df, df.columns), F.from_json("b_", added)[alias].alias(alias))
 
 
-def changelog(df: DataFrame, by: Sequence[str], ts: str, kind: str = "row_kind", mode: str = "retract") -> DataFrame:
-    """Changelog in normal form: ``upsert`` (+I, +U, -D) or ``retract`` (also -U with the true old image)."""
+def changelog(df: DataFrame, by: Sequence[str], ts: str, kind: str = "row_kind", mode: str = "retract",
+              ttl: str | None = None) -> DataFrame:
+    """Changelog in normal form: ``upsert`` (+I, +U, -D) or ``retract`` (also -U with the true old image).
+
+    A row that did not change for ``ttl`` is forgotten; its next change is then an insert.
+    """
     if mode not in ("upsert", "retract"):
         raise ValueError("streams normalize to upsert or retract; append is a filter")
 
@@ -217,12 +227,15 @@ def changelog(df: DataFrame, by: Sequence[str], ts: str, kind: str = "row_kind",
                 now = body
         return now, out
 
-    out = in_order(_packed(df, by, ts, 0), by, step)
+    out = in_order(_packed(df, by, ts, 0), by, step, ttl)
     return out.select(*_body("a_", df, [c for c in df.columns if c != kind]), F.col("tag_").alias(kind))
 
 
-def top_n(df: DataFrame, by: Sequence[str], ts: str, order: str, n: int) -> DataFrame:
-    """Top n per key by ``order`` (``-value`` for descending) as a changelog: rows enter (+I) and leave (-D)."""
+def top_n(df: DataFrame, by: Sequence[str], ts: str, order: str, n: int, ttl: str | None = None) -> DataFrame:
+    """Top n per key by ``order`` (``-value`` for descending) as a changelog: rows enter (+I) and leave (-D).
+
+    A key's list is forgotten ``ttl`` after it last changed.
+    """
     down, column = order.startswith("-"), order.lstrip("-")
 
     def step(top, rows):
@@ -240,7 +253,7 @@ def top_n(df: DataFrame, by: Sequence[str], ts: str, order: str, n: int) -> Data
             out.append((body, None, "+I"))
         return top, out
 
-    out = in_order(_packed(df, by, ts, 0), by, step)
+    out = in_order(_packed(df, by, ts, 0), by, step, ttl)
     return out.select(*_body("a_", df, df.columns), F.col("tag_").alias("row_kind"))
 
 

@@ -166,3 +166,19 @@ def stream_branches(t):
     q.awaitTermination()
     errors, large = [t.spark.read.parquet(f"{path}/{b}").select(F.lit(b).alias("branch"), "event_id") for b in ("errors", "large")]
     return errors.unionByName(large)
+
+
+@query("stream_spec", tumble_sql("1 HOUR", "event_type", "count(*) AS n, round(sum(value), 4) AS total").replace("FROM events", "FROM events WHERE value > 5", 1))
+def stream_spec(t):
+    """A pipeline spec on a stream: filter, window, file sink."""
+    from millrace.plans.spec import Pipeline
+    folder = session.work_dir(t.spark, "spec")
+    nodes = [("in", "input", {"table": "events"}), ("keep", "filter", {"condition": "value > 5"}),
+             ("hours", "tumble_window", {"time": "ts", "size": "1 hour", "by": ["event_type"], "aggs": {"n": "count(1)", "total": "round(sum(value), 4)"}}),
+             ("files", "filesystem_sink", {"path": f"{folder}/rows"})]
+    spec = Pipeline.from_dict({"name": "hours", "nodes": [{"id": i, "op": o, "params": p} for i, o, p in nodes],
+                               "edges": [{"from": a[0], "to": b[0]} for a, b in zip(nodes, nodes[1:])],
+                               "settings": {"mode": "streaming", "checkpoint": f"{folder}/checkpoint", "trigger": "available_now"}})
+    spec.run(t.spark, {"events": stream(t)})["files"].awaitTermination()
+    done = t.spark.read.parquet(f"{folder}/rows")
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})

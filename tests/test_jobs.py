@@ -90,6 +90,49 @@ def test_other_options():
     assert sinks.hudi_options("t", "k", "ts", kind="MERGE_ON_READ")["hoodie.datasource.write.table.type"] == "MERGE_ON_READ"
 
 
+def test_generated_numbers_have_no_period(spark):
+    ids = spark.createDataFrame([(5,), (2 ** 31 + 4,), (2 ** 31 - 1,), (2 ** 40,)], "id bigint")
+    got = rows(readers.with_generated(ids, "id", {"big": {"min": 0, "max": 10 ** 15}, "s": {"type": "STRING", "length": 40}}), "big", "s")
+    assert len({b for b, _ in got}) == 4 and max(b for b, _ in got) > 2 ** 32 and all(len(s) == 40 for _, s in got)
+
+
+def test_page_refuses_to_shorten(spark):
+    from millrace.operators import relational
+    with pytest.raises(ValueError):
+        relational.page(spark.range(100), ["id"], 1, 90, cap=50)
+    assert relational.page(spark.range(9000), ["id"], 1, 8000).count() == 8000
+
+
+def test_spec_on_streams(spark, sf, tmp_path):
+    """Keyed nodes and sinks of a spec whose source is a stream; settings of the session come back."""
+    from millrace.plans.spec import Pipeline, SpecError
+    from millrace.streaming import run
+    from millrace.streaming.watermark import assign
+    events = session.table(spark, sf, "events")
+    stream = assign(run.file_stream(spark, sf, "events.parquet", events.schema), "ts", "1 hour")
+    keyed_nodes = {"dedup": {"by": ["user_id"], "order": ["ts"]}, "topn": {"by": ["user_id"], "order": ["-value"], "n": 2, "time": "ts"},
+                   "match_recognize": {"by": ["user_id"], "time": "ts", "pattern": "A B", "define": {"A": "value > 5", "B": "value > 9"}, "within": "9 days"},
+                   "changelog_normalize": {"by": ["user_id"], "order": ["ts"], "mode": "upsert", "kind": "event_type"}}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for op, params in keyed_nodes.items():
+        folder = tmp_path / op
+        nodes = [("in", "input", {"table": "events"}), ("do", op, params), ("out", "filesystem_sink", {"path": f"{folder}/rows"})]
+        spec = {"nodes": [{"id": i, "op": o, "params": p} for i, o, p in nodes], "edges": [{"from": "in", "to": "do"}, {"from": "do", "to": "out"}],
+                "settings": {"parallelism": 2, "ttl": "30 days", "checkpoint": str(folder / "c"), "trigger": "available_now"}}
+        Pipeline.from_dict(spec).run(spark, {"events": stream})["out"].awaitTermination()
+        assert spark.read.parquet(f"{folder}/rows").count() > 0, op
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    for op, params in {"blackhole_sink": {}, "result_output": {"name": "seen"}}.items():
+        spec = {"nodes": [{"id": "in", "op": "input", "params": {"table": "events"}}, {"id": "out", "op": op, "params": params}],
+                "edges": [{"from": "in", "to": "out"}], "settings": {"checkpoint": str(tmp_path / op), "trigger": "available_now"}}
+        Pipeline.from_dict(spec).run(spark, {"events": stream})["out"].awaitTermination()
+    assert spark.table("seen").count() == events.count()
+    with pytest.raises(SpecError):
+        Pipeline.from_dict({**spec, "settings": {}}).build(spark, {"events": stream})
+    with pytest.raises(SpecError):
+        Pipeline.from_dict({**spec, "settings": {"mode": "batch", "checkpoint": "x"}}).build(spark, {"events": stream})
+
+
 def test_datagen(spark):
     fields = {"n": {"min": 3, "max": 7}, "s": {"type": "STRING", "length": 12}, "d": {"type": "DOUBLE", "min": -1, "max": 1},
               "q": {"kind": "sequence", "start": 10, "end": 12}}

@@ -212,3 +212,17 @@ def test_bad_patterns(bad):
 def test_top_n_beyond_the_group_limit(ev):
     got = keyed.top_n(ev, ["event_type"], ["ts"], 1500)
     assert got.count() == ev.count()
+
+
+@pytest.mark.parametrize("order", ["v", "-v", "text", "-text", "flag"])
+def test_ranks_of_special_values(spark, order):
+    """NULL, NaN, infinities, huge numbers and texts rank alike whether or not the key is busy."""
+    nan, inf = float("nan"), float("inf")
+    values = [(None, None, None), (-3.0, "b", True), (1.0, "a", False), (5.0, "", True), (nan, "é", False), (inf, "aa", True), (-inf, "ab", None),
+              (1e300, "z" * 9, True), (-1e300, "zzzzzzzzy", False), (5.0, "b", True)]
+    df = spark.createDataFrame([(1, *v) for v in values], "k int, v double, text string, flag boolean")
+    plain = over.rank_over(df, ["k"], [order], {"r": "rank", "d": "dense_rank"}, 2.0)
+    sliced = over.rank_over(df, ["k"], [order], {"r": "rank", "d": "dense_rank"}, 2.0, hot_rows=2)
+    key = order.lstrip("-")
+    shown = lambda out: sorted((str(r[key]), r["r"], r["d"]) for r in out.collect())
+    assert shown(plain) == shown(sliced)
