@@ -73,11 +73,6 @@ def match_sequence(df: DataFrame, by: Sequence[str], ts: str, steps: Sequence[st
     return chosen.select(*df.columns, *data)
 
 
-def python_partitions(df: DataFrame) -> int:
-    """Partitions of a Python stage; stated, as AQE would merge them by bytes although Python work is by row."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Keep matches greedily in row order: after each one, the next start at or past ``_resume``.
 
@@ -150,7 +145,7 @@ def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str], keep: S
             yield pdf[chosen][out]
 
     # sorted rows stream through the task, so a slice is never held in memory
-    return (entered.repartition(python_partitions(spans), *by, sl.SLICE).sortWithinPartitions(*by, sl.SLICE, "_at")
+    return (entered.repartition(*by, sl.SLICE).sortWithinPartitions(*by, sl.SLICE, "_at")
             .mapInPandas(choose, T.StructType([spans.schema[c] for c in out])))
 
 
@@ -255,20 +250,19 @@ class Pattern:
         self.steps.append(())
         return len(self.steps) - 1
 
-    def match(self, fits: Callable[[str, int, tuple], bool], start: int, end: int, pure: bool) -> list[str] | None:
+    def match(self, fits: Callable[[str, int, tuple], bool], start: int, end: int, pure: bool,
+              memory: Memory | None = None) -> list[str] | None:
         """Variables of the preferred match of rows ``start..end-1``, one per row.
 
-        ``pure``: whether ``fits`` ignores the rows taken so far; then no state is tried twice.
+        ``pure``: whether ``fits`` ignores the rows taken so far; then no state is tried twice, and ``memory`` carries what is known
+        of states from one start to the next.
         """
+        if pure:
+            return self._remembered(fits, start, end, memory or Memory())
         todo: list[tuple] = [(0, start, None)]
-        tried = set()
         while todo:
             step, row, taken = todo.pop()
             while True:
-                if pure:
-                    if (step, row) in tried:
-                        break
-                    tried.add((step, row))
                 s = self.steps[step]
                 if s[0] == "done":
                     path = []
@@ -286,6 +280,76 @@ class Pattern:
                     step = s[1]
         return None
 
+    def _remembered(self, fits, start: int, end: int, memory: Memory) -> list[str] | None:
+        """Whether a state (step, row) leads to a match does not depend on the start, and only on ``end`` where it was met."""
+        memory.reach(end)
+        firm, loose, steps = memory.firm, memory.loose, self.steps
+
+        def known(state):
+            return (firm[state], False) if state in firm else (loose[state], True) if state in loose else None
+
+        def settle(state, found, open_):
+            (loose if open_ else firm)[state] = found
+
+        stack = [(0, start)]
+        while stack:
+            state = stack[-1]
+            if known(state) is not None:
+                stack.pop()
+                continue
+            step, row = state
+            s = steps[step]
+            if s[0] == "done":
+                settle(state, True, False)
+            elif s[0] == "row":
+                if row >= end:
+                    settle(state, False, True)
+                elif not fits(s[1], row, None):
+                    settle(state, False, False)
+                else:
+                    after = known((step + 1, row + 1))
+                    if after is None:
+                        stack.append((step + 1, row + 1))
+                    else:
+                        settle(state, *after)
+            else:
+                first = known((s[1], row))
+                if first is None:
+                    stack.append((s[1], row))
+                elif first[0] or s[2] is None:
+                    settle(state, *first)
+                else:
+                    second = known((s[2], row))
+                    if second is None:
+                        stack.append((s[2], row))
+                    else:
+                        settle(state, second[0], first[1] or second[1])
+        if not known((0, start))[0]:
+            return None
+        path, step, row = [], 0, start
+        while steps[step][0] != "done":
+            s = steps[step]
+            if s[0] == "row":
+                path.append(s[1])
+                step, row = step + 1, row + 1
+            else:
+                step = s[1] if known((s[1], row))[0] else s[2]
+        return path
+
+
+class Memory:
+    """Outcome of states: firm ones, and those that met the last row allowed and may change when that moves."""
+
+    def __init__(self):
+        self.firm: dict[tuple[int, int], bool] = {}
+        self.loose: dict[tuple[int, int], bool] = {}
+        self.end = -1
+
+    def reach(self, end: int) -> None:
+        if end != self.end:
+            self.loose.clear()
+            self.end = end
+
 
 def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, define: dict[str, str], within: str,
                   skip: str = "past", rows: str = "one", skip_to: str | None = None, tie: Sequence[str] = (),
@@ -333,10 +397,15 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
     found_type = T.StructType([df.schema[k] for k in by] + [
         T.StructField(sl.SLICE, T.LongType()), T.StructField("_at", T.LongType()),
         T.StructField("_path", T.StringType()), T.StructField("_resume", T.LongType())])
-    names, group_columns = [f.name for f in found_type.fields], [*keys, sl.SLICE]
+    names, group_columns, hot_column = [f.name for f in found_type.fields], [*keys, sl.SLICE], sl.HOT
 
     def matches_in(at, us, own, masks, columns) -> Iterator[tuple[int, str, int]]:
-        """Matches of one slice: first row number, letters, row number to resume at."""
+        """Matches of one slice: first row number, letters, row number to resume at.
+
+        Where the slice is a whole key, rows that a match skips need no match of their own.
+        """
+        whole, memory = not columns[hot_column][0], Memory()
+
         def fits(v: str, row: int, taken) -> bool:
             if not masks[row] & bits[v]:
                 return False
@@ -353,11 +422,13 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
             return bool(navigate[v](lambda c: columns[c][row], lambda w, c: bound(w, c, False),
                                     lambda w, c: bound(w, c, True)))
 
-        end = 0
+        end, resume = 0, 0
         for i in range(len(at)):
+            if i < resume:
+                continue
             while end < len(us) and us[end] < us[i] + limit:
                 end += 1
-            path = p.match(fits, i, end, not navigate) if own[i] else None
+            path = p.match(fits, i, end, not navigate, memory) if own[i] else None
             if not path:  # an empty match is no match
                 continue
             if skip == "past":
@@ -369,6 +440,8 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
             else:
                 place = path.index(skip_to) if skip == "first" else len(path) - 1 - path[::-1].index(skip_to)
                 step = max(place, 1)  # a target at the start must still advance
+            if whole:
+                resume = i + step
             yield at[i], "".join(letters[v] for v in path), at[i] + step
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -398,8 +471,8 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
             yield pd.DataFrame(finished(), columns=names).astype(object)
 
     def matches_of(part: DataFrame) -> DataFrame:
-        rows = part.select(*by, *[c for c in carry if c not in by], sl.SLICE, "_own", "_us", "_at", "_m")
-        return (rows.repartition(python_partitions(df), *by, sl.SLICE).sortWithinPartitions(*by, sl.SLICE, "_at")
+        rows = part.select(*by, *[c for c in carry if c not in by], sl.SLICE, sl.HOT, "_own", "_us", "_at", "_m")
+        return (rows.repartition(*by, sl.SLICE).sortWithinPartitions(*by, sl.SLICE, "_at")
                 .mapInPandas(walk, found_type))
 
     matches = matches_of(halo)

@@ -153,14 +153,20 @@ def export_csv(df: DataFrame, path: str) -> None:
 Branch = tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], None]]
 
 
-def write_branches(df: DataFrame, branches: dict[str, Branch]) -> None:
-    """Several (transform, write) branches from one input that is read once."""
-    df.persist(StorageLevel.DISK_ONLY)
+def write_branches(df: DataFrame, branches: dict[str, Branch], persist: bool = False) -> None:
+    """Several (transform, write) branches from one input.
+
+    Each branch scans its own columns of the input, which costs less than keeping all of a file table on the executors' disks.
+    ``persist`` keeps the input instead, where it is small and dear to compute.
+    """
+    if persist:
+        df.persist(StorageLevel.DISK_ONLY)
     try:
         for transform, write in branches.values():
             write(transform(df))
     finally:
-        df.unpersist()
+        if persist:
+            df.unpersist()
 
 
 def stream_branches(df: DataFrame, branches: dict[str, Callable[[DataFrame], DataFrame]],

@@ -226,3 +226,16 @@ def test_ranks_of_special_values(spark, order):
     key = order.lstrip("-")
     shown = lambda out: sorted((str(r[key]), r["r"], r["d"]) for r in out.collect())
     assert shown(plain) == shown(sliced)
+
+
+def test_long_runs_take_linear_time():
+    """A+ B over a long run of A without a B, and with one at the end."""
+    import time
+    n = 100_000
+    for last in ("A", "B"):
+        kinds = ["A"] * (n - 1) + [last]
+        p, memory, began = patterns.Pattern("A+ B"), patterns.Memory(), time.time()
+        found = [p.match(lambda v, r, _: kinds[r] == v, i, n, True, memory) for i in range(0, n, 1 if last == "A" else n)]
+        assert (found[0] is None) == (last == "A") and time.time() - began < 20
+        if last == "B":
+            assert len(found[0]) == n
