@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -35,7 +36,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session.get_session("bench", f"local[{cpus}]", **{
         "spark__sql__shuffle__partitions": cpus, "spark__ui__enabled": "false",
-        "spark__ui__showConsoleProgress": "false", "spark__driver__memory": os.environ.get("BENCH_MEMORY", "12g")})
+        "spark__ui__showConsoleProgress": "false", "spark__driver__memory": os.environ.get("BENCH_MEMORY", "12g"),
+        "spark__checkpoint__dir": Path(tempfile.mkdtemp(prefix="bench-")).as_uri()})
     spark.sparkContext.setLogLevel("ERROR")
     from queries.all import QUERIES
     names = list(QUERIES) if sys.argv[1:] == ["all"] else sys.argv[1:] or HEADLINE

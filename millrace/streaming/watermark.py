@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
@@ -21,42 +23,66 @@ def assign(df: DataFrame, ts: str, delay: str = "5 seconds", strategy: str = "bo
     return df.withWatermark(ts, "0 seconds" if strategy.startswith("ascending") else delay)
 
 
-METRICS = ("query STRING, operator STRING, ts TIMESTAMP, rows_in DOUBLE, rows_per_s DOUBLE, batch_ms BIGINT,"
-           " watermark TIMESTAMP, late BIGINT, state_rows BIGINT, checkpoint_ms BIGINT")
+METRICS = ("query STRING, operator STRING, ts TIMESTAMP, kind STRING, rows_in DOUBLE, rows_out DOUBLE, rows_per_s DOUBLE,"
+           " backpressure DOUBLE, busy DOUBLE, idle DOUBLE, batch_ms BIGINT, watermark TIMESTAMP, late BIGINT, state_rows BIGINT,"
+           " checkpoint_ms BIGINT")
 
 
 def progress_rows(progress) -> list[tuple]:
-    """One row per stateful operator of a progress event (or one for a stateless query)."""
+    """A row for each source, each stateful operator and the sink of a progress event, as the health jobs take them.
+
+    A source's rows are what it handed out. Back-pressure is the percent by which processing fell behind the input's rate, and
+    belongs to all operators of the query. A batch without rows is idle time. Late rows, state and commit times are of the
+    stateful operators; the commit of a query without any is that of its log.
+    """
     def when(text):
         import datetime
         return datetime.datetime.fromisoformat(text.replace("Z", "+00:00")) if text else None
 
     at, mark = when(progress.timestamp), when(dict(progress.eventTime).get("watermark"))
     spent = dict(progress.durationMs)
-    common = (float(progress.numInputRows), float(progress.processedRowsPerSecond), int(spent.get("triggerExecution", 0)), mark)
-    name = progress.name or str(progress.id)
+    taken, batch_ms, name = float(progress.numInputRows), int(spent.get("triggerExecution", 0)), progress.name or str(progress.id)
+    arriving, handled = float(progress.inputRowsPerSecond or 0), float(progress.processedRowsPerSecond or 0)
+    behind = 100 * (1 - handled / arriving) if arriving > handled > 0 else 0.0
+    idle = 0.0 if taken else 100.0
     ops = progress.stateOperators or []
-    if not ops:
-        return [(name, "stateless", at, *common, 0, 0, int(spent.get("walCommit", 0)))]
-    return [(name, f"{i}:{o.operatorName}", at, *common, o.numRowsDroppedByWatermark, o.numRowsTotal, o.commitTimeMs)
+
+    def row(operator, kind, rows_in, rows_out, late=0, kept=0, commit=0):
+        return name, operator, at, kind, rows_in, rows_out, handled, behind, 100 - idle, idle, batch_ms, mark, late, kept, commit
+
+    out = [row(f"source {i}", "source", 0.0, float(s.numInputRows)) for i, s in enumerate(progress.sources)]
+    out += [row(f"{i}:{o.operatorName}", "process", taken, float(o.numRowsUpdated), o.numRowsDroppedByWatermark, o.numRowsTotal, o.commitTimeMs)
             for i, o in enumerate(ops)]
+    written = progress.sink.numOutputRows if progress.sink is not None else -1
+    return [*out, row("sink", "sink", float(written if written >= 0 else taken), 0.0, commit=0 if ops else int(spent.get("walCommit", 0)))]
 
 
 class ProgressRecorder(StreamingQueryListener):
-    """Appends progress of all queries as files, the input of the health jobs."""
+    """Gathers progress of all queries and appends it as files, the input of the health jobs.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    Files are written when ``every`` seconds have passed since the last one, and when a query ends.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, every: float = 60.0):
+        self.spark, self.path, self.every = spark, path, every
+        self.rows: list[tuple] = []
+        self.last = time.monotonic()
+
+    def flush(self) -> None:
+        rows, self.rows, self.last = self.rows, [], time.monotonic()
+        if rows:
+            self.spark.createDataFrame(rows, METRICS).coalesce(1).write.mode("append").parquet(self.path)
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
-        rows = progress_rows(event.progress)
-        self.spark.createDataFrame(rows, METRICS).coalesce(1).write.mode("append").parquet(self.path)
+        self.rows += progress_rows(event.progress)
+        if time.monotonic() - self.last >= self.every:
+            self.flush()
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
-        pass
+        self.flush()

@@ -138,4 +138,6 @@ def test_recorder_appends_progress(spark, events, folder, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     seen = spark.read.schema(METRICS).parquet(str(tmp_path / "metrics"))
-    assert seen.agg(F.sum("rows_in")).first()[0] == events.count()
+    assert seen.where("kind = 'source'").agg(F.sum("rows_out")).first()[0] == events.count()
+    from millrace.operators import health
+    assert health.bottlenecks(seen).count() > 0 and health.findings(seen).columns == ["query", "ts", "operator", "level", "title"]

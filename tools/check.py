@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -76,7 +77,8 @@ def main():
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = session.get_session("check", "local[8]", **{"spark__sql__shuffle__partitions": 8,
                                                         "spark__ui__enabled": "false", "spark__ui__showConsoleProgress": "false",
-                                                        "spark__driver__memory": "12g"})
+                                                        "spark__driver__memory": "12g",
+                                                        "spark__checkpoint__dir": Path(tempfile.mkdtemp(prefix="check-")).as_uri()})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = []
