@@ -499,25 +499,28 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
 # --- relaxed contiguity and alerts --------------------------------------------------------------
 
 def followed_by(df: DataFrame, by: Sequence[str], ts: str, first: str, then: str, within: str,
-                any_later: bool = False, negated: bool = False) -> DataFrame:
+                any_later: bool = False, negated: bool = False, hot_rows: int = sl.HOT_ROWS) -> DataFrame:
     """Rows of ``first`` with a later row of ``then`` less than or exactly ``within`` after it.
 
     Default: the first such row (followedBy); ``any_later``: all of them (followedByAny);
     ``negated``: rows of ``first`` without one (notFollowedBy). The later row's columns get the prefix
     ``next_``. Rows of one key must have different times.
     """
-    from millrace.operators.joins import interval_join
-    starts = df.where(first)
-    later = df.where(then).select(*by, *[F.col(c).alias("next_" + c) for c in df.columns if c not in by])
-    how = "left" if negated else "inner"
-    pairs = interval_join(starts, later, by, ts, "next_" + ts, "1 microsecond", within, how)
-    if negated:
-        return pairs.where(F.col("next_" + ts).isNull()).select(*df.columns)
+    rest = [c for c in df.columns if c not in by]
     if any_later:
-        return pairs
-    rest = [c for c in pairs.columns if c.startswith("next_")]
-    nearest = F.min_by(F.struct(*rest), F.col("next_" + ts)).alias("_n")
-    return pairs.groupBy(*df.columns).agg(nearest).select(*df.columns, "_n.*")
+        from millrace.operators.joins import interval_join
+        later = df.where(then).select(*by, *[F.col(c).alias("next_" + c) for c in rest])
+        return interval_join(df.where(first), later, by, ts, "next_" + ts, "1 microsecond", within, "inner")
+    # The nearest later row is carried back along the key, so no pairs are made.
+    rows = sl.with_time_halo(df.where(F.col(ts).isNotNull()), by, ts, within, within, backward=False, hot_rows=hot_rows)
+    following = Window.partitionBy(*by, sl.SLICE).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    body = F.struct(*[F.col(c).alias("next_" + c) for c in rest])
+    seen = rows.withColumn("_n", F.last(F.when(F.expr(then), body), ignorenulls=True).over(following)).where(F.col("_own") & F.expr(first))
+    near = F.coalesce(durations.since_epoch(F.col("_n.next_" + ts)) - durations.since_epoch(ts) <= F.lit(durations.micros(within)), F.lit(False))
+    if negated:
+        missed = seen.where(~near).select(*df.columns)
+        return missed.unionByName(df.where(first).where(F.col(ts).isNull()))
+    return seen.where(near).select(*df.columns, "_n.*")
 
 
 def keyed_alert(df: DataFrame, ts: str, size: str, by: Sequence[str], aggs: dict[str, Column], condition: str,

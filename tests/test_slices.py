@@ -239,3 +239,11 @@ def test_long_runs_take_linear_time():
         assert (found[0] is None) == (last == "A") and time.time() - began < 20
         if last == "B":
             assert len(found[0]) == n
+
+
+@pytest.mark.parametrize("negated", [False, True])
+def test_followed_by_busy_and_not(ev, negated):
+    ask = lambda hot: rows(patterns.followed_by(ev.select("event_id", "user_id", "ts", "event_type"), ["user_id"], "ts", "event_type = 'view'",
+                                                "event_type = 'purchase'", "20 hours", negated=negated, hot_rows=hot))
+    plain = ask(10 ** 6)
+    assert plain == ask(HOT) and plain
