@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -122,9 +123,17 @@ def tumble_distinct(df: DataFrame, ts: str, size: str, by: Sequence[str], column
 
 def multi_tumble(df: DataFrame, ts: str, sizes: Sequence[str], by: Sequence[str],
                  aggs: dict[str, Column]) -> DataFrame:
-    """The same aggregates over several window sizes, tagged with ``window_size``."""
-    parts = [tumble(df, ts, s, by, aggs).withColumn("window_size", F.lit(s)) for s in sizes]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """The same aggregates over several window sizes, tagged with ``window_size``.
+
+    A table is read once, each row counting once for every size; on a stream every size is a branch with its own state.
+    """
+    if df.isStreaming:
+        parts = [tumble(df, ts, s, by, aggs).withColumn("window_size", F.lit(s)) for s in sizes]
+        return reduce(lambda a, b: a.unionByName(b), parts)
+    kind, us = df.schema[ts].dataType.simpleString(), durations.since_epoch(ts)
+    start = [F.floor(us / F.lit(durations.micros(s))) * durations.micros(s) for s in sizes]
+    windows = F.array(*[F.struct(F.lit(s).alias("size"), durations.at_micros(b, kind).alias("start"),
+                                 durations.at_micros(b + durations.micros(s), kind).alias("end")) for s, b in zip(sizes, start)])
+    rows = df.where(F.col(ts).isNotNull()).withColumn("_w", F.explode(windows))
+    return _agg(rows.groupBy(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by, F.col("_w.size").alias("window_size")),
+                aggs).select("window_start", "window_end", *by, *aggs, "window_size")
