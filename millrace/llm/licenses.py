@@ -6,7 +6,9 @@ document and a template have in common in order lies on one diagonal (place in t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from millrace.llm.common import written
 
 #: Base phrases and their labels (fixed values).
 PHRASES = (
@@ -93,7 +95,6 @@ def spans(hits: DataFrame, drift: int = 4, gap: int = 12, least: float = 0.5) ->
     are within ``gap`` words merge to one span. A span of a base phrase is verified if one diagonal has all its k-grams; one
     of another template if at least ``least`` of the template's words are in k-grams found there.
     """
-    from pyspark.sql import Window
     key = ["id", "name", "template"]
     votes = hits.withColumn("diagonal", F.col("place") - F.col("at"))
     base = (votes.where("base").groupBy(*key, "label", "base", "length", "diagonal")
@@ -117,7 +118,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases=PH
     Null and empty texts have no words and no spans. Repeated rows give the same result each; a null id is an id like any other.
     Documents without a hit take no part in the voting; the texts themselves are never shuffled.
     """
-    found = spans(matches(docs, doc_id, text, all_templates(phrases, templates)), drift, gap, least)
+    # Hits are few; written once, they serve the phrases and the passages without a second scan of the texts.
+    hits = written(matches(docs, doc_id, text, all_templates(phrases, templates)), "hits")
+    found = spans(hits, drift, gap, least)
     lists = found.groupBy("id", "name").agg(F.sort_array(F.collect_list(F.struct("first", "last", "label", "base", "share"))).alias("spans"))
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")).alias("_name"),
                       F.size(words_of(F.col(f"`{text}`"))).cast("long").alias("n_words"))
