@@ -15,6 +15,8 @@ from millrace import session
 #: Words of letters and digits in text whose A-Z were lowered; bytes of UTF-8 above 0x7F all belong to words.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FOLDS = 5
+#: Rows that a worker gets at once, so that a batch of many texts is not unpacked whole.
+ROWS = 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +59,14 @@ def map_documents(docs: DataFrame, text: str, carry: Sequence[str], make: Callab
 
     def run(batches):
         work = make()
-        for batch in batches:
-            doc = batch.column(0)
-            texts = doc.field(text) if inside else batch.column(1)
-            texts = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-            arrays = work(texts, *batch.columns[first:])
-            yield pa.RecordBatch.from_arrays([doc, *arrays], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                doc = batch.column(0)
+                texts = doc.field(text) if inside else batch.column(1)
+                texts = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+                arrays = work(texts, *batch.columns[first:])
+                yield pa.RecordBatch.from_arrays([doc, *arrays], names=schema.names)
 
     return packed.mapInArrow(run, schema)
 

@@ -26,11 +26,15 @@ SLICE = 4096
 #: Shingles this far above the sketch's mean are known to be shared; they are not gathered with others but sent as rows.
 HOT = 256
 #: Documents that share a shingle take part in rounds of hubs if there are more of them than this.
-BUSY = 32
+BUSY = 8
+#: Hubs of a shingle in a round, and how many of them a document is compared with.
+HUBS, ASKED = 8, 4
 MATCHES = (1, 2, 3, 4, 6, 8)
 #: Cost of one comparison of two documents against that of one entry of a prefix.
 COMPARISON = 20.0
 BLOOM_BITS = 24
+#: Entries that a task packs at once.
+GATHERED = 1_000_000
 
 
 class Shingler:
@@ -53,31 +57,32 @@ class Shingler:
         return np.unique(out)
 
 
-def node_of(shingles: np.ndarray) -> bytes:
-    """One name for all documents with the same set."""
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else b""
+def node_of(shingles: np.ndarray) -> int | None:
+    """One name of 64 bits for all documents with the same set; None for the empty set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
 
 
 def sets(batches, size: int):
     """The set of each text in turn."""
     shingler = Shingler(size)
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            yield shingler.of(text or b"")
+        for at in range(0, batch.num_rows, 256):
+            for text in batch.column(0).slice(at, 256).cast(pa.binary()).to_pylist():
+                yield shingler.of(text or b"")
 
 
 def members(docs: DataFrame, carry, text: str, size: int) -> DataFrame:
-    """``doc`` (the carried columns), ``node`` (empty without words) and ``n_shingles`` of each row."""
+    """``doc`` (the carried columns), ``node`` (null without words) and ``n_shingles`` of each row."""
     def make():
         shingler = Shingler(size)
 
         def work(texts):
             own = [shingler.of(t) for t in texts]
-            return [pa.array([node_of(s) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64())]
+            return [pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())]
 
         return work
 
-    return map_documents(docs, text, carry, make, "node binary, n_shingles bigint")
+    return map_documents(docs, text, carry, make, "node bigint, n_shingles bigint")
 
 
 def sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
@@ -151,18 +156,18 @@ ENTRY = np.dtype([("token", "<u8"), ("doc", "<u4"), ("pos", "<u4")])
 
 
 def entries(docs: DataFrame, text: str, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Prefix entries of shingles that at least two different sets may share: ``token``, ``node``, ``n``, ``k``, ``pos``.
+    """Prefix entries of shingles that two different sets may share: ``token``, ``node``, ``n``, ``k``, ``pos``, ``docs`` (sets that have it).
 
     Most shingles are in one document only. To find them, entries travel in packed form to the task of their hash, which keeps those
-    that two nodes have. Hot shingles are known to be shared; they travel as rows, so no task gets all rows of one of them. Equal
-    sets are entered once a task, and once in the end.
+    that two sets have whose sizes and positions fit. Hot shingles are known to be shared; they travel as rows, so no task gets
+    all rows of one of them. Equal sets are entered once a task, and once in the end.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(counts)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = "part int, token bigint, node binary, n int, k int, pos int, packed binary"
+    schema = "part int, token bigint, node bigint, n int, k int, pos int, packed binary"
     names = ["part", "token", "node", "n", "k", "pos", "packed"]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def emit(rows):
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
@@ -181,7 +186,7 @@ def entries(docs: DataFrame, text: str, counts: np.ndarray, size: int, percent:
             for p in np.flatnonzero(np.diff(cuts)):
                 own = every[cuts[p]:cuts[p + 1]].copy()
                 used, own["doc"] = np.unique(own["doc"], return_inverse=True)
-                head = b"".join([nodes[d] for d in used]) + np.array([info[d] for d in used], "<u4").tobytes()
+                head = np.array([nodes[d] for d in used], "<i8").tobytes() + np.array([info[d] for d in used], "<u4").tobytes()
                 steps = np.diff(own["token"], prepend=np.uint64(0))
                 body = b"".join([steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), own["doc"].tobytes(), own["pos"].tobytes()])
                 yield int(p), None, None, len(used), len(own), None, zlib.compress(head + body, 1)
@@ -205,7 +210,7 @@ def entries(docs: DataFrame, text: str, counts: np.ndarray, size: int, percent:
             info.append((len(own), k))
             gathered.append(cold)
             waiting += len(cold)
-            if waiting > 4_000_000:
+            if waiting > GATHERED:
                 yield emit(list(packed()))
                 nodes, info, gathered, waiting = [], [], [], 0
             if len(rows) >= 10_000:
@@ -217,37 +222,52 @@ def entries(docs: DataFrame, text: str, counts: np.ndarray, size: int, percent:
 
     def shared(batches):
         tokens, nodes, info, pos = [], [], [], []
+        out = [*names[1:6], "docs"]
         for batch in batches:
             hot = batch.filter(pa.compute.is_null(batch.column("packed")))
             if hot.num_rows:
-                yield hot.select(names[1:6])
+                yield pa.RecordBatch.from_arrays([*hot.select(names[1:6]).columns, pa.nulls(hot.num_rows, pa.int64())], names=out)
             cold = batch.filter(pa.compute.is_valid(batch.column("packed")))
             for n_docs, n, raw in zip(*(cold.column(c).to_pylist() for c in ("n", "k", "packed"))):
                 raw = zlib.decompress(raw)
-                head = 24 * n_docs
+                head = 16 * n_docs
                 doc = np.frombuffer(raw, "<u4", n, head + 8 * n)
                 steps = np.frombuffer(raw, np.uint8, 8 * n, head).reshape(8, n).T.copy().view("<u8").ravel()
                 tokens.append(np.cumsum(steps, dtype=np.uint64))
-                nodes.append(np.frombuffer(raw, "V16", n_docs)[doc])
-                info.append(np.frombuffer(raw, "<u4", 2 * n_docs, 16 * n_docs).reshape(-1, 2)[doc])
+                nodes.append(np.frombuffer(raw, "<i8", n_docs)[doc])
+                info.append(np.frombuffer(raw, "<u4", 2 * n_docs, 8 * n_docs).reshape(-1, 2)[doc])
                 pos.append(np.frombuffer(raw, "<u4", n, head + 12 * n))
         if not tokens:
             return
         tokens, nodes, info, pos = (np.concatenate(x) for x in (tokens, nodes, info, pos))
-        order = np.argsort(tokens, kind="stable")
-        same = tokens[order][1:] == tokens[order][:-1]
-        keep = order[np.append(same, False) | np.append(False, same)]
-        for at in range(0, len(keep), 20_000):
-            own = keep[at:at + 20_000]
-            raw = nodes[own].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[own].view(np.int64)), pa.array([raw[k:k + 16] for k in range(0, len(raw), 16)], pa.binary()),
-                                              pa.array(info[own, 0].astype(np.int32)), pa.array(info[own, 1].astype(np.int32)),
-                                              pa.array(pos[own].astype(np.int32))], names=names[1:6])
+        order = np.lexsort((nodes, tokens))
+        tokens, nodes, n, k, pos = tokens[order], nodes[order], info[order, 0].astype(np.int64), info[order, 1].astype(np.int64), pos[order].astype(np.int64)
+        keep = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1]))  # a set that several tasks entered
+        for _ in range(2):
+            tokens, nodes, n, k, pos = (x[keep] for x in (tokens, nodes, n, k, pos))
+            if not len(tokens):
+                return
+            first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            size = np.diff(np.append(first, len(tokens)))
+            # Least size of a partner: the smallest set here, but no set links with one below percent / 100 of its size.
+            least = np.maximum(np.repeat(np.minimum.reduceat(n, first), size), -(-percent * n // 100))
+            reach = n + (-(percent * (n + least)) // (100 + percent)) + k
+            keep = (np.repeat(size, size) > 1) & (pos < reach)
+        tokens, nodes, n, k, pos = (x[keep] for x in (tokens, nodes, n, k, pos))
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(tokens)))
+        docs = np.repeat(size, size)
+        for at in range(0, len(tokens), 50_000):
+            own = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[own].view(np.int64)), pa.array(nodes[own]), pa.array(n[own].astype(np.int32)),
+                                              pa.array(k[own].astype(np.int32)), pa.array(pos[own].astype(np.int32)), pa.array(docs[own])], names=out)
 
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(enter, schema)
     target = F.when(F.col("packed").isNotNull(), F.col("part").cast("bigint")).otherwise(F.xxhash64("token", "node"))
-    dealt = rows.repartition(parts, target)
-    return dealt.mapInArrow(shared, "token bigint, node binary, n int, k int, pos int").dropDuplicates(["token", "node"])
+    every = written(rows.repartition(parts, target).mapInArrow(shared, "token bigint, node bigint, n int, k int, pos int, docs bigint"), "entries")
+    hot = every.where("docs is null").drop("docs").dropDuplicates(["token", "node"])
+    counted = hot.join(hot.groupBy("token").agg(F.count("*").alias("docs")), "token")
+    return every.where("docs > 1").unionByName(written(counted.where("docs > 1").select(every.columns), "hot"))
 
 
 def fits(percent: int, a: str = "a", b: str = "b") -> Column:
@@ -258,51 +278,49 @@ def fits(percent: int, a: str = "a", b: str = "b") -> Column:
     return F.expr(text)
 
 
-def shingle_sets(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """``node`` and ``tokens`` (sorted 64-bit hashes as bytes) of the nodes in ``wanted``, each once.
 
-    A Bloom filter of fixed size tells the tasks which documents may be wanted; the join after it decides.
+    The document of the least id stands for its node (``rows``: ``doc_id`` and ``node`` of all documents). A Bloom filter of fixed size tells
+    the tasks which ids are wanted, before they make sets; a set too many does no harm, as it is joined by its name.
     """
-    spark = docs.sparkSession
     mask = (1 << BLOOM_BITS) - 1
-    hashes = wanted.select(F.xxhash64("node").bitwiseAND(mask).alias("h"))
+    key = lambda c: F.xxhash64(F.coalesce(c.cast("string"), F.lit("")))
+    chosen = rows.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
+    hashes = chosen.select(key(F.col("id")).bitwiseAND(mask).alias("h"))
     words = hashes.groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).collect()
     bloom = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
     for r in words:
         bloom[r["at"]] = r["bits"]
-    known = spark.sparkContext.broadcast(bloom.astype("<i8").tobytes())
+    known = docs.sparkSession.sparkContext.broadcast(bloom.astype("<i8").tobytes())
 
     def build(batches):
-        from xxhash import xxh64_intdigest
-        table = np.frombuffer(known.value, np.uint8)
-        seen: set[bytes] = set()
-        nodes, tokens = [], []
-        for own in sets(batches, size):
-            if not len(own):
-                continue
-            node = node_of(own)
-            at = xxh64_intdigest(node, 42) & mask  # what Spark's xxhash64 gives
-            if not table[at >> 3] >> (at & 7) & 1 or node in seen:
-                continue
-            if len(seen) > 200_000:
+        table, shingler = np.frombuffer(known.value, np.uint8), Shingler(size)
+        seen: set[int] = set()
+        for batch in batches:
+            at = batch.column(1).to_numpy() & mask
+            batch = batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            nodes, tokens = [], []
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                own = shingler.of(text or b"")
+                node = node_of(own)
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    tokens.append(own.astype("<u8").tobytes())
+            for k in range(0, len(nodes), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[k:k + 500], pa.int64()), pa.array(tokens[k:k + 500], pa.binary())], names=["node", "tokens"])
+            if len(seen) > 500_000:
                 seen.clear()
-            seen.add(node)
-            nodes.append(node)
-            tokens.append(own.astype("<u8").tobytes())
-            if len(nodes) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
-                nodes, tokens = [], []
-        if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(build, "node binary, tokens binary")
-    return rows.dropDuplicates(["node"])
+    texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"), key(F.col(f"`{doc_id}`")).alias("key"))
+    return texts.mapInArrow(build, "node bigint, tokens binary").repartition("node").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets link."""
-    with_a = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = with_a.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    with_b = pairs.join(tokens.withColumnsRenamed({"node": "b", "tokens": "tb"}), "b")
+    both = with_b.join(tokens.withColumnsRenamed({"node": "a", "tokens": "ta"}), "a")
 
     def run(batches):
         for batch in batches:
@@ -316,7 +334,7 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def contract(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -344,15 +362,23 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def hub_round(busy: DataFrame, labels: DataFrame, tokens: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Links found by comparing each document of busy shingles with a few hubs of other components."""
-    rows = busy.join(labels, "node")
-    one = F.struct(F.xxhash64("node", "token", F.lit(seed)).alias("h"), "node", "comp", "n", "k", "pos")
-    hubs = rows.groupBy("token").agg(F.min(one).alias("h1"), F.max(one).alias("h2"))
-    asked = (rows.alias("a").join(hubs, "token").withColumn("b", F.when(F.col("a.comp") != F.col("h1.comp"), F.col("h1")).otherwise(F.col("h2")))
-             .where((F.col("a.comp") != F.col("b.comp")) & fits(percent)))
+    """Links found by comparing documents of busy shingles with hubs of larger components.
+
+    Hubs of a shingle are the documents in whose prefix it comes earliest: they have few rare shingles of their own, and so are most
+    like all others that share it. There are ``HUBS``, one for each class of a hash that changes by round.
+    """
+    sizes = labels.groupBy("comp").agg(F.count("*").alias("members"))
+    rows = busy.join(labels.join(sizes, "comp"), "node")
+    place = F.floor(F.col("pos") * 1000 / F.col("n"))
+    one = F.struct(place.alias("place"), F.xxhash64("node", F.lit(seed)).alias("h"), "node", "comp", "members", "n", "k", "pos")
+    part = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(HUBS))
+    hubs = rows.groupBy("token").agg(F.array(*[F.min(F.when(part == i, one)) for i in range(HUBS)]).alias("hubs"))
+    asked = (rows.join(hubs, "token").withColumn("a", F.struct("node", "comp", "members", "n", "k", "pos")).select("a", F.explode("hubs").alias("b"))
+             .where((F.col("a.comp") != F.col("b.comp")) & fits(percent)
+                    & (F.struct("a.members", "a.comp") < F.struct("b.members", "b.comp"))))
     counted = asked.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).count()
-    # Of the hubs that a document met, the two with which it shares most; the others are left to later rounds and the last search.
-    best = counted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), False), 1, 2).alias("best"))
+    # Of the hubs that a document met, those with which it shares most; others are left to later rounds and the last search.
+    best = counted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), False), 1, ASKED).alias("best"))
     pairs = best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return written(verified(pairs, tokens, percent), "links")
 
@@ -374,7 +400,7 @@ def last_pairs(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return counted.where("common >= k").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``: the least id of all documents that a document is linked to, directly or by others.
 
     Two documents link when ``100 * common >= percent * union`` of their distinct word shingles. Fewer words than ``size`` are one shingle;
@@ -382,12 +408,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     candidate for the least one; a component of null ids only has none. An empty table gives no rows.
     """
     rows = written(members(docs, [doc_id], text, size).select(F.col(f"doc.`{doc_id}`").cast("bigint").alias("doc_id"), "node", "n_shingles"), "members")
-    least = least_ids(rows, linked(docs, text, size, percent, rounds)).select("node", F.col("top.doc_id").alias("component_id"))
+    least = least_ids(rows, linked(docs, rows, doc_id, text, size, percent, rounds)).select("node", F.col("top.doc_id").alias("component_id"))
     return (rows.join(least, "node", "left")
-            .select("doc_id", "n_shingles", F.when(F.octet_length("node") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+            .select("doc_id", "n_shingles", F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component of ``near_duplicates`` the row of the least id stays.
 
     Ids that are null come last; of repeated rows, and of rows of the same id and set, one stays. Documents without words link with nothing, so
@@ -395,36 +421,33 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     """
     every = members(docs, docs.columns, text, size)
     lean = written(members(docs, [doc_id], text, size).select(F.col(f"doc.`{doc_id}`").alias("doc_id"), "node", "n_shingles"), "members")
-    tops = least_ids(lean, linked(docs, text, size, percent, rounds)).select("top").distinct()
+    tops = least_ids(lean, linked(docs, lean, doc_id, text, size, percent, rounds)).select("top").distinct()
     tops = tops.select(F.col("top.doc_id").alias("id"), F.col("top.node").alias("top"))
     # Joined by id and set, copies with other ids spread over all tasks.
-    rows = every.withColumn("each", F.when(F.octet_length("node") > 0, 0).otherwise(F.monotonically_increasing_id()))
+    rows = every.withColumn("each", F.when(F.col("node").isNotNull(), 0).otherwise(F.monotonically_increasing_id()))
     kept = (rows.join(tops, F.col(f"doc.`{doc_id}`").eqNullSafe(F.col("id")) & (F.col("node") == F.col("top")), "left")
-            .where("top is not null or octet_length(node) = 0").withColumn("id", F.col(f"doc.`{doc_id}`")))
+            .where("top is not null or node is null").withColumn("id", F.col(f"doc.`{doc_id}`")))
     return kept.dropDuplicates(["id", "node", "each"]).select("doc.*")
 
 
-def linked(docs: DataFrame, text: str, size: int, percent: int, rounds: int) -> DataFrame:
+def linked(docs: DataFrame, rows: DataFrame, doc_id: str, text: str, size: int, percent: int, rounds: int) -> DataFrame:
     """``node`` and ``comp`` (the least node of the component) of nodes that share a prefix shingle with another."""
-    counts = sketch(docs, text, size)
-    found = written(entries(docs, text, counts, size, percent), "entries")
-    shared = found.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
-    found = written(found.join(shared, "token"), "shared")
-    nodes = found.select("node").distinct()
-    labels = written(nodes.select("node", F.col("node").alias("comp")), "labels")
-    tokens = written(shingle_sets(docs, text, size, labels).join(labels, "node", "left_semi"), "sets")
+    found = entries(docs, text, sketch(docs, text, size), size, percent)
+    labels = written(found.select("node").distinct().select("node", F.col("node").alias("comp")), "labels")
     busy = written(found.where(F.col("docs") > BUSY).drop("docs"), "busy")
     if not busy.isEmpty():
-        own = busy.select("node").distinct()
-        few = written(tokens.join(own, "node", "left_semi"), "sets")
+        tokens = written(shingle_sets(docs, doc_id, text, size, busy, rows), "sets")
         for k in range(rounds):
-            labels = components(hub_round(busy, labels, few, k, percent), labels)
-    return components(written(verified(last_pairs(found.drop("docs"), labels, percent), tokens, percent), "links"), labels)
+            labels = components(hub_round(busy, labels, tokens, k, percent), labels)
+    pairs = written(last_pairs(found.drop("docs"), labels, percent), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    links = written(verified(pairs, shingle_sets(docs, doc_id, text, size, ends, rows), percent), "links")
+    return components(links, labels)
 
 
 def least_ids(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``node`` and ``top``: its component's least id with the node that has it; null ids come last."""
     one = F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "node")
-    least = rows.where(F.octet_length("node") > 0).groupBy("node").agg(F.min(one).alias("least"))
+    least = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(one).alias("least"))
     of = least.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "least")
     return of.join(of.groupBy("comp").agg(F.min("least").alias("top")), "comp").select("node", "top")
