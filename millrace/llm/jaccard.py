@@ -377,8 +377,9 @@ def hub_round(busy: DataFrame, labels: DataFrame, tokens: DataFrame, seed: int,
              .where((F.col("a.comp") != F.col("b.comp")) & fits(percent)
                     & (F.struct("a.members", "a.comp") < F.struct("b.members", "b.comp"))))
     counted = asked.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).count()
-    # Of the hubs that a document met, those with which it shares most; others are left to later rounds and the last search.
-    best = counted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), False), 1, ASKED).alias("best"))
+    # Of the hubs that a document met, those with which it shares most: one in the first round, when all documents ask.
+    # Others are left to later rounds and the last search.
+    best = counted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), False), 1, ASKED if seed else 1).alias("best"))
     pairs = best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return written(verified(pairs, tokens, percent), "links")
 
@@ -400,7 +401,7 @@ def last_pairs(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return counted.where("common >= k").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``: the least id of all documents that a document is linked to, directly or by others.
 
     Two documents link when ``100 * common >= percent * union`` of their distinct word shingles. Fewer words than ``size`` are one shingle;
@@ -413,7 +414,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .select("doc_id", "n_shingles", F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component of ``near_duplicates`` the row of the least id stays.
 
     Ids that are null come last; of repeated rows, and of rows of the same id and set, one stays. Documents without words link with nothing, so
