@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ PREFIXES = (10, 8, 6)
 BACK_OFF = 5.0
 MEASURES = ["whole", *[f"window_{w}" for w in WINDOWS], *[f"top_{t}" for t in TOPS]]
 CLASSES = (0, 1)
-MASK_BITS = 128
+#: Of a sketch that counts distinct contexts.
+REGISTERS = 256
 #: No word counts for more, so that none decides alone.
 LIMIT = 6.0
 
@@ -40,16 +42,19 @@ class Vocabulary:
 
     def of(self, text: bytes) -> list[int]:
         words = WORD.findall(text.lower())
-        met, number = self.met, self.number
+        met = self.met
         ids = list(map(met.get, words))
         if None in ids:
             if len(met) > self.keep_words:
                 met.clear()
             for k, own in enumerate(ids):
                 if own is None:
-                    ids[k] = met[words[k]] = next((number[u] for u in units(words[k]) if u in number), 0)
+                    ids[k] = met[words[k]] = self.number_of(words[k])
         return ids
 
+    def number_of(self, word: bytes) -> int:
+        return next((self.number[u] for u in units(word) if u in self.number), 0)
+
 
 class KneserNey:
     """P(word | previous, class), interpolated: pairs, then in how many contexts a word occurs in the class, then in the whole corpus.
@@ -161,33 +166,84 @@ def pair_documents(rows: DataFrame, text: str, vocabulary: Vocabulary) -> DataFr
             .groupBy("cls", "key").agg(F.sum("docs").alias("docs")))
 
 
+def keyed(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same in every process."""
+    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), "<u8").astype(np.uint64)
+
+
+def cells(own: np.ndarray, previous: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Register and rank of each pair of word hashes in a HyperLogLog sketch."""
+    mixed = own * np.uint64(0x9E3779B97F4A7C15) + previous
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    length = np.frexp((mixed >> np.uint64(11)).astype(float))[1]
+    return (mixed & np.uint64(REGISTERS - 1)).astype(np.int64), (54 - length).astype(np.uint8)
+
+
+def distinct(registers: np.ndarray) -> np.ndarray:
+    """Estimates of a sketch a row; few pairs are counted by the registers that are still empty."""
+    raw = 0.7213 / (1 + 1.079 / REGISTERS) * REGISTERS ** 2 / np.exp2(-registers.astype(float)).sum(1)
+    empty = (registers == 0).sum(1)
+    return np.where((raw <= 2.5 * REGISTERS) & (empty > 0), REGISTERS * np.log(REGISTERS / np.maximum(empty, 1)), raw)
+
+
 def corpus_continuations(docs: DataFrame, text: str, vocabulary: Vocabulary) -> np.ndarray:
-    """In how many contexts each number occurs in all documents, estimated from a bit map of hashed previous numbers.
+    """In how many contexts each number occurs in all documents: distinct pairs of a word that has the number and the word before it.
 
-    A task makes one row for each number it meets, whatever its number of documents; rows are merged by OR.
+    Contexts are the corpus's own words, with or without a number. Pairs are counted by HyperLogLog sketches of ``REGISTERS`` registers, which have
+    no ceiling; their standard error is 1.04 / sqrt(REGISTERS), 6.5 %. A task makes one row for each number it meets.
     """
-    sent = send(docs.sparkSession, vocabulary)
+    sent, size, many = send(docs.sparkSession, vocabulary), vocabulary.size, vocabulary.keep_words
 
     def run(batches):
         own = received(sent)
-        masks = np.zeros(own.size * MASK_BITS, bool)
+        registers = np.zeros(size * REGISTERS, np.uint8)
+        met, numbers, hashes = {}, np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                ids = np.array(own.of(text or b""), np.int64)
-                if len(ids):
-                    previous = np.concatenate(([0], ids[:-1]))
-                    masks[ids * MASK_BITS + (previous * 0x9E3779B1 >> 15) % MASK_BITS] = True
-        masks = masks.reshape(own.size, MASK_BITS)
-        seen = np.flatnonzero(masks.any(1))
-        bits = np.packbits(masks[seen], axis=1, bitorder="little").view("<i8").reshape(len(seen), 2)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())],
-                                         names=["number", "low", "high"])
-
-    rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "number int, low bigint, high bigint")
-    rows = rows.groupBy("number").agg(F.bit_count(F.bit_or("low")).alias("low"), F.bit_count(F.bit_or("high")).alias("high")).collect()
-    out = np.zeros(vocabulary.size)
-    for r in rows:
-        out[r["number"]] = -MASK_BITS * np.log(max(MASK_BITS - r["low"] - r["high"], 0.5) / MASK_BITS)
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for at in range(0, len(texts), 128):
+                if len(met) > many:
+                    met, numbers, hashes = {}, numbers[:0], hashes[:0]
+                parts = [WORD.findall((t or b"").lower()) for t in texts[at:at + 128]]
+                new = list({w for words in parts for w in words} - met.keys())
+                met.update(zip(new, range(len(met), len(met) + len(new))))
+                numbers = np.concatenate((numbers, np.array([own.number_of(w) for w in new], np.int64)))
+                hashes = np.concatenate((hashes, keyed(new)))
+                ids = np.array([met[w] for words in parts for w in words], np.int64)
+                if not len(ids):
+                    continue
+                key = hashes[ids]
+                previous = np.concatenate((np.zeros(1, np.uint64), key[:-1]))
+                starts = np.cumsum([0] + [len(words) for words in parts])[:-1]
+                previous[starts[starts < len(ids)]] = 0
+                at_register, rank = cells(key, previous)
+                np.maximum.at(registers, numbers[ids] * REGISTERS + at_register, rank)
+        for first in range(0, size, 1 << 14):
+            table = registers[first * REGISTERS:(first + (1 << 14)) * REGISTERS].reshape(-1, REGISTERS)
+            row, column = np.nonzero(table)
+            seen, counts = np.unique(row, return_counts=True)
+            data = np.column_stack([column.astype(np.uint8), table[row, column]]).tobytes()
+            ends = np.concatenate(([0], np.cumsum(counts * 2))).astype(np.int32)
+            sketch = pa.Array.from_buffers(pa.binary(), len(seen), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array((first + seen).astype(np.int32)), sketch], names=["number", "sketch"])
+
+    def merge(batches):
+        place: dict[int, int] = {}
+        registers = np.zeros((1024, REGISTERS), np.uint8)
+        for batch in batches:
+            for number, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                k = place.setdefault(number, len(place))
+                if k == len(registers):
+                    registers = np.concatenate((registers, np.zeros_like(registers)))
+                pairs = np.frombuffer(sketch, np.uint8).reshape(-1, 2)
+                registers[k, pairs[:, 0]] = np.maximum(registers[k, pairs[:, 0]], pairs[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.int32()), pa.array(distinct(registers[:len(place)]))], names=["number", "contexts"])
+
+    rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "number int, sketch binary")
+    counts = rows.repartition("number").mapInArrow(merge, "number int, contexts double").toArrow()
+    out = np.zeros(size)
+    out[counts["number"].to_numpy()] = counts["contexts"].to_numpy()
     return out
 
 
