@@ -7,7 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.common import WORD, fold, labelled, map_documents, received, send
 
@@ -56,6 +56,23 @@ class Vocabulary:
         return next((self.number[u] for u in units(word) if u in self.number), 0)
 
 
+def split(group: np.ndarray, lower: np.ndarray, counts: np.ndarray, totals: np.ndarray, pseudo: float) -> tuple[np.ndarray, np.ndarray]:
+    """Discounted P(item | its group, class) of counted items, and by class and group what is left for the lower order.
+
+    An item's count is split between the classes as seen, with ``pseudo`` more split as the lower order would have it, so that
+    what a rare item adds grows with its count. ``totals``: by class and group.
+    """
+    both = counts.sum(0)
+    of = totals + BACK_OFF * totals.sum(1, keepdims=True) / max(totals.sum(), 1.0)
+    expected = of[:, group] * lower
+    expected /= expected.sum(0)
+    dealt = both * (counts + pseudo * expected) / (both + pseudo)
+    # What is dealt to a group may exceed its own total; the larger of the two keeps probabilities below 1.
+    whole = np.maximum(of, of - totals + np.array([np.bincount(group, d, of.shape[1]) for d in dealt]))
+    share = dealt * np.maximum(both - DISCOUNT, 0) / np.maximum(both, 1) / whole[:, group]
+    return share, 1 - np.array([np.bincount(group, d, of.shape[1]) for d in share])
+
+
 class KneserNey:
     """P(word | previous, class), interpolated: pairs, then in how many contexts a word occurs in the class, then in the whole corpus.
 
@@ -63,27 +80,30 @@ class KneserNey:
     which keeps one text's repetitions from speaking for a class.
     """
 
-    def __init__(self, size: int, shared: np.ndarray, continuations: dict, contexts: dict, pairs: dict):
-        """``shared``: continuation count of each number in the corpus. By class: ``continuations`` number -> contexts,
-        ``contexts`` number -> documents of all pairs that it begins, ``pairs`` (previous * size + word) -> documents."""
-        self.size = size
-        base = (shared + 0.5) / (shared.sum() + 0.5 * size)
-        self.keys = np.array(sorted({k for c in CLASSES for k in pairs[c]}), np.int64)
-        self.unigram, self.back, self.pair = np.zeros((2, size)), np.ones((2, size)), np.zeros((2, len(self.keys) + 1))
-        for c in CLASSES:
-            counts = np.zeros(size)
-            counts[list(continuations[c])] = list(continuations[c].values())
-            kept = np.maximum(counts - DISCOUNT, 0)
-            total = max(counts.sum(), 1.0)
-            self.unigram[c] = kept / total + (1 - kept.sum() / total) * base
-            if len(self.keys):
-                docs = np.array([pairs[c].get(k, 0) for k in self.keys.tolist()], float)
-                previous = self.keys // size
-                of = np.zeros(size)
-                of[list(contexts[c])] = list(contexts[c].values())
-                share = np.maximum(docs - DISCOUNT, 0) / (of[previous] + BACK_OFF)
-                self.pair[c, :-1] = share
-                self.back[c] -= np.bincount(previous, share, size)
+    def __init__(self, size: int, shared: np.ndarray, continuations: np.ndarray, contexts: np.ndarray, keys: np.ndarray, docs: np.ndarray,
+                 pool: np.ndarray, least_pair_docs: int = 20):
+        """``shared``: continuation count of each number in the corpus. By class (rows) and number: ``continuations`` (contexts) and
+        ``contexts`` (documents of all pairs that it begins); by class and pair: ``docs`` of ``keys`` (previous * size + word, ascending).
+        ``pool``: for a number that few sampled documents hold that of its beginning (0: none), else itself.
+
+        P(rare word) = P(its pool) * P(word | its pool); the corpus counts say how a pool's words share it where the class does not.
+        No word and no pair is left out, see ``split``.
+        """
+        self.size, self.keys = size, keys
+        self.back, self.pair = np.ones((2, size)), np.zeros((2, len(keys) + 1))
+        pooled = np.array([np.bincount(pool, continuations[c], size) for c in CLASSES])
+        whole = np.bincount(pool, shared + 0.5, size)
+        base, inside = whole / whole.sum(), np.broadcast_to((shared + 0.5) / whole[pool], (2, size))
+        kept = np.maximum(pooled - DISCOUNT, 0)
+        total = np.maximum(pooled.sum(1, keepdims=True), 1.0)
+        pools = kept / total + (1 - kept.sum(1, keepdims=True) / total) * base
+        rare = np.flatnonzero((pool != np.arange(size)) & (continuations.sum(0) > 0))
+        share, back = split(pool[rare], inside[:, rare], continuations[:, rare], pooled, least_pair_docs)
+        of_pool = back[:, pool] * inside
+        of_pool[:, rare] += share
+        self.unigram = pools[:, pool] * of_pool
+        if len(keys):
+            self.pair[:, :-1], self.back = split(keys // size, self.unigram[:, keys % size], docs, contexts, least_pair_docs)
 
     def ratios(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log P(word | previous, toxic) - log P(word | previous, ordinary) at each word; ``ends``: where texts end."""
@@ -147,6 +167,31 @@ def unit_documents(rows: DataFrame, text: str) -> DataFrame:
             .groupBy("unit").agg(F.sum("docs").alias("docs")))
 
 
+def corpus_documents(docs: DataFrame, text: str, of: list[bytes]) -> np.ndarray:
+    """In how many of all documents each of the units ``of`` occurs. A task makes one row for each of them that it meets."""
+    sent, many, keep = send(docs.sparkSession, of), len(of), 300_000
+
+    def run(batches):
+        place = {u: k for k, u in enumerate(received(sent))}
+        met, counts = {}, np.zeros(many, np.int64)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                words = set(WORD.findall((text or b"").lower()))
+                if len(met) > keep:
+                    met.clear()
+                for w in words - met.keys():
+                    met[w] = [place[u] for u in units(w) if u in place]
+                own = list({k for w in words for k in met[w]})
+                counts[own] += 1
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["k", "docs"])
+
+    table = (docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "k int, docs bigint").groupBy("k").agg(F.sum("docs").alias("docs")).toArrow())
+    out = np.zeros(many, np.int64)
+    out[table["k"].to_numpy()] = table["docs"].to_numpy()
+    return out
+
+
 def pair_documents(rows: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     """``cls``, ``key`` (previous * size + word) and ``docs`` in which the pair occurs."""
     sent, size = send(rows.sparkSession, vocabulary), vocabulary.size
@@ -251,26 +296,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
           least_pair_docs: int = 20):
     """Vocabulary, model and calibration weights from at most ``sample`` labelled rows outside fold 0 and the whole corpus.
 
-    None without labels of both classes. Words and their beginnings in fewer than ``least_docs`` of the labelled documents, and pairs in
-    fewer than ``least_pair_docs``, are left to the lower order. What reaches the driver is bounded by the sample. A quarter of the labelled rows (those of fold 1)
+    None without labels of both classes. Words in fewer than ``least_docs`` of all documents count as their beginnings; words in fewer of the
+    sampled ones, and pairs, are discounted (``least_pair_docs``, see ``split``). The sample bounds the class counts only: a word that it does not hold
+    has class counts of 0, so its corpus count is a factor of both classes' probabilities and cancels in their ratio. So numbers are given to
+    the sample's words, and documents and contexts are counted over the whole corpus. A quarter of the labelled rows (those of fold 1)
     are not counted; they calibrate the score.
     """
     rows = labelled(docs.select("doc_id", text), labels, label, sample)
     counted, held = rows.where(fold(F.col("doc_id")) != 1), rows.where(fold(F.col("doc_id")) == 1)
-    vocabulary = Vocabulary(sorted(bytes(r["unit"]) for r in unit_documents(counted, text).where(F.col("docs") >= least_docs).collect()))
-    pairs, size = pair_documents(counted, text, vocabulary), vocabulary.size
-    by_word = pairs.groupBy("cls", (F.col("key") % size).alias("k")).agg(F.count("*").alias("v"), F.lit("word").alias("what"))
-    by_context = pairs.groupBy("cls", F.floor(F.col("key") / size).cast("bigint").alias("k")).agg(F.sum("docs").alias("v"), F.lit("context").alias("what"))
-    both = F.sum("docs").over(Window.partitionBy("key"))
-    kept = (pairs.where((F.col("key") >= size) & (F.col("key") % size > 0)).withColumn("both", both).where(F.col("both") >= least_pair_docs)
-            .select("cls", F.col("key").alias("k"), F.col("docs").alias("v"), F.lit("pair").alias("what")))
-    tables = {(what, c): {} for what in ("word", "context", "pair") for c in CLASSES}
-    for r in by_word.unionByName(by_context).unionByName(kept).collect():
-        tables[r["what"], r["cls"]][r["k"]] = r["v"]
-    if not all(tables["word", c] for c in CLASSES):
+    table = unit_documents(counted, text).toArrow()
+    met = dict(zip(table["unit"].to_pylist(), table["docs"].to_pylist()))
+    if not met:
+        return None
+    docs_of = dict(zip(met, corpus_documents(docs, text, list(met)).tolist()))
+    often = {u for u, n in met.items() if n >= least_docs}
+    vocabulary = Vocabulary(sorted(often | {u for u, n in docs_of.items() if n >= least_docs and not u.endswith(b"*")}))
+    pool = np.array([0, *(vocabulary.number[u] if u in often else next((vocabulary.number[v] for v in units(u) if v in often), 0) for u in vocabulary.number)])
+    size = vocabulary.size
+    table = pair_documents(counted, text, vocabulary).toArrow()
+    cls, key, found = (table[c].to_numpy() for c in ("cls", "key", "docs"))
+    if len(set(cls.tolist())) < 2:
         return None
-    shared = corpus_continuations(docs, text, vocabulary)
-    model = KneserNey(size, shared, *({c: tables[what, c] for c in CLASSES} for what in ("word", "context", "pair")))
+    continuations = np.array([np.bincount(key[cls == c] % size, minlength=size) for c in CLASSES], float)
+    contexts = np.array([np.bincount(key[cls == c] // size, found[cls == c], size) for c in CLASSES], float)
+    known = (key >= size) & (key % size > 0)
+    keys, place = np.unique(key[known], return_inverse=True)
+    pairs = np.zeros((2, len(keys)))
+    pairs[cls[known], place] = found[known]
+    model = KneserNey(size, corpus_continuations(docs, text, vocabulary), continuations, contexts, keys, pairs, pool, least_pair_docs)
     got = measured(held, vocabulary, model, ["_label"], text).select("doc._label", *MEASURES).collect()
     got.sort(key=lambda r: [r[m] for m in MEASURES])
     x, y = np.array([[r[m] for m in MEASURES] for r in got]).reshape(-1, len(MEASURES)), np.array([float(r["_label"] == 1) for r in got])

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from zlib import crc32
 
 import numpy as np
 
@@ -40,3 +41,26 @@ def test_continuation_counts_of_the_corpus(spark):
     got = toxicity.corpus_continuations(docs.repartition(3), "text", toxicity.Vocabulary(kept))
     ratio = got[1:] / [len(want[w]) for w in kept]
     assert len(want[kept[0]]) > 710 and np.abs(ratio - 1).max() < 0.3 and 0.03 < np.sqrt(np.mean((ratio - 1) ** 2)) < 0.1
+
+
+def test_model_holds_words_of_the_corpus_and_rare_pairs(spark):
+    """Both words of an expression are as frequent in each class; only their pair, in 12 toxic documents, tells them apart."""
+    rng, words, rows, labels = random.Random(2), [f"n{k}" for k in range(60)], [], []
+    counted = next(k for k in range(900) if crc32(b"%d" % k) % 5 > 1)
+    for k in range(900):
+        text = rng.choices(words, k=30)
+        toxic = int(k % 3 == 0)
+        text[5:5] = ["red", rng.choice(words), "door"]
+        if toxic and k < 36:
+            text[12:12] = ["red", "door"]
+        rows.append((k, " ".join(text + (["onceinsample"] if k == counted else []))))
+        labels.append((k, toxic))
+    rows += [(k, f"onceinsample stands after n{k % 60}") for k in range(1000, 1100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    vocabulary, model, _ = toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    number = vocabulary.number
+    assert b"onceinsample" in number  # in 101 documents, one of them labelled
+    ids = np.array([number[w] for w in (b"red", b"door", b"n1", b"door")])
+    together, apart = model.ratios(ids, np.array([4]))[[1, 3]]
+    assert number[b"red"] * model.size + number[b"door"] in set(model.keys.tolist()) and together > apart + 0.1
+    assert np.all(model.unigram.sum(1) < 1 + 1e-9) and np.all(model.back > 0) and np.allclose(model.unigram.sum(1), 1)
