@@ -91,8 +91,8 @@ def all_templates(phrases=PHRASES, templates=TEMPLATES):
 def spans(hits: DataFrame, drift: int = 4, gap: int = 12, least: float = 0.5) -> DataFrame:
     """Verified spans: ``id``, ``name``, ``template``, ``label``, ``base``, ``first`` and ``last`` word, ``share`` of the template found.
 
-    Votes are counted by diagonal. Neighbouring diagonals of a template (at most ``drift`` apart: words added or lost) whose places
-    are within ``gap`` words merge to one span. A span of a base phrase is verified if one diagonal has all its k-grams; one
+    Votes are counted by diagonal. Neighbouring diagonals of a template (at most ``drift`` apart: words added or lost) merge, and where
+    their places lie more than ``gap`` words apart they part to spans. A span of a base phrase is verified if one diagonal has all its k-grams; one
     of another template if at least ``least`` of the template's words are in k-grams found there.
     """
     key = ["id", "name", "template"]
@@ -100,11 +100,13 @@ def spans(hits: DataFrame, drift: int = 4, gap: int = 12, least: float = 0.5) ->
     base = (votes.where("base").groupBy(*key, "label", "base", "length", "diagonal")
             .agg(F.count("*").alias("votes")).where(F.col("votes") == F.col("length") - GRAM + 1)
             .select(*key, "label", "base", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("length") - 1).alias("last"), F.lit(1.0).alias("share")))
-    # Places are walked in order within a text and template: a new span begins after a gap or on a far diagonal.
-    order = Window.partitionBy(*key).orderBy("place", "at")
-    near = ((F.col("place") - F.lag("place").over(order) <= gap) & (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= drift))
-    walked = votes.where("not base").withColumn("new", F.when(near, 0).otherwise(1)).withColumn("span", F.sum("new").over(order))
-    found = (walked.groupBy(*key, "label", "base", "length", "span")
+    # Sorted by diagonal, a new band begins on a far one; sorted by place, a new span of the band begins after a gap. So hits on far
+    # diagonals (wording that a template has twice) do not come between those of a span.
+    across, along = Window.partitionBy(*key).orderBy("diagonal", "place"), Window.partitionBy(*key, "band").orderBy("place", "at")
+    walked = (votes.where("not base").withColumn("far", F.when(F.col("diagonal") - F.lag("diagonal").over(across) <= drift, 0).otherwise(1))
+              .withColumn("band", F.sum("far").over(across))
+              .withColumn("new", F.when(F.col("place") - F.lag("place").over(along) <= gap, 0).otherwise(1)).withColumn("span", F.sum("new").over(along)))
+    found = (walked.groupBy(*key, "label", "base", "length", "band", "span")
              .agg(F.min("place").alias("first"), (F.max("place") + GRAM - 1).alias("last"),
                   F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + GRAM - 1))))).alias("words")))
     return base.unionByName(found.withColumn("share", F.col("words") / F.col("length")).where(F.col("share") >= least)

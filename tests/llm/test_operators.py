@@ -63,6 +63,18 @@ def test_license_scan_is_native_and_finds_changed_texts(spark):
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
 
 
+def test_license_spans_are_not_broken_by_repeated_wording(spark):
+    """The Apache notice has "the license you may" twice, 12 words apart."""
+    notice = re.findall("[0-9a-z]+", next(text for label, text in licenses.TEMPLATES if label == "apache-2").lower())
+    until = next(k for k in range(len(notice)) if notice[k:k + 4] == ["distributed", "under", "the", "license"]) + 4
+    short = [f"w{k}" for k in range(8)] + notice[8:until]
+    docs = spark.createDataFrame([(1, " ".join(notice)), (2, " ".join(short)), (3, " ".join(notice + ["x"] * 40 + notice))], "doc_id int, text string")
+    rows = {r.doc_id: [(s.label, s.first, s.last, s.share) for s in r.spans if not s.base] for r in licenses.scan(docs).collect()}
+    n = len(notice)
+    assert rows[1] == [("apache-2", 0, n - 1, 1.0)] and rows[2] == [("apache-2", 8, until - 1, (until - 8) / n)]
+    assert rows[3] == [("apache-2", 0, n - 1, 1.0), ("apache-2", n + 40, 2 * n + 39, 1.0)]
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[k:k + 3]) for k in range(len(words) - 2))
