@@ -89,8 +89,8 @@ class KneserNey:
         P(rare word) = P(its pool) * P(word | its pool); the corpus counts say how a pool's words share it where the class does not.
         No word and no pair is left out, see ``split``.
         """
-        self.size, self.keys = size, keys
-        self.back, self.pair = np.ones((2, size)), np.zeros((2, len(keys) + 1))
+        self.size, self.keys, self.sent = size, keys, None
+        self.back, self.pair = np.ones((2, size)), np.zeros((2, len(keys) + 1), np.float32)
         pooled = np.array([np.bincount(pool, continuations[c], size) for c in CLASSES])
         whole = np.bincount(pool, shared + 0.5, size)
         base, inside = whole / whole.sum(), np.broadcast_to((shared + 0.5) / whole[pool], (2, size))
@@ -105,6 +105,9 @@ class KneserNey:
         if len(keys):
             self.pair[:, :-1], self.back = split(keys // size, self.unigram[:, keys % size], docs, contexts, least_pair_docs)
 
+    def __getstate__(self):
+        return {**self.__dict__, "sent": None}
+
     def ratios(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log P(word | previous, toxic) - log P(word | previous, ordinary) at each word; ``ends``: where texts end."""
         previous = np.concatenate(([0], ids[:-1])).astype(np.int64)[:len(ids)]
@@ -179,14 +182,16 @@ def corpus_documents(docs: DataFrame, text: str, of: list[bytes]) -> np.ndarray:
                 words = set(WORD.findall((text or b"").lower()))
                 if len(met) > keep:
                     met.clear()
-                for w in words - met.keys():
-                    met[w] = [place[u] for u in units(w) if u in place]
+                for w in words:
+                    if w not in met:
+                        met[w] = [place[u] for u in units(w) if u in place]
                 own = list({k for w in words for k in met[w]})
                 counts[own] += 1
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["k", "docs"])
 
     table = (docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "k int, docs bigint").groupBy("k").agg(F.sum("docs").alias("docs")).toArrow())
+    sent.destroy()
     out = np.zeros(many, np.int64)
     out[table["k"].to_numpy()] = table["docs"].to_numpy()
     return out
@@ -251,7 +256,7 @@ def corpus_continuations(docs: DataFrame, text: str, vocabulary: Vocabulary) ->
                 if len(met) > many:
                     met, numbers, hashes = {}, numbers[:0], hashes[:0]
                 parts = [WORD.findall((t or b"").lower()) for t in texts[at:at + 128]]
-                new = list({w for words in parts for w in words} - met.keys())
+                new = list({w for words in parts for w in words if w not in met})
                 met.update(zip(new, range(len(met), len(met) + len(new))))
                 numbers = np.concatenate((numbers, np.array([own.number_of(w) for w in new], np.int64)))
                 hashes = np.concatenate((hashes, keyed(new)))
@@ -287,6 +292,7 @@ def corpus_continuations(docs: DataFrame, text: str, vocabulary: Vocabulary) ->
 
     rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "number int, sketch binary")
     counts = rows.repartition("number").mapInArrow(merge, "number int, contexts double").toArrow()
+    sent.destroy()
     out = np.zeros(size)
     out[counts["number"].to_numpy()] = counts["contexts"].to_numpy()
     return out
@@ -331,7 +337,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
 
 def measured(docs: DataFrame, vocabulary: Vocabulary, model: KneserNey, carry, text: str) -> DataFrame:
-    sent = send(docs.sparkSession, (vocabulary, model))
+    # Sent once for calibration and scoring: each copy lies on every executor's disk.
+    app = docs.sparkSession.sparkContext.applicationId
+    if model.sent is None or model.sent[0] != app:
+        model.sent = app, send(docs.sparkSession, (vocabulary, model))
+    sent = model.sent[1]
 
     def make():
         words, own = received(sent)
