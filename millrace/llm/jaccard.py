@@ -408,7 +408,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null, empty and blank texts have none and link with nothing. Equal sets link, repeated rows too. A null id is no
     candidate for the least one; a component of null ids only has none. An empty table gives no rows.
     """
-    rows = written(members(docs, [doc_id], text, size).select(F.col(f"doc.`{doc_id}`").cast("bigint").alias("doc_id"), "node", "n_shingles"), "members")
+    # Cast once for all uses, as sets are found again by the text of the id.
+    docs = docs.withColumn(doc_id, F.col(f"`{doc_id}`").cast("bigint"))
+    rows = written(members(docs, [doc_id], text, size).select(F.col(f"doc.`{doc_id}`").alias("doc_id"), "node", "n_shingles"), "members")
     least = least_ids(rows, linked(docs, rows, doc_id, text, size, percent, rounds)).select("node", F.col("top.doc_id").alias("component_id"))
     return (rows.join(least, "node", "left")
             .select("doc_id", "n_shingles", F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))

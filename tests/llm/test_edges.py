@@ -99,3 +99,12 @@ def test_stages(spark, sf, odd, name, stage, empty):
         assert out.columns == docs.columns
         assert len(rows) <= odd.count()
     assert not empty or not rows
+
+
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_near_duplicates_on_other_id_types(spark, kind):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words, *[f"x{k}"] * (k > 7)])) for k in (7, 8, 9)] + [(20, "quite another text of seven words")]
+    docs = spark.createDataFrame([(float(k) if kind == "double" else f"{k:03d}", t) for k, t in rows], f"doc_id {kind}, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {7: 7, 8: 7, 9: 7, 20: 20}
