@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace import session
-from millrace.llm import chat, decontaminate, html_layout, jaccard, licenses, packing, quality_fm, rules, token_files, toxicity
+from millrace.llm import (chat, decontaminate, html_layout, jaccard, licenses, merkle, packing, quality_fm, rules, token_files,
+                          toxicity)
 from millrace.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +133,11 @@ def op10_packing(spark, sf_dir):
     pieces = packing.pack(documents(spark, sf_dir))
     return pieces.select("doc.doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
                          "tier", "step_group")
+
+
+@query("op11_merkle_manifest")
+def op11_merkle_manifest(spark, sf_dir):
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = merkle.manifest(documents(spark, sf_dir), F.when(third, lowered).otherwise(F.col("text")))
+    return rows.withColumnRenamed("id", "doc_id")
