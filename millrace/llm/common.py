@@ -87,3 +87,16 @@ def send(spark: SparkSession, value) -> Broadcast:
 def received(sent: Broadcast):
     return pickle.loads(sent.value)
 
+
+
+def skewless_join(rows: DataFrame, keys: DataFrame, on: Sequence[str], n: str, most: int = 10_000) -> DataFrame:
+    """Inner join of ``rows`` with ``keys``, one row for each key, whose column ``n`` says how many of ``rows`` it meets.
+
+    Keys that meet more than 1 / ``most`` of all are at most ``most`` and are broadcast, so their rows stay where they are; the
+    others are joined by a shuffle, in which none is large.
+    """
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    limit = max(total // most, 1000)
+    busy = F.broadcast(keys.where(F.col(n) > limit).drop(n))
+    rest = rows.join(busy.select(*on), list(on), "left_anti").join(keys.where(F.col(n) <= limit).drop(n), list(on))
+    return rest.unionByName(rows.join(busy, list(on)))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace import session
-from millrace.llm import (chat, decontaminate, html_layout, jaccard, licenses, merkle, packing, quality_fm, rules, token_files,
-                          toxicity)
+from millrace.llm import (chat, decontaminate, html_layout, jaccard, licenses, merkle, packing, quality_fm, rules, substrings,
+                          token_files, toxicity)
 from millrace.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,16 @@ def op11_merkle_manifest(spark, sf_dir):
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = merkle.manifest(documents(spark, sf_dir), F.when(third, lowered).otherwise(F.col("text")))
     return rows.withColumnRenamed("id", "doc_id")
+
+
+@query("op12_substring_dedup", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, p, array_to_string(w[p:p + 49], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS q FROM win JOIN least USING (g) WHERE m < doc_id),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY q) AS k, count(*) AS n FROM words ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""")
+def op12_substring_dedup(spark, sf_dir):
+    return substrings.deduplicated(documents(spark, sf_dir)).select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
