@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace import session
-from millrace.llm import (chat, decontaminate, html_layout, jaccard, licenses, merkle, packing, quality_fm, rules, substrings,
-                          token_files, toxicity)
+from millrace.llm import (alignment, chat, decontaminate, html_layout, jaccard, licenses, merkle, packing, quality_fm, rules,
+                          substrings, token_files, toxicity)
 from millrace.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)""")
 def op12_substring_dedup(spark, sf_dir):
     return substrings.deduplicated(documents(spark, sf_dir)).select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    rows = alignment.align(documents(spark, sf_dir)).documents
+    return rows.select("doc.doc_id", *[c for c in rows.columns if c != "doc"])
