@@ -3,7 +3,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 from millrace import session  # noqa: E402
 
@@ -15,7 +15,8 @@ def spark(tmp_path_factory):
     s = session.get_session("tests", "local[4]", **{
         "spark__sql__shuffle__partitions": 4, "spark__ui__enabled": "false",
         "spark__ui__showConsoleProgress": "false", "spark__driver__memory": "6g",
-        "spark__checkpoint__dir": tmp_path_factory.mktemp("checkpoint").as_uri()})
+        "spark__checkpoint__dir": tmp_path_factory.mktemp("checkpoint").as_uri(),
+        "spark__sql__warehouse__dir": tmp_path_factory.mktemp("warehouse").as_uri()})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
@@ -29,13 +30,3 @@ def sf():
 @pytest.fixture(scope="session")
 def events(spark, sf):
     return session.table(spark, sf, "events")
-
-
-def rows(df, *columns):
-    """Sorted rows, doubles rounded, for order-free comparison."""
-    def norm(v):
-        if isinstance(v, float):
-            return round(v, 6)
-        return tuple(norm(x) for x in v) if isinstance(v, (list, tuple)) else v
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(norm(v) for v in r) for r in picked.collect()), key=repr)

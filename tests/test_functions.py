@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from millrace.functions import library as L, scalar as S
 from millrace.operators import relational as rel
 

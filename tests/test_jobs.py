@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from conftest import rows
+from helpers import rows
 from millrace import durations, session
 from millrace.operators import analytics as A, features as FE, inference as I, joins, lineage as LN, schema_ops as SO, windows as W
 from millrace.plans.spec import Pipeline, SpecError

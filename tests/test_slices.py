@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from conftest import rows
+from helpers import rows
 from millrace.operators import joins, keyed, over, patterns, windows
 
 # 15 users of about 67 events each: about half of them are busy here

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from millrace.operators import windows as W
 from millrace.streaming import run, state
 from millrace.streaming.watermark import METRICS, assign, progress_rows
