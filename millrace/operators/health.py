@@ -66,16 +66,16 @@ def findings(metrics: DataFrame, snapshot: Sequence[str] = ("query", "ts")) -> D
 
 
 def watermark_health(metrics: DataFrame, by: Sequence[str], ts: str = "ts", watermark: str = "watermark",
-                     stall: str = "10 seconds", slice_width: str = "1 hour") -> DataFrame:
+                     stall: str = "10 seconds") -> DataFrame:
     """Lag (seconds), its band, and whether the watermark stood still for longer than ``stall``.
 
     It advances when one of the four samples before is lower.
     """
     us = durations.since_epoch
-    seen = over.rows_frame(metrics.withColumn("_wm", us(watermark)), by, [ts], 4, -1, {"_low": F.min("_wm")}, slice_width)
+    seen = over.rows_frame(metrics.withColumn("_wm", us(watermark)), by, [ts], 4, -1, {"_low": F.min("_wm")})
     moved = seen.withColumn("_moved", F.when(F.col("_wm").isNotNull() & (F.col("_low").isNull() | (F.col("_low") < F.col("_wm"))),
                                              F.col(ts)))
-    run = over.running(moved, by, [ts], {"_advanced": ("max", "_moved")}, slice_width)
+    run = over.running(moved, by, [ts], {"_advanced": ("max", "_moved")})
     lag = F.greatest((us(ts) - F.col("_wm")) / 1_000_000, F.lit(0.0))
     band = F
     for bound, label in LAG_BANDS:
@@ -103,10 +103,9 @@ def compare_queries(metrics: DataFrame, ts: str, bucket: str, column: str, queri
     return named.orderBy(F.desc("bucket")).limit(last) if last else named
 
 
-def run_deltas(runs: DataFrame, by: Sequence[str], order: str, duration: str, rows: str,
-               slice_width: str = "1 day") -> DataFrame:
+def run_deltas(runs: DataFrame, by: Sequence[str], order: str, duration: str, rows: str) -> DataFrame:
     """Rows per second of each run and the percent change of its duration to the run before."""
-    seen = over.shift(runs, by, [order], {"_before": ("lag", duration, 1)}, slice_width)
+    seen = over.shift(runs, by, [order], {"_before": ("lag", duration, 1)})
     change = (F.col(duration) - F.col("_before")) / F.nullif(F.col("_before"), F.lit(0)) * 100
     return seen.select(*runs.columns, (F.col(rows) / F.nullif(F.col(duration), F.lit(0))).alias("rows_per_s"),
                        change.alias("delta_pct"))

@@ -60,8 +60,7 @@ def _image(kind: str, column: str):
 
 
 def changelog_normalize(df: DataFrame, by: Sequence[str], order: Sequence[str], mode: str,
-                        kind: str = "row_kind", slice_width: str | float = "1 hour",
-                        hot_rows: int = sl.HOT_ROWS) -> DataFrame:
+                        kind: str = "row_kind", parts: int | None = None) -> DataFrame:
     """Normal form of a changelog whose rows carry full images.
 
     * ``upsert``: the current row of every key that was not deleted last,
@@ -77,7 +76,7 @@ def changelog_normalize(df: DataFrame, by: Sequence[str], order: Sequence[str],
         raise ValueError(f"unknown changelog mode: {mode}")
     data = [c for c in df.columns if c not in (kind, *by)]
     packed = live.withColumn("_now", F.struct(kind, *data))
-    seen = shift(packed, by, order, {"_prev": ("lag", "_now", 1)}, slice_width, hot_rows)
+    seen = shift(packed, by, order, {"_prev": ("lag", "_now", 1)}, parts)
     gone = F.col(kind) == "-D"
     alive = F.col("_prev").isNotNull() & (F.col("_prev." + kind) != "-D")
 

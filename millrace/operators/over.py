@@ -1,33 +1,57 @@
-"""OVER-window functions per key: ranks, shifts, running values and frames."""
+"""OVER-window functions per key: ranks, shifts, running values and frames.
+
+Keys that hold a large share of the rows are cut into ranges with borders from a sample (``ranges``); a scan over one summary for each
+range carries on what the rows after it need. Without such keys the plan is one scan, one shuffle and one window. ``parts`` is
+the number of ranges that the whole table would be cut into (see ``ranges.cut``). Rows that are equal in ``order`` (peers) stay in one
+range; where their order is free (row_number, ntile, LAG, LEAD, ROWS frames) a hash of the row parts them too.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from millrace.operators import ranges, slices as sl
+
+RANKS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
+FREE = {"row_number", "ntile"}
+
 
-from millrace.operators import slices as sl
+def whole(by: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*by).orderBy(*sl.order_columns(order))
 
-Slice = str | float
 
+def cut_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], parts: int | None) -> tuple[DataFrame | None, list[str]]:
+    """Ranges of rows whose peers may stand in any order, and the order with a hash of the row as its last column."""
+    hashed = df.withColumn("_tie", F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]))
+    return ranges.cut(hashed, by, [*order, "_tie"], parts), [*order, "_tie"]
 
-def rank_over(df: DataFrame, by: Sequence[str], order: Sequence[str], functions: dict[str, str],
-              slice_width: Slice = "1 hour", hot_rows: int = sl.HOT_ROWS) -> DataFrame:
+
+def rank_over(df: DataFrame, by: Sequence[str], order: Sequence[str], functions: dict[str, str], parts: int | None = None) -> DataFrame:
     """Add numbering columns, e.g. ``{"rn": "row_number", "q": "ntile(4)"}``.
 
     Functions: row_number, rank, dense_rank, percent_rank, cume_dist, ntile(n).
     """
-    c = sl.cut(df, by, order, slice_width, hot_rows)
     names = [f.split("(")[0] for f in functions.values()]
-    unknown = set(names) - {"row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile"}
+    unknown = set(names) - set(RANKS)
     if unknown:
         raise ValueError(f"not a numbering function: {sorted(unknown)}")
+    if set(names) <= FREE:
+        c, sort = cut_rows(df, by, order, parts)
+    else:
+        c, sort = ranges.cut(df, by, order, parts), order
+    if c is None:
+        w = whole(by, order)
+        plain = {n: F.ntile(int(f.split("(")[1].rstrip(") "))) if f.startswith("ntile") else getattr(F, f.split("(")[0])() for n, f in functions.items()}
+        doubles = ("percent_rank", "cume_dist")
+        return df.withColumns({n: p.over(w) if functions[n] in doubles else p.over(w).cast("long") for n, p in plain.items()})
     aggregates, combine = {"_c": F.count(F.lit(1))}, {"before": F.sum("_c")}
     if "dense_rank" in names:
         keys = [F.col(o.lstrip("-")) for o in order]
         aggregates["_d"] = F.count_distinct(F.struct(*keys))
         combine["dbefore"] = F.sum("_d")
-    w = sl.slice_window(by, *sl.order_columns(order))
+    w = sl.slice_window(by, *sl.order_columns(sort))
     local = {"_before": F.coalesce(sl.past("before", w), F.lit(0)),
              "_extra": F.count_if(F.col("_data") == 0).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
     if {"row_number", "ntile"} & set(names):
@@ -74,15 +98,13 @@ def rank_over(df: DataFrame, by: Sequence[str], order: Sequence[str], functions:
                          *[value(s).alias(n) for n, s in functions.items()])
 
 
-def shift(df: DataFrame, by: Sequence[str], order: Sequence[str],
-          columns: dict[str, tuple], slice_width: Slice = "1 hour",
-          hot_rows: int = sl.HOT_ROWS) -> DataFrame:
+def shift(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[str, tuple], parts: int | None = None) -> DataFrame:
     """LAG / LEAD: ``{"prev": ("lag", "value", 1, None)}`` - kind, column, offset, default."""
     before = max([s[2] for s in columns.values() if s[0] == "lag"], default=0)
     after = max([s[2] for s in columns.values() if s[0] == "lead"], default=0)
-    c = sl.cut(df, by, order, slice_width, hot_rows)
-    full = sl.with_edge_rows(c, by, order, before, after)
-    w = Window.partitionBy(*by, sl.SLICE).orderBy(*sl.order_columns(order))
+    c, sort = cut_rows(df, by, order, parts)
+    full = df.withColumn("_own", F.lit(True)) if c is None else sl.with_edge_rows(c, by, sort, before, after)
+    w = whole(by, order) if c is None else whole([*by, sl.SLICE], sort)
     added = {}
     for name, spec in columns.items():
         kind, column, offset = spec[:3]
@@ -93,16 +115,14 @@ def shift(df: DataFrame, by: Sequence[str], order: Sequence[str],
 
 
 def rows_frame(df: DataFrame, by: Sequence[str], order: Sequence[str], before: int, after: int,
-               aggregates: dict[str, Column], slice_width: Slice = "1 hour",
-               hot_rows: int = sl.HOT_ROWS) -> DataFrame:
+               aggregates: dict[str, Column], parts: int | None = None) -> DataFrame:
     """Aggregates over ``ROWS BETWEEN before PRECEDING AND after FOLLOWING``.
 
     A negative ``after`` ends the frame before the current row.
     """
-    c = sl.cut(df, by, order, slice_width, hot_rows)
-    full = sl.with_edge_rows(c, by, order, before, max(after, 0))
-    w = (Window.partitionBy(*by, sl.SLICE).orderBy(*sl.order_columns(order))
-         .rowsBetween(-before, after))
+    c, sort = cut_rows(df, by, order, parts)
+    full = df.withColumn("_own", F.lit(True)) if c is None else sl.with_edge_rows(c, by, sort, before, max(after, 0))
+    w = (whole(by, order) if c is None else whole([*by, sl.SLICE], sort)).rowsBetween(-before, after)
     added = {n: a.over(w) for n, a in aggregates.items()}
     return full.withColumns(added).where("_own").select(*df.columns, *aggregates)
 
@@ -126,13 +146,15 @@ _RUNNING = {
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str],
-            aggregates: dict[str, tuple[str, str]], slice_width: Slice = "1 hour",
-            hot_rows: int = sl.HOT_ROWS) -> DataFrame:
+            aggregates: dict[str, tuple[str, str]], parts: int | None = None) -> DataFrame:
     """Running ``{"total": ("sum", "value")}``; peers of the current row are included.
 
     Kinds: sum, count, min, max, avg.
     """
-    c = sl.cut(df, by, order, slice_width, hot_rows)
+    c = ranges.cut(df, by, order, parts)
+    if c is None:
+        frame = whole(by, order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({n: getattr(F, kind)(column).over(frame) for n, (kind, column) in aggregates.items()})
     w = sl.slice_window(by, *sl.order_columns(order))
     frame = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     parts: dict[str, tuple[str, str]] = {}
@@ -175,16 +197,17 @@ def last_values(df: DataFrame, by: Sequence[str], order: Sequence[str], columns:
 
 
 def nth_values(df: DataFrame, by: Sequence[str], order: Sequence[str],
-               columns: dict[str, tuple[str, int]]) -> DataFrame:
+               columns: dict[str, tuple[str, int]], tie: Sequence[str] = ()) -> DataFrame:
     """FIRST_VALUE (n = 1) and NTH_VALUE with the default frame: ``{"second": ("value", 2)}``.
 
-    ``order`` must be unique within a key. Only the first n rows of each key are looked up, so the
-    ranking stays small even for a busy key; rows before the nth row get NULL.
+    The frame ends with the last peer of the row. ``tie`` orders peers among themselves and must make the order unique within a key
+    (or ``order`` itself must be). Only the first n rows of each key are looked up, so the ranking stays small
+    even for a busy key; rows whose frame ends before the nth row get NULL.
     """
     deepest = max(n for _, n in columns.values())
     names = [o.lstrip("-") for o in order]
-    w = Window.partitionBy(*by).orderBy(*sl.order_columns(order))
-    heads = (df.select(*dict.fromkeys([*by, *names, *[c for c, _ in columns.values()]]))
+    w = whole(by, [*order, *tie])
+    heads = (df.select(*dict.fromkeys([*by, *names, *[t.lstrip("-") for t in tie], *[c for c, _ in columns.values()]]))
              .withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= deepest))
     picks = [F.max(F.when(F.col("_place") == n,
                           F.struct(F.struct(*names).alias("at"), F.col(c).alias("v")))).alias("_v_" + a)

@@ -63,7 +63,7 @@ def match_sequence(df: DataFrame, by: Sequence[str], ts: str, steps: Sequence[st
     if skip != "past":
         raise ValueError("fixed sequences skip past the last row or to the next row")
     marked = sl.mark_busy(df.where(F.col(ts).isNotNull()), by, hot_rows)
-    placed = rank_over(marked, by, [ts, *tie], {"_at": "row_number"}, slice_width, hot_rows)
+    placed = rank_over(marked, by, [ts, *tie], {"_at": "row_number"})
     starts = sequence_starts(placed, by, ts, steps, define, within, ["_at"], slice_width, hot_rows)
     spans = starts.withColumn("_resume", F.col("_at") + len(steps))
     picked = choose_matches(spans, spans.where(sl.HOT), by)
@@ -377,12 +377,11 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
     if unknown:
         raise ValueError(f"not in the pattern: {unknown}")
     clean = sl.mark_busy(df.where(F.col(ts).isNotNull()), by, hot_rows)
-    placed = rank_over(clean, by, [ts, *tie], {"_at": "row_number"}, slice_width, hot_rows)
+    placed = rank_over(clean, by, [ts, *tie], {"_at": "row_number"})
     looked = sorted({c for text in define.values() for c in re.findall(r"prev\((\w+)\)", text)})
     labeled = placed
     if looked:
-        labeled = shift(placed, by, [ts, *tie, "_at"], {f"_prev_{c}": ("lag", c, 1) for c in looked},
-                        slice_width, hot_rows)
+        labeled = shift(placed, by, [ts, *tie, "_at"], {f"_prev_{c}": ("lag", c, 1) for c in looked})
     bits = {v: 1 << i for i, v in enumerate(p.variables)}
     mask = F.lit(0)
     for v, bit in bits.items():

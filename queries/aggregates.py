@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import over, slices
+from millrace.operators import over
 from queries.registry import query
 
 
@@ -133,10 +133,9 @@ SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, row_number() OVER w
 FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_linenumber)""")
 def win_rank(t):
     rows = t.lineitem.select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    rows = slices.mark_busy(rows, ["l_suppkey"], slices.HOT_ROWS)  # counted once for both orders
-    ranked = over.rank_over(rows, ["l_suppkey"], ["-l_quantity"], {"rk": "rank", "dr": "dense_rank"}, 1)
+    ranked = over.rank_over(rows, ["l_suppkey"], ["-l_quantity"], {"rk": "rank", "dr": "dense_rank"})
     numbered = over.rank_over(ranked, ["l_suppkey"], ["-l_extendedprice", "l_orderkey", "l_partkey", "l_linenumber"],
-                              {"rn": "row_number"}, 100)
+                              {"rn": "row_number"})
     return numbered.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "rn", "rk", "dr")
 
 
@@ -152,7 +151,7 @@ SELECT event_id, round(percent_rank() OVER (PARTITION BY user_id ORDER BY value)
  round(cume_dist() OVER (PARTITION BY user_id ORDER BY value), 8) AS cd FROM events""")
 def win_dist(t):
     ranked = over.rank_over(t.events.select("event_id", "user_id", "value"), ["user_id"], ["value"],
-                            {"pr": "percent_rank", "cd": "cume_dist"}, 1)
+                            {"pr": "percent_rank", "cd": "cume_dist"})
     return ranked.select("event_id", F.round("pr", 8).alias("pr"), F.round("cd", 8).alias("cd"))
 
 
@@ -216,5 +215,5 @@ def win_named(t):
     # one named window, two functions: both come from a single pass
     out = over.running(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"),
                        ["o_custkey"], ["o_orderdate", "o_orderkey"],
-                       {"running": ("sum", "o_totalprice"), "n": ("count", "o_orderkey")}, "30 days")
+                       {"running": ("sum", "o_totalprice"), "n": ("count", "o_orderkey")})
     return out.select("o_orderkey", F.round("running", 2).alias("running"), "n")

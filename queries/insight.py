@@ -89,7 +89,7 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
 def perf_delta(t):
     # orders as runs: price is the duration, the key the row count
     runs = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
-    return H.run_deltas(runs, ["o_custkey"], "o_orderkey", "o_totalprice", "o_orderkey", 100000).select(
+    return H.run_deltas(runs, ["o_custkey"], "o_orderkey", "o_totalprice", "o_orderkey").select(
         "o_orderkey", "o_custkey", F.round("rows_per_s", 8).alias("rows_per_s"), F.round("delta_pct", 6).alias("delta_pct"))
 
 

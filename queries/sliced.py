@@ -1,4 +1,7 @@
-"""The same queries with nearly every key treated as busy, so that the path for large keys is checked too."""
+"""The same queries with nearly every key treated as busy, so that the path for large keys is checked too.
+
+OVER queries cut the table into ``PARTS`` ranges, the others treat keys above ``HOT`` rows as busy.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from queries.cep import EV
 from queries.joins_q import _sides
 from queries.registry import ORACLE, query
 
-HOT = 20
+HOT, PARTS = 20, 1000
 
 
 @query("win_rank_sliced", """
@@ -18,22 +21,22 @@ SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ev
  rank() OVER (PARTITION BY user_id ORDER BY event_type) AS rk, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS dr FROM events""")
 def win_rank_sliced(t):
     rows = t.events.select("event_id", "user_id", "value", "event_type")
-    ranked = over.rank_over(rows, ["user_id"], ["event_type"], {"rk": "rank", "dr": "dense_rank"}, hot_rows=HOT)
-    return (over.rank_over(ranked, ["user_id"], ["-value", "event_id"], {"rn": "row_number"}, 10, HOT)
+    ranked = over.rank_over(rows, ["user_id"], ["event_type"], {"rk": "rank", "dr": "dense_rank"}, PARTS)
+    return (over.rank_over(ranked, ["user_id"], ["-value", "event_id"], {"rn": "row_number"}, PARTS)
             .select("event_id", "rn", "rk", "dr"))
 
 
 @query("win_dist_sliced", ORACLE["win_dist"])
 def win_dist_sliced(t):
     ranked = over.rank_over(t.events.select("event_id", "user_id", "value"), ["user_id"], ["value"],
-                            {"pr": "percent_rank", "cd": "cume_dist"}, 5, HOT)
+                            {"pr": "percent_rank", "cd": "cume_dist"}, PARTS)
     return ranked.select("event_id", F.round("pr", 8).alias("pr"), F.round("cd", 8).alias("cd"))
 
 
 @query("win_running_sliced", ORACLE["win_running"])
 def win_running_sliced(t):
     out = over.running(t.events.select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts"],
-                       {"total": ("sum", "value"), "n": ("count", "event_id"), "hi": ("max", "value"), "mean": ("avg", "value")}, "1 day", HOT)
+                       {"total": ("sum", "value"), "n": ("count", "event_id"), "hi": ("max", "value"), "mean": ("avg", "value")}, PARTS)
     return out.select("event_id", F.round("total", 4).alias("total"), "n", "hi", F.round("mean", 9).alias("mean"))
 
 
@@ -41,7 +44,7 @@ def win_running_sliced(t):
 def win_lag_sliced(t):
     return over.shift(t.events.select("event_id", "user_id", "ts", "value", "event_type"), ["user_id"], ["ts"],
                       {"prev": ("lag", "value", 1), "prev2": ("lag", "event_type", 2, "none"), "next": ("lead", "value", 1, -1.0)},
-                      "1 day", HOT).select("event_id", "prev", "prev2", "next")
+                      PARTS).select("event_id", "prev", "prev2", "next")
 
 
 @query("join_asof_sliced", ORACLE["join_asof"])
@@ -73,8 +76,8 @@ def cep_plus_sliced(t):
 @query("win_text_order", """
 SELECT event_id, lag(event_id) OVER w AS prev, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_type, event_id)""")
 def win_text_order(t):
-    rows = over.shift(t.events.select("event_id", "user_id", "event_type"), ["user_id"], ["event_type", "event_id"], {"prev": ("lag", "event_id", 1)}, hot_rows=HOT)
-    return over.rank_over(rows, ["user_id"], ["event_type", "event_id"], {"rn": "row_number"}, hot_rows=HOT).select("event_id", "prev", "rn")
+    rows = over.shift(t.events.select("event_id", "user_id", "event_type"), ["user_id"], ["event_type", "event_id"], {"prev": ("lag", "event_id", 1)}, PARTS)
+    return over.rank_over(rows, ["user_id"], ["event_type", "event_id"], {"rn": "row_number"}, PARTS).select("event_id", "prev", "rn")
 
 
 @query("topn_large", """
