@@ -27,6 +27,8 @@ CUT = re.compile(rb"(?<=[\x21-\xff])(?<!\xc2[\x85\xa0])(?<!\xe1\x9a\x80|\xe2\x80
 #: Bytes of a range of a long text; a task has at most so many bytes of texts in work at once, too.
 RANGE = 1 << 16
 GATHERED = 1 << 22
+#: Bytes of new units that are aligned at once, and links of a group beyond which they are counted by its different ids.
+ADDED, LARGE = 1 << 19, 1024
 #: Fragments that a task composes, as bits of their number.
 FAN_BITS = 4
 #: A pair of ids is one number: the id of A, then 15 bits for the id of B.
@@ -56,49 +58,34 @@ class Tokenizers:
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.space = names.index("▁")
 
-    def ids(self, text: bytes) -> tuple[list[int], list[int]] | None:
-        """Ids of a text that begins with the space before it; None if the tokens' bytes are not the text."""
-        body = text.decode()
-        a = self.a.encode(body, add_special_tokens=False).ids
-        b = self.b.encode(body[1:], num_threads=1) if len(body) > 1 else [self.space]
-        if b"".join([self.bytes_a[i] for i in a]) != text or b"".join([self.bytes_b[i] for i in b]) != text:
-            return None
-        return a, b
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """Tokens of both between places where tokens of both end."""
-        out, i, j, at_a, at_b = [], 0, 0, 0, 0
-        own_a, own_b = [], []
-        while i < len(a):
-            if at_a <= at_b:
-                at_a += len(self.bytes_a[a[i]])
-                own_a.append(a[i])
-                i += 1
-            while at_b < at_a:
-                at_b += len(self.bytes_b[b[j]])
-                own_b.append(b[j])
-                j += 1
-            if at_a == at_b:
-                out.append((own_a, own_b))
-                own_a, own_b = [], []
-        return out
+    def ids(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of texts that begin with the space before them."""
+        texts = [u.decode() for u in units]
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return a, [ids if len(t) > 1 else [self.space] for t, ids in zip(texts, b)]
+
+    def faithful(self, units: list[bytes], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether the bytes of the tokens are those of the text, for each unit."""
+        return np.array([b"".join([self.bytes_a[i] for i in x]) == u == b"".join([self.bytes_b[i] for i in y]) for u, x, y in zip(units, a, b)], bool)
+
 
+def cross(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of groups: pair of ids, group, and how many links it stands for. ``p`` and ``q`` are the tokens of A and B in each group.
 
-def links(groups: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Different pairs of ids in groups, ascending, and how many links of each there are."""
-    keys, weights = [], []
-    for a, b in groups:
-        if len(a) == len(b) == 1:
-            keys.append(a[0] << B_BITS | b[0])
-            weights.append(1)
-        elif len(a) * len(b) <= 64:
-            keys += [x << B_BITS | y for x in a for y in b]
-            weights += [1] * (len(a) * len(b))
-        else:
-            (x, m), (y, n) = (np.unique(np.array(ids, np.int64), return_counts=True) for ids in (a, b))
-            keys += (x[:, None] << B_BITS | y[None, :]).ravel().tolist()
-            weights += (m[:, None] * n[None, :]).ravel().tolist()
-    return summed(np.array(keys, np.int64), np.array(weights, np.int64))
+    Groups of more than ``LARGE`` links are counted by their different ids, so that no product of long runs is written out.
+    """
+    first_a, first_b = np.cumsum(p) - p, np.cumsum(q) - q
+    times = np.where(p * q <= LARGE, q, 0)[group_a]
+    at = np.repeat(first_b[group_a] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    keys, groups = [np.repeat(a, times) << B_BITS | b[at]], [np.repeat(group_a, times)]
+    weights = [np.ones(len(at), np.int64)]
+    for g in np.flatnonzero(p * q > LARGE):
+        (x, m), (y, n) = (np.unique(ids[f[g]:f[g] + c[g]], return_counts=True) for ids, f, c in ((a, first_a, p), (b, first_b, q)))
+        keys.append((x[:, None] << B_BITS | y[None, :]).ravel())
+        weights.append((m[:, None] * n[None, :]).ravel())
+        groups.append(np.full(len(keys[-1]), g))
+    return np.concatenate(keys), np.concatenate(groups), np.concatenate(weights)
 
 
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +97,11 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], np.add.reduceat(weights[order], new)
 
 
+def grown(table: np.ndarray, rows: int) -> np.ndarray:
+    """The table with room for so many rows."""
+    return table if rows <= len(table) else np.concatenate((table, np.zeros((max(rows - len(table), len(table)), table.shape[1]), table.dtype)))
+
+
 class Closed(NamedTuple):
     """What closed groups amount to. Bytes that a tokenizer does not give back make ``ok`` false."""
     ok: bool
@@ -130,6 +122,11 @@ class Aligner:
 
     def __init__(self, byte_bpe: str, pieces: str, keep_bytes: int = 100 << 20):
         self.tokenizers, self.keep_bytes = Tokenizers(byte_bpe, pieces), keep_bytes
+        lengths = [len(self.tokenizers.bytes_a[i]) for i in range(len(self.tokenizers.bytes_a))]
+        self.length_a, self.length_b = np.array(lengths), np.array([len(x) for x in self.tokenizers.bytes_b])
+        names = [str(i) for i in range(max(len(self.length_a), len(self.length_b)))]
+        self.commas, self.bars, self.stops = (np.array([(n + mark).encode() for n in names], object) for mark in ",|;")
+        self.widths = np.array([len(n) + 1 for n in names])
         self.clear()
 
     @staticmethod
@@ -148,41 +145,68 @@ class Aligner:
         self.pairs = np.zeros((4096, 2), np.int64)
         self.used = self.kept = 0
 
-    def unit(self, unit: bytes) -> Closed:
-        ids = self.tokenizers.ids(unit)
-        if ids is None:
-            return NOTHING._replace(ok=False)
-        groups = self.tokenizers.groups(*ids)
-        text = ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
-        return Closed(True, len(ids[0]), len(ids[1]), len(groups), sum(len(a) * len(b) for a, b in groups), text.encode(), *links(groups))
-
-    def number(self, unit: bytes) -> int:
-        k = self.known[unit] = len(self.texts)
-        own = self.unit(unit)
-        if k == len(self.numbers):
-            self.numbers = np.concatenate((self.numbers, np.zeros_like(self.numbers)))
-        while self.used + len(own.pairs) > len(self.pairs):
-            self.pairs = np.concatenate((self.pairs, np.zeros_like(self.pairs)))
-        self.pairs[self.used:self.used + len(own.pairs)] = np.stack((own.pairs, own.weights), 1)
-        self.numbers[k] = (*own[:5], self.used, len(own.pairs))
-        self.used += len(own.pairs)
-        self.texts.append(own.groups)
-        self.kept += len(unit) + len(own.groups) + 16 * len(own.pairs) + 250
-        return k
+    def add(self, units: list[bytes]) -> None:
+        """Tokenise and align new units, all at once."""
+        a, b = self.tokenizers.ids(units)
+        ok = self.tokenizers.faithful(units, a, b)
+        a, b = ([ids if good else [] for ids, good in zip(own, ok)] for own in (a, b))
+        n_a, n_b = (np.array([len(ids) for ids in own], np.int64) for own in (a, b))
+        a, b = (np.fromiter((i for ids in own for i in ids), np.int64) for own in (a, b))
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        ends = end_a[np.isin(end_a, end_b, assume_unique=True)]  # a unit ends with a token of both, so groups lie within units
+        group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
+        p, q = (np.bincount(g, minlength=len(ends)) for g in (group_a, group_b))
+        last_a, last_b = np.cumsum(p) - 1, np.cumsum(q) - 1
+        unit_of = np.repeat(np.arange(len(units)), n_a)[last_a]
+        keys, groups, weights = cross(a, b, group_a, p, q)
+        keys, weights = summed(unit_of[groups] << 32 | keys, weights)
+        border = np.searchsorted(keys, np.arange(len(units) + 1) << 32)
+        place_a, place_b = np.arange(len(a)) + (last_b - q + 1)[group_a], np.arange(len(b)) + (last_a + 1)[group_b]
+        written_ids = np.empty(len(a) + len(b), object)
+        for place, ids, last, end in ((place_a, a, last_a, self.bars), (place_b, b, last_b, self.stops)):
+            written_ids[place] = self.commas[ids]
+            written_ids[place[last]] = end[ids[last]]
+        text = b"".join(written_ids.tolist())
+        sizes = np.zeros(len(units), np.int64)
+        np.add.at(sizes, np.repeat(np.arange(len(units)), n_a), self.widths[a])
+        np.add.at(sizes, np.repeat(np.arange(len(units)), n_b), self.widths[b])
+        stop = np.cumsum(sizes)
+        self.texts += [text[x:y - 1] for x, y in zip((stop - sizes).tolist(), np.maximum(stop, stop - sizes + 1).tolist())]
+        n_groups, n_links = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        np.add.at(n_groups, unit_of, 1)
+        np.add.at(n_links, unit_of, p * q)
+        k = len(self.known)
+        self.numbers = grown(self.numbers, k + len(units))
+        self.numbers[k:k + len(units)] = np.stack((ok, n_a, n_b, n_groups, n_links, self.used + border[:-1], np.diff(border)), 1)
+        self.pairs = grown(self.pairs, self.used + len(keys))
+        self.pairs[self.used:self.used + len(keys)] = np.stack((keys & 0xFFFFFFFF, weights), 1)
+        self.used += len(keys)
+        self.known.update(zip(units, range(k, k + len(units))))
+        self.kept += sum(map(len, units)) + len(text) + 16 * len(keys) + 250 * len(units)
 
     def align(self, texts: list[bytes]) -> list[Closed]:
         """Closed groups of each text. Texts begin with a space or where a cut was."""
         if self.kept > self.keep_bytes:
             self.clear()
-        known, at, sizes, joined = self.known, [], [], []
-        for text in texts:
-            units = CUT.split(text) if text else []
-            own = list(map(known.get, units))
-            if None in own:
-                own = [known[u] if u in known else self.number(u) for u in units]
-            joined.append(b";".join([self.texts[k] for k in own]))
-            at += own
-            sizes.append(len(own))
+        units = [CUT.split(text) if text else [] for text in texts]
+        sizes = [len(u) for u in units]
+        flat = [u for own in units for u in own]
+        at = list(map(self.known.get, flat))
+        if None in at:
+            new, size = [], 0
+            for unit in dict.fromkeys([u for u, k in zip(flat, at) if k is None]):
+                new.append(unit)
+                size += len(unit)
+                if size > ADDED:
+                    self.add(new)
+                    new, size = [], 0
+            if new:
+                self.add(new)
+            at = list(map(self.known.get, flat))
+        texts, joined, k = self.texts, [], 0
+        for n in sizes:
+            joined.append(b";".join([texts[i] for i in at[k:k + n]]))
+            k += n
         at = np.array(at, np.int64)
         table = self.numbers[at]
         ends = np.cumsum(sizes)
@@ -190,8 +214,8 @@ class Aligner:
         sums = sums[ends] - sums[ends - sizes]
         first, n = table[:, 5], table[:, 6]
         flat = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        keys, weights = summed(np.repeat(np.repeat(np.arange(len(texts)), sizes), n) << 32 | self.pairs[flat, 0], self.pairs[flat, 1])
-        border = np.searchsorted(keys, np.arange(len(texts) + 1) << 32)
+        keys, weights = summed(np.repeat(np.repeat(np.arange(len(sizes)), sizes), n) << 32 | self.pairs[flat, 0], self.pairs[flat, 1])
+        border = np.searchsorted(keys, np.arange(len(sizes) + 1) << 32)
         out = []
         for k, (size, text) in enumerate(zip(sizes, joined)):
             if sums[k, 0] < size:

@@ -73,7 +73,7 @@ def test_query(spark, sf, tokenizers):
 def test_odd_texts(spark, tokenizers, long_bytes):
     rng = random.Random(5)
     rows = [(k, rng.choice(["", " ", "\n"]) + mixed(rng) + rng.choice(["", " ", "  "])) for k in range(150)]
-    rows += [(900, None), (901, ""), (902, " "), (903, "  "), (904, "a "), (905, " a"), (None, "a b"), (7, "x" * 900), (7, "x" * 900), (8, "ab " * 400), (8, "\U0001f468‍" * 99)]
+    rows += [(900, None), (901, ""), (902, " "), (903, "  "), (904, "a "), (905, " a"), (None, "a b"), (7, "x" * 900), (7, "x" * 900), (8, "ab " * 400), (9, "\U0001f600" * 3000 + "क्ष" * 500), (8, "\U0001f468‍" * 99)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     want = plain(tokenizers, rows)
     got = alignment.align(docs, long_bytes=long_bytes)
