@@ -101,7 +101,7 @@ def cumulate(df: DataFrame, ts: str, step: str, max_size: str, by: Sequence[str]
     at = F.floor((durations.since_epoch(ts) - durations.since_epoch("_w.start")) / F.lit(width)) + 1
     grown = placed.withColumn("_k", F.explode(F.sequence(at.cast("int"), F.lit(steps))))
     end = F.col("_w.start") + F.make_dt_interval(
-        secs=(F.col("_k") * F.lit(width) / F.lit(1_000_000)).cast("decimal(18,6)"))
+        secs=(F.col("_k").cast("bigint") * F.lit(width) / F.lit(1_000_000)).cast("decimal(18,6)"))
     if df.isStreaming:
         # the watermark closes groups by the window column, so it stays a grouping key
         grouped = _agg(grown.groupBy(F.window(ts, max_size).alias("_w2"), "_k", *by), aggs)
