@@ -12,6 +12,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -57,6 +58,7 @@ class Tokenizers:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.space = names.index("▁")
+        self.length_a, self.length_b = np.array([len(self.bytes_a[i]) for i in range(len(self.bytes_a))]), np.array([len(x) for x in self.bytes_b])
 
     def ids(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of texts that begin with the space before them."""
@@ -66,7 +68,15 @@ class Tokenizers:
         return a, [ids if len(t) > 1 else [self.space] for t, ids in zip(texts, b)]
 
     def faithful(self, units: list[bytes], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
-        """Whether the bytes of the tokens are those of the text, for each unit."""
+        """Whether the bytes of the tokens are those of the text, for each unit. Mostly they are, so all are compared at once first."""
+        text, ends = b"".join(units), np.cumsum([len(u) for u in units])
+        for own, table, sizes in ((a, self.bytes_a, self.length_a), (b, self.bytes_b, self.length_b)):
+            ids = np.fromiter(chain.from_iterable(own), np.int64)
+            stops = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes[ids])))
+            if not np.array_equal(stops[np.cumsum([len(x) for x in own])], ends) or b"".join(map(table.__getitem__, chain.from_iterable(own))) != text:
+                break
+        else:
+            return np.ones(len(units), bool)
         return np.array([b"".join([self.bytes_a[i] for i in x]) == u == b"".join([self.bytes_b[i] for i in y]) for u, x, y in zip(units, a, b)], bool)
 
 
@@ -122,8 +132,7 @@ class Aligner:
 
     def __init__(self, byte_bpe: str, pieces: str, keep_bytes: int = 100 << 20):
         self.tokenizers, self.keep_bytes = Tokenizers(byte_bpe, pieces), keep_bytes
-        lengths = [len(self.tokenizers.bytes_a[i]) for i in range(len(self.tokenizers.bytes_a))]
-        self.length_a, self.length_b = np.array(lengths), np.array([len(x) for x in self.tokenizers.bytes_b])
+        self.length_a, self.length_b = self.tokenizers.length_a, self.tokenizers.length_b
         names = [str(i) for i in range(max(len(self.length_a), len(self.length_b)))]
         self.commas, self.bars, self.stops = (np.array([(n + mark).encode() for n in names], object) for mark in ",|;")
         self.widths = np.array([len(n) + 1 for n in names])
@@ -151,7 +160,7 @@ class Aligner:
         ok = self.tokenizers.faithful(units, a, b)
         a, b = ([ids if good else [] for ids, good in zip(own, ok)] for own in (a, b))
         n_a, n_b = (np.array([len(ids) for ids in own], np.int64) for own in (a, b))
-        a, b = (np.fromiter((i for ids in own for i in ids), np.int64) for own in (a, b))
+        a, b = (np.fromiter(chain.from_iterable(own), np.int64) for own in (a, b))
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         ends = end_a[np.isin(end_a, end_b, assume_unique=True)]  # a unit ends with a token of both, so groups lie within units
         group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
