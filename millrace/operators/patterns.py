@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace import durations
-from millrace.operators import slices as sl
+from millrace.operators import ranges, rowmatch, slices as sl
 from millrace.operators.over import rank_over, shift
 
 SKIPS = ("next", "past", "first", "last")
@@ -351,7 +351,7 @@ class Memory:
             self.end = end
 
 
-def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, define: dict[str, str], within: str,
+def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, define: dict[str, str], within: str | None,
                   skip: str = "past", rows: str = "one", skip_to: str | None = None, tie: Sequence[str] = (),
                   navigate: dict[str, Callable] | None = None, carry: Sequence[str] = (),
                   slice_width: str = "1 hour", hot_rows: int = sl.HOT_ROWS) -> DataFrame:
@@ -361,12 +361,15 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
     ``define``: SQL conditions on the row, evaluated by Spark; ``prev(column)`` in them reads the previous row
     of the key. A variable without one takes any row. ``navigate`` adds conditions on rows matched before:
     ``{"C": lambda row, first, last: row("country") != first("A", "country")}``; ``carry`` names the columns they
-    read. All rows of a match lie less than ``within`` apart.
+    read. All rows of a match lie less than ``within`` apart; None sets no limit.
     ``skip``: "past" the last row, to the "next" row, to the "first" or "last" row of variable ``skip_to``.
 
     Output per match: keys, match_id (row number of its first row), match_start, match_end, match_rows and, per variable,
     ``first_<v>``, ``last_<v>`` (structs of the other columns) and ``count_<v>``. ``rows="all"`` gives the
     matched rows instead, with match_id and variable.
+
+    Sequences of variables and choices are matched by ``rowmatch``, without Python, as long as no key holds a large share of the rows. Such
+    keys are cut into slices of time, which needs ``within``; nested groups and ``navigate`` need the matcher below.
     """
     if skip not in SKIPS:
         raise ValueError(f"skip must be one of {SKIPS}")
@@ -376,6 +379,15 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
     unknown = ({*define, *navigate} | ({skip_to} if skip in ("first", "last") else set())) - set(p.variables)
     if unknown:
         raise ValueError(f"not in the pattern: {unknown}")
+    parts = rowmatch.factors(pattern)
+    plain = parts is not None and not navigate and len(p.variables) <= rowmatch.MOST_VARIABLES
+    if plain and (not within or hot_rows == sl.HOT_ROWS and ranges.cut(df, by, [ts]) is None):
+        labels = rowmatch.Labels(parts)
+        base = rowmatch.numbered(df, by, ts, tie, labels, define, within)
+        found = rowmatch.detail(base, rowmatch.extents(base, by, labels, within, skip, skip_to), by, labels, df.columns).drop("match_number")
+        return _matches(found, df, by, ts, p.variables, rows)
+    if not within:
+        raise ValueError("nested groups and conditions on matched rows need a limit: within")
     clean = sl.mark_busy(df.where(F.col(ts).isNotNull()), by, hot_rows)
     placed = rank_over(clean, by, [ts, *tie], {"_at": "row_number"})
     looked = sorted({c for text in define.values() for c in re.findall(r"prev\((\w+)\)", text)})
@@ -484,11 +496,16 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
     variable = F.create_map(*[F.lit(x) for v, letter in letters.items() for x in (letter, v)])[F.col("_letter")]
     detail = placed.join(steps, sl.same_keys(placed, steps, (*by, "_at"), "_s_")).select(
         *[placed[c] for c in df.columns], placed["_at"], "match_id", variable.alias("variable"))
+    return _matches(detail, df, by, ts, p.variables, rows)
+
+
+def _matches(detail: DataFrame, df: DataFrame, by: Sequence[str], ts: str, variables: Sequence[str], rows: str) -> DataFrame:
+    """Matched rows, or one row for each match."""
     if rows == "all":
         return detail.drop("_at")
     body = F.struct(*[F.col(c).alias(c) for c in df.columns if c not in by])
     aggs = [F.min(ts).alias("match_start"), F.max(ts).alias("match_end"), F.count(F.lit(1)).alias("match_rows")]
-    for v in p.variables:
+    for v in variables:
         mine = F.when(F.col("variable") == v, F.col("_at"))
         aggs += [F.min_by(body, mine).alias(f"first_{v}"), F.max_by(body, mine).alias(f"last_{v}"),
                  F.count(mine).alias(f"count_{v}")]
@@ -498,28 +515,44 @@ def match_pattern(df: DataFrame, by: Sequence[str], ts: str, pattern: str, defin
 # --- relaxed contiguity and alerts --------------------------------------------------------------
 
 def followed_by(df: DataFrame, by: Sequence[str], ts: str, first: str, then: str, within: str,
-                any_later: bool = False, negated: bool = False, hot_rows: int = sl.HOT_ROWS) -> DataFrame:
+                any_later: bool = False, negated: bool = False, hot_rows: int = sl.HOT_ROWS, times: int = 1, until: str | None = None,
+                tie: Sequence[str] = ()) -> DataFrame:
     """Rows of ``first`` with a later row of ``then`` less than or exactly ``within`` after it.
 
-    Default: the first such row (followedBy); ``any_later``: all of them (followedByAny);
-    ``negated``: rows of ``first`` without one (notFollowedBy). The later row's columns get the prefix
-    ``next_``. Rows of one key must have different times.
+    Default: the first such row (followedBy); ``any_later``: all of them (followedByAny); ``times``: the n-th of them (times(n));
+    ``until``: none of them from a row on that meets this condition (the stop condition of a loop), be it such a row itself;
+    ``negated``: rows of ``first`` without one (notFollowedBy). The later row's columns get the prefix ``next_``. Rows of one key and time
+    stand in the order of ``tie``; without it they must have different times. Nulls stand first.
     """
     rest = [c for c in df.columns if c not in by]
     if any_later:
+        if times != 1 or until or tie:
+            raise ValueError("all later rows have no n-th one, no stop condition and no order")
         from millrace.operators.joins import interval_join
         later = df.where(then).select(*by, *[F.col(c).alias("next_" + c) for c in rest])
         return interval_join(df.where(first), later, by, ts, "next_" + ts, "1 microsecond", within, "inner")
-    # The nearest later row is carried back along the key, so no pairs are made.
+    if times < 1:
+        raise ValueError("times must be 1 or more")
+    # The nearest later row, or the n-th, and the nearest stop are carried back along the key, so no pairs are made.
     rows = sl.with_time_halo(df.where(F.col(ts).isNotNull()), by, ts, within, within, backward=False, hot_rows=hot_rows)
-    following = Window.partitionBy(*by, sl.SLICE).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    body = F.struct(*[F.col(c).alias("next_" + c) for c in rest])
-    seen = rows.withColumn("_n", F.last(F.when(F.expr(then), body), ignorenulls=True).over(following)).where(F.col("_own") & F.expr(first))
+    back = [F.col(c).desc() for c in (ts, *tie)]
+    following = Window.partitionBy(*by, sl.SLICE).orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
+    hit, place = F.coalesce(F.expr(then), F.lit(False)), F.struct(ts, *tie)
+    body = F.struct(*[F.col(c).alias("next_" + c) for c in rest], place.alias("_place"))
+    rows = rows.withColumns({"_hit": hit, "_row": F.when(hit, body)})
+    if times > 1:
+        rows = rows.withColumn("_row", F.when(F.col("_hit"), F.lag("_row", times - 1).over(Window.partitionBy(*by, sl.SLICE, "_hit").orderBy(*back))))
+    carried = {"_n": F.last(F.when(F.col("_hit"), F.struct("_row")), ignorenulls=True).over(following)["_row"]}
+    if until:
+        carried["_stop"] = F.last(F.when(F.expr(until), place), ignorenulls=True).over(following)
+    seen = rows.withColumns(carried).where(F.col("_own") & F.expr(first))
     near = F.coalesce(durations.since_epoch(F.col("_n.next_" + ts)) - durations.since_epoch(ts) <= F.lit(durations.micros(within)), F.lit(False))
+    if until:
+        near = near & F.coalesce(F.col("_n._place") < F.col("_stop"), F.lit(True))
     if negated:
         missed = seen.where(~near).select(*df.columns)
         return missed.unionByName(df.where(first).where(F.col(ts).isNull()))
-    return seen.where(near).select(*df.columns, "_n.*")
+    return seen.where(near).select(*df.columns, *[F.col("_n.next_" + c).alias("next_" + c) for c in rest])
 
 
 def keyed_alert(df: DataFrame, ts: str, size: str, by: Sequence[str], aggs: dict[str, Column], condition: str,
