@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,44 +32,84 @@ def units(word: bytes) -> list[bytes]:
     return [word, *(word[:k] + b"*" for k in PREFIXES if len(word) > k)]
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes, the same in every process."""
+    from xxhash import xxh3_64_intdigest
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def beginnings(words: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the beginnings of each word, from the longest on; 0 where the word is no longer than that."""
+    return [np.where([len(w) > k for w in words], hashed([w[:k] + b"*" for w in words]), np.uint64(0)) for k in PREFIXES] if words else [np.zeros(0, np.uint64)] * len(PREFIXES)
+
+
+def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key stands in an ascending table; -1 for none."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
 class Vocabulary:
-    """Numbers words by the first of their units that was kept; 0 is the unknown word."""
+    """Numbers words by the first of their units that was kept (given by hashes); 0 is the unknown word."""
 
-    def __init__(self, kept: list[bytes], keep_words: int = 300_000):
-        self.number, self.size, self.keep_words = {u: k for k, u in enumerate(kept, 1)}, len(kept) + 1, keep_words
+    def __init__(self, kept: np.ndarray, keep_words: int = 300_000):
+        self.order = np.argsort(kept)
+        self.table, self.size, self.keep_words = kept[self.order], len(kept) + 1, keep_words
         self.met: dict[bytes, int] = {}
 
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        at = places(self.table, keys)
+        return np.where(at >= 0, self.order[at] + 1, 0) if len(self.table) else np.zeros(len(keys), np.int64)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        out = self.lookup(hashed(words))
+        for keys in beginnings(words):
+            out = np.where(out == 0, self.lookup(keys), out)
+        return out
+
     def of(self, text: bytes) -> list[int]:
         words = WORD.findall(text.lower())
         met = self.met
         ids = list(map(met.get, words))
         if None in ids:
+            new = list({w for w, own in zip(words, ids) if own is None})
             if len(met) > self.keep_words:
                 met.clear()
-            for k, own in enumerate(ids):
-                if own is None:
-                    ids[k] = met[words[k]] = self.number_of(words[k])
+            found = dict(zip(new, self.numbers(new).tolist()))
+            met.update(found)
+            ids = [found[w] if own is None else own for w, own in zip(words, ids)]
         return ids
 
-    def number_of(self, word: bytes) -> int:
-        return next((self.number[u] for u in units(word) if u in self.number), 0)
 
-
-def split(group: np.ndarray, lower: np.ndarray, counts: np.ndarray, totals: np.ndarray, pseudo: float) -> tuple[np.ndarray, np.ndarray]:
+def split(group: np.ndarray, item: np.ndarray, lower: np.ndarray, counts: np.ndarray, totals: np.ndarray, pseudo: float, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Discounted P(item | its group, class) of counted items, and by class and group what is left for the lower order.
 
-    An item's count is split between the classes as seen, with ``pseudo`` more split as the lower order would have it, so that
-    what a rare item adds grows with its count. ``totals``: by class and group.
+    An item's count is split between the classes as seen, with ``pseudo`` more split as the lower order (``lower`` by class and ``item``) would have it,
+    so that what a rare item adds grows with its count. ``totals``: by class and group. Items are worked on block by block.
     """
-    both = counts.sum(0)
     of = totals + BACK_OFF * totals.sum(1, keepdims=True) / max(totals.sum(), 1.0)
-    expected = of[:, group] * lower
-    expected /= expected.sum(0)
-    dealt = both * (counts + pseudo * expected) / (both + pseudo)
+    groups, blocks = of.shape[1], [slice(k, k + block) for k in range(0, len(group), block)]
+
+    def dealt(part: slice) -> tuple[np.ndarray, np.ndarray]:
+        both = counts[:, part].sum(0).astype(float)
+        expected = of[:, group[part]] * lower[:, item[part]]
+        expected /= expected.sum(0)
+        return both, both * (counts[:, part] + pseudo * expected) / (both + pseudo)
+
+    added = np.zeros_like(of)
+    for part in blocks:
+        added += [np.bincount(group[part], d, groups) for d in dealt(part)[1]]
     # What is dealt to a group may exceed its own total; the larger of the two keeps probabilities below 1.
-    whole = np.maximum(of, of - totals + np.array([np.bincount(group, d, of.shape[1]) for d in dealt]))
-    share = dealt * np.maximum(both - DISCOUNT, 0) / np.maximum(both, 1) / whole[:, group]
-    return share, 1 - np.array([np.bincount(group, d, of.shape[1]) for d in share])
+    whole = np.maximum(of, of - totals + added)
+    share, back = np.zeros((2, len(group)), np.float32), np.ones_like(of)
+    for part in blocks:
+        both, own = dealt(part)
+        own *= np.maximum(both - DISCOUNT, 0) / np.maximum(both, 1) / whole[:, group[part]]
+        share[:, part] = own
+        back -= [np.bincount(group[part], d, groups) for d in own]
+    return share, back
 
 
 class KneserNey:
@@ -98,12 +137,12 @@ class KneserNey:
         total = np.maximum(pooled.sum(1, keepdims=True), 1.0)
         pools = kept / total + (1 - kept.sum(1, keepdims=True) / total) * base
         rare = np.flatnonzero((pool != np.arange(size)) & (continuations.sum(0) > 0))
-        share, back = split(pool[rare], inside[:, rare], continuations[:, rare], pooled, least_pair_docs)
+        share, back = split(pool[rare], rare, inside, continuations[:, rare], pooled, least_pair_docs)
         of_pool = back[:, pool] * inside
         of_pool[:, rare] += share
         self.unigram = pools[:, pool] * of_pool
         if len(keys):
-            self.pair[:, :-1], self.back = split(keys // size, self.unigram[:, keys % size], docs, contexts, least_pair_docs)
+            self.pair[:, :-1], self.back = split(keys // size, keys % size, self.unigram, docs, contexts, least_pair_docs)
 
     def __getstate__(self):
         return {**self.__dict__, "sent": None}
@@ -158,37 +197,42 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
 
 
 def unit_documents(rows: DataFrame, text: str) -> DataFrame:
-    """``unit`` (a word or its beginning) and in how many documents it occurs; added up within each batch first."""
+    """Units by hash, in how many documents they occur, whether they are beginnings, and a word's own beginnings; added up within each batch first."""
+    own = [f"p{k}" for k in range(len(PREFIXES))]
+
     def run(batches):
         for batch in batches:
             docs = Counter()
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 docs.update({u for w in set(WORD.findall((text or b"").lower())) for u in units(w)})
-            yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.binary()), pa.array(list(docs.values()), pa.int64())], names=["unit", "docs"])
+            names = list(docs)
+            part = np.array([u.endswith(b"*") for u in names], bool)
+            columns = [hashed(names).view(np.int64), np.array(list(docs.values()), np.int32), part, *[np.where(part, 0, p.view(np.int64)) for p in beginnings(names)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["unit", "docs", "part", *own])
 
-    return (rows.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "unit binary, docs bigint")
-            .groupBy("unit").agg(F.sum("docs").alias("docs")))
+    return (rows.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "unit bigint, docs int, part boolean, " + ", ".join(f"{c} bigint" for c in own))
+            .groupBy("unit").agg(F.sum("docs").cast("int").alias("docs"), F.max("part").alias("part"), *[F.max(c).alias(c) for c in own]))
 
 
-def corpus_documents(docs: DataFrame, text: str, of: list[bytes]) -> np.ndarray:
-    """In how many of all documents each of the units ``of`` occurs. A task makes one row for each of them that it meets."""
+def corpus_documents(docs: DataFrame, text: str, of: np.ndarray) -> np.ndarray:
+    """In how many of all documents each of the units ``of`` (ascending hashes) occurs. A task makes one row for each of them that it meets."""
     sent, many, keep = send(docs.sparkSession, of), len(of), 300_000
 
     def run(batches):
-        place = {u: k for k, u in enumerate(received(sent))}
-        met, counts = {}, np.zeros(many, np.int64)
+        table = received(sent)
+        met, counts = {}, np.zeros(many, np.int32)
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                words = set(WORD.findall((text or b"").lower()))
+            for at in range(0, batch.num_rows, 128):
+                parts = [set(WORD.findall((t or b"").lower())) for t in batch.column(0).slice(at, 128).cast(pa.binary()).to_pylist()]
                 if len(met) > keep:
                     met.clear()
-                for w in words:
-                    if w not in met:
-                        met[w] = [place[u] for u in units(w) if u in place]
-                own = list({k for w in words for k in met[w]})
-                counts[own] += 1
+                new = list({w for words in parts for w in words if w not in met})
+                found = np.stack([places(table, keys) for keys in (hashed(new), *beginnings(new))], 1).tolist()
+                met.update((w, [k for k in own if k >= 0]) for w, own in zip(new, found))
+                for words in parts:
+                    counts[list({k for w in words for k in met[w]})] += 1
         seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["k", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen].astype(np.int64))], names=["k", "docs"])
 
     table = (docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "k int, docs bigint").groupBy("k").agg(F.sum("docs").alias("docs")).toArrow())
     sent.destroy()
@@ -210,15 +254,10 @@ def pair_documents(rows: DataFrame, text: str, vocabulary: Vocabulary) -> DataFr
                 docs.update({(int(cls == 1), p * size + w) for p, w in zip([0, *ids], ids)})
             keys = list(docs)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()),
-                                              pa.array([docs[k] for k in keys], pa.int64())], names=["cls", "key", "docs"])
-
-    return (rows.select(F.col(f"`{text}`").cast("string"), "_label").mapInArrow(run, "cls int, key bigint, docs bigint")
-            .groupBy("cls", "key").agg(F.sum("docs").alias("docs")))
-
+                                              pa.array([docs[k] for k in keys], pa.int32())], names=["cls", "key", "docs"])
 
-def keyed(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, the same in every process."""
-    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), "<u8").astype(np.uint64)
+    return (rows.select(F.col(f"`{text}`").cast("string"), "_label").mapInArrow(run, "cls int, key bigint, docs int")
+            .groupBy("cls", "key").agg(F.sum("docs").cast("int").alias("docs")))
 
 
 def cells(own: np.ndarray, previous: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,8 +297,8 @@ def corpus_continuations(docs: DataFrame, text: str, vocabulary: Vocabulary) ->
                 parts = [WORD.findall((t or b"").lower()) for t in texts[at:at + 128]]
                 new = list({w for words in parts for w in words if w not in met})
                 met.update(zip(new, range(len(met), len(met) + len(new))))
-                numbers = np.concatenate((numbers, np.array([own.number_of(w) for w in new], np.int64)))
-                hashes = np.concatenate((hashes, keyed(new)))
+                numbers = np.concatenate((numbers, own.numbers(new)))
+                hashes = np.concatenate((hashes, hashed(new)))
                 ids = np.array([met[w] for words in parts for w in words], np.int64)
                 if not len(ids):
                     continue
@@ -310,26 +349,37 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     """
     rows = labelled(docs.select("doc_id", text), labels, label, sample)
     counted, held = rows.where(fold(F.col("doc_id")) != 1), rows.where(fold(F.col("doc_id")) == 1)
-    table = unit_documents(counted, text).toArrow()
-    met = dict(zip(table["unit"].to_pylist(), table["docs"].to_pylist()))
-    if not met:
+    table = unit_documents(counted, text).toArrow().sort_by("unit")
+    if not table.num_rows:
         return None
-    docs_of = dict(zip(met, corpus_documents(docs, text, list(met)).tolist()))
-    often = {u for u, n in met.items() if n >= least_docs}
-    vocabulary = Vocabulary(sorted(often | {u for u, n in docs_of.items() if n >= least_docs and not u.endswith(b"*")}))
-    pool = np.array([0, *(vocabulary.number[u] if u in often else next((vocabulary.number[v] for v in units(u) if v in often), 0) for u in vocabulary.number)])
+    unit, docs_in_sample, part = table["unit"].to_numpy().view(np.uint64), table["docs"].to_numpy(), table["part"].to_numpy()
+    ascending = np.argsort(unit)
+    docs_in_corpus = np.zeros(len(unit), np.int64)
+    docs_in_corpus[ascending] = corpus_documents(docs, text, unit[ascending])
+    often = docs_in_sample >= least_docs
+    kept = often | (docs_in_corpus >= least_docs) & ~part
+    vocabulary = Vocabulary(unit[kept])
     size = vocabulary.size
+    pool = np.where(often[kept], np.arange(1, size), 0)
+    for k in range(len(PREFIXES)):  # a beginning is kept only if the sample has it often
+        pool = np.where(pool == 0, vocabulary.lookup(table[f"p{k}"].to_numpy().view(np.uint64)[kept]), pool)
+    pool = np.concatenate((np.zeros(1, np.int64), pool))
+    del table, unit, ascending
     table = pair_documents(counted, text, vocabulary).toArrow()
     cls, key, found = (table[c].to_numpy() for c in ("cls", "key", "docs"))
-    if len(set(cls.tolist())) < 2:
+    del table
+    if len(np.unique(cls)) < 2:
         return None
     continuations = np.array([np.bincount(key[cls == c] % size, minlength=size) for c in CLASSES], float)
     contexts = np.array([np.bincount(key[cls == c] // size, found[cls == c], size) for c in CLASSES], float)
     known = (key >= size) & (key % size > 0)
-    keys, place = np.unique(key[known], return_inverse=True)
-    pairs = np.zeros((2, len(keys)))
-    pairs[cls[known], place] = found[known]
+    cls, key, found = cls[known], key[known], found[known]
+    keys, place = np.unique(key, return_inverse=True)
+    pairs = np.zeros((2, len(keys)), np.int32)
+    pairs[cls, place] = found
+    del cls, key, found, known, place
     model = KneserNey(size, corpus_continuations(docs, text, vocabulary), continuations, contexts, keys, pairs, pool, least_pair_docs)
+    del pairs, continuations, contexts
     got = measured(held, vocabulary, model, ["_label"], text).select("doc._label", *MEASURES).collect()
     got.sort(key=lambda r: [r[m] for m in MEASURES])
     x, y = np.array([[r[m] for m in MEASURES] for r in got]).reshape(-1, len(MEASURES)), np.array([float(r["_label"] == 1) for r in got])

@@ -29,7 +29,7 @@ def test_continuation_counts_have_no_ceiling(spark):
     texts = [f"w{k} often" for k in range(5000)] + [f"w{k} seldom" for k in range(40)] * 3
     random.Random(1).shuffle(texts)
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
-    got = toxicity.corpus_continuations(docs, "text", toxicity.Vocabulary([b"often", b"seldom"]))
+    got = toxicity.corpus_continuations(docs, "text", toxicity.Vocabulary(toxicity.hashed([b"often", b"seldom"])))
     assert abs(got[1] - 5000) < 0.2 * 5000 and abs(got[2] - 40) < 8
     assert abs(got[0] - 5000) < 0.2 * 5000  # each w{k} in one context: the start
 
@@ -38,7 +38,7 @@ def test_continuation_counts_of_the_corpus(spark):
     docs = session.table(spark, "/root/testdata/sf0.01", "documents")
     want = brute_contexts(r.text for r in docs.select("text").collect())
     kept = sorted(want, key=lambda w: (-len(want[w]), w))[:400]
-    got = toxicity.corpus_continuations(docs.repartition(3), "text", toxicity.Vocabulary(kept))
+    got = toxicity.corpus_continuations(docs.repartition(3), "text", toxicity.Vocabulary(toxicity.hashed(kept)))
     ratio = got[1:] / [len(want[w]) for w in kept]
     assert len(want[kept[0]]) > 710 and np.abs(ratio - 1).max() < 0.3 and 0.03 < np.sqrt(np.mean((ratio - 1) ** 2)) < 0.1
 
@@ -58,9 +58,8 @@ def test_model_holds_words_of_the_corpus_and_rare_pairs(spark):
     rows += [(k, f"onceinsample stands after n{k % 60}") for k in range(1000, 1100)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     vocabulary, model, _ = toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
-    number = vocabulary.number
-    assert b"onceinsample" in number  # in 101 documents, one of them labelled
-    ids = np.array([number[w] for w in (b"red", b"door", b"n1", b"door")])
-    together, apart = model.ratios(ids, np.array([4]))[[1, 3]]
-    assert number[b"red"] * model.size + number[b"door"] in set(model.keys.tolist()) and together > apart + 0.1
+    ids = vocabulary.numbers([b"red", b"door", b"n1", b"door", b"onceinsample"])
+    assert ids[4] and vocabulary.table[vocabulary.order.argsort()[ids[4] - 1]] == toxicity.hashed([b"onceinsample"])[0]  # in 101 documents, one of them labelled
+    together, apart = model.ratios(ids[:4], np.array([4]))[[1, 3]]
+    assert ids[0] * model.size + ids[1] in set(model.keys.tolist()) and together > apart + 0.1
     assert np.all(model.unigram.sum(1) < 1 + 1e-9) and np.all(model.back > 0) and np.allclose(model.unigram.sum(1), 1)
