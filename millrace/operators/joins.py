@@ -124,3 +124,41 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
         found = found.where(F.col("_match").isNotNull())
     restored = [F.col(c) if c in by else F.col("_row." + c).alias(c) for c in left.columns]
     return found.select(*restored, *[F.col("_match." + v).alias(v) for v in versions])
+
+
+def band_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, how: str = "inner", parts: int | None = None) -> DataFrame:
+    """Pairs with ``low <= value <= high`` where ``value`` is a column of ``left`` and the bounds are columns of ``right``; no equal key is needed.
+
+    ``value`` is cut into ranges of like row counts at its quantiles (at most ``parts``, by default two for each shuffle partition). A row of ``left`` lies in one
+    range, a row of ``right`` is sent to the ranges that its band touches, and rows meet on the range: no product is made, and all but the outermost ranges of a band
+    hold only its matches. A value that many rows share is a range of its own, dealt over several tasks. A null bound means no bound on that side; a null
+    value, or a band that is empty, matches nothing. ``how``: inner or left. Column names must differ.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported band join: {how}")
+    clash = set(left.columns) & set(right.columns)
+    if clash:
+        raise ValueError(f"rename right columns {sorted(clash)}")
+    parts = parts or max(64, 2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number = lambda df, c: durations.since_epoch(c).cast("double") if df.schema[c].dataType.typeName().startswith(("timestamp", "date")) else F.col(c).cast("double")
+    quantiles = left.select(F.percentile_approx(number(left, value), [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
+    borders = sorted(set(quantiles))
+    # before each border, from it to the next one; a border that is met often is a range that has several places
+    places = [1, *[max(1, quantiles.count(b)) for b in borders]]
+    marks = F.array(*[F.lit(float(b)) for b in borders]).cast("array<double>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))]).cast("array<int>")
+
+    def place(c: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(borders)) & (F.get(marks, at + step - 1) <= c), at + step).otherwise(at))
+
+    many = F.array(*[F.lit(n) for n in places])
+    l = left.withColumn("_range", place(number(left, value)))  # noqa: E741
+    l = l.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.get(many, "_range")).cast("int"))  # noqa: E741
+    first = F.when(F.col(low).isNull(), 0).otherwise(place(number(right, low)))
+    last = F.when(F.col(high).isNull(), len(borders)).otherwise(place(number(right, high)))
+    r = right.where(F.col(low).isNull() | F.col(high).isNull() | (F.col(low) <= F.col(high)))
+    r = r.withColumn("_r_range", F.explode(F.sequence(first, last)))
+    r = r.withColumn("_r_part", F.explode(F.sequence(F.lit(0), F.get(many, "_r_range") - 1)))
+    inside = F.col(value).isNotNull() & (F.col(low).isNull() | (F.col(value) >= F.col(low))) & (F.col(high).isNull() | (F.col(value) <= F.col(high)))
+    joined = l.join(r, (F.col("_range") == F.col("_r_range")) & (F.col("_part") == F.col("_r_part")) & inside, how)
+    return joined.drop("_range", "_part", "_r_range", "_r_part")

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.operators import slices as sl
+from millrace.operators import ranges, slices as sl
 
 
 def where_all(df: DataFrame, conditions: Sequence[str]) -> DataFrame:
@@ -67,6 +67,29 @@ def page(df: DataFrame, order: Sequence[str], first: int, last: int, cap: int |
     return df.orderBy(*sl.order_columns(order)).offset(first - 1).limit(rows)
 
 
+def deep_page(df: DataFrame, order: Sequence[str], first: int, last: int, parts: int | None = None) -> DataFrame:
+    """Rows ``first``..``last`` (1-based) of an ordered result, wherever the page lies.
+
+    The table is cut into ranges of like size along ``order`` (borders from a bounded sample); their counts, one number each, say which of them hold the
+    page, and only those are read and sorted. ``order`` must be unique. A page beyond the end is shorter or empty.
+    """
+    parts = parts or max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    borders = ranges.Borders(df, [], order, parts)
+    if not borders.marks:
+        return page(df, order, first, last)
+    cut = borders.cut(df)
+    before, chosen, skipped = 0, [], None
+    for r in cut.groupBy(sl.SLICE).count().orderBy(sl.SLICE).collect():
+        if before < last and before + r["count"] >= first:
+            chosen.append(r[sl.SLICE])
+            skipped = before if skipped is None else skipped
+        before += r["count"]
+    if not chosen:
+        return df.limit(0)
+    inside = cut.where(F.col(sl.SLICE).between(chosen[0], chosen[-1])).select(*df.columns)
+    return page(inside, order, first - skipped, last - skipped)
+
+
 def search_any(df: DataFrame, text: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows where any column contains the text, ignoring case."""
     needle = text.lower()
