@@ -231,12 +231,113 @@ def changelog(df: DataFrame, by: Sequence[str], ts: str, kind: str = "row_kind",
     return out.select(*_body("a_", df, [c for c in df.columns if c != kind]), F.col("tag_").alias(kind))
 
 
-def top_n(df: DataFrame, by: Sequence[str], ts: str, order: str, n: int, ttl: str | None = None) -> DataFrame:
+class _Released(StatefulProcessor):
+    """First level of top N: rows wait for the watermark, then the best ``n`` of the group are kept and what enters them goes on."""
+
+    def __init__(self, keys: Sequence[str], kind: str, n: int, down: bool):
+        self.keys, self.kind, self.n, self.down = list(keys), kind, n, down
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        row = f"v {self.kind}, us BIGINT, body STRING"
+        self.waiting, self.top = handle.getListState("waiting", row), handle.getListState("top", row)
+        self.timer = handle.getValueState("timer", "ms BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(v, int(us), body) for pdf in rows for v, us, body in zip(pdf["v_"], pdf["us_"], pdf["body_"])]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(us for _, us, _ in new))
+        return iter([])
+
+    def _wake(self, us: int) -> None:
+        ms = -(-us // 1000)
+        if self.timer.exists():
+            now = self.timer.get()[0]
+            if now <= ms:
+                return
+            self.handle.deleteTimer(now)
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [tuple(r) for r in self.waiting.get()]
+        left = [r for r in rows if r[1] > passed]
+        self.waiting.put(left) if left else self.waiting.clear()
+        self.timer.clear()
+        if left:
+            self._wake(min(r[1] for r in left))
+        _, entered = best([tuple(r) for r in self.top.get()], [r for r in rows if r[1] <= passed], self.n, self.down, self.top)
+        if not entered:
+            return iter([])
+        frame = pd.DataFrame(entered, columns=["v_", "us_", "body_"]).astype(object)
+        for k, v in zip(self.keys, key):
+            frame[k] = v
+        return iter([frame[[*self.keys, "v_", "us_", "body_"]]])
+
+    def close(self) -> None:
+        pass
+
+
+class _Best(StatefulProcessor):
+    """Second level of top N: rows that entered a part come in, changes of the whole go out, one at most for each row and batch."""
+
+    def __init__(self, keys: Sequence[str], kind: str, n: int, down: bool):
+        self.keys, self.kind, self.n, self.down = list(keys), kind, n, down
+
+    def init(self, handle) -> None:
+        self.top = handle.getListState("top", f"v {self.kind}, us BIGINT, body STRING")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(v, int(us), body) for pdf in rows for v, us, body in zip(pdf["v_"], pdf["us_"], pdf["body_"])]
+        gone, entered = best([tuple(r) for r in self.top.get()], new, self.n, self.down, self.top)
+        if not gone and not entered:
+            return iter([])
+        frame = pd.DataFrame([*[(r[2], "-D") for r in gone], *[(r[2], "+I") for r in entered]], columns=["a_", "tag_"]).astype(object)
+        for k, v in zip(self.keys, key):
+            frame[k] = v
+        return iter([frame[[*self.keys, "a_", "tag_"]]])
+
+    def close(self) -> None:
+        pass
+
+
+def best(held: list[tuple], new: list[tuple], n: int, down: bool, state) -> tuple[list[tuple], list[tuple]]:
+    """Keep the best ``n`` rows (value, time, body) in ``state``; rows that left and rows that entered. Ties go to the earlier row."""
+    both = [(r, True) for r in held] + [(r, False) for r in new if r[0] is not None]
+    both.sort(key=lambda x: (x[0][1], not x[1]))
+    both.sort(key=lambda x: x[0][0], reverse=down)
+    top, rest = both[:n], both[n:]
+    entered = [r for r, old in top if not old]
+    if entered:
+        state.put([r for r, _ in top])
+    return [r for r, old in rest if old], entered
+
+
+def top_n(df: DataFrame, by: Sequence[str], ts: str, order: str, n: int, ttl: str | None = None, parts: int = 16) -> DataFrame:
     """Top n per key by ``order`` (``-value`` for descending) as a changelog: rows enter (+I) and leave (-D).
 
-    A key's list is forgotten ``ttl`` after it last changed.
+    Two stateful levels: each key is dealt over ``parts`` groups, which hold back rows until the watermark passes them and keep n rows each; what enters
+    one of them goes to the key's own n rows. So the rows of a busy key are in ``parts`` tasks, and its one group gets no more than can change the result.
+    With a time to live, by which a key's list is forgotten ``ttl`` after it last changed, there is one level.
     """
     down, column = order.startswith("-"), order.lstrip("-")
+    if ttl is None:
+        # times go as numbers, so that the order column is no second event time
+        timed = isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        value = durations.since_epoch(column) if timed else F.col(column)
+        value_type = T.LongType() if timed else df.schema[column].dataType
+        kind = value_type.simpleString()
+        body = F.to_json(F.struct(*df.columns), _JSON).alias("body_")
+        dealt = F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int").alias("part_")
+        rows = df.where(F.col(column).isNotNull()).select(*by, dealt, F.col(ts).alias("t_"), value.alias("v_"), durations.since_epoch(ts).alias("us_"), body)
+        schema = T.StructType([*[df.schema[k] for k in by], T.StructField("part_", T.IntegerType()), T.StructField("v_", value_type),
+                               T.StructField("us_", T.LongType()), T.StructField("body_", T.StringType())])
+        entered = rows.groupBy(*by, "part_").transformWithStateInPandas(_Released([*by, "part_"], kind, n, down), schema, "append", "EventTime")
+        schema = T.StructType([*[df.schema[k] for k in by], T.StructField("a_", T.StringType()), T.StructField("tag_", T.StringType())])
+        out = entered.groupBy(*by).transformWithStateInPandas(_Best(by, kind, n, down), schema, "append", "None")
+        return out.select(*_body("a_", df, df.columns), F.col("tag_").alias("row_kind"))
 
     def step(top, rows):
         top, out = top or [], []
