@@ -156,15 +156,15 @@ def edge_repartition(t):
 
 
 @query("sink_feature_kv", """
-WITH d AS (SELECT user_id, date_trunc('day', ts) + INTERVAL 1 DAY AS at, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
-SELECT user_id, max(at) AS at, arg_max(n, at) AS n, arg_max(total, at) AS total FROM d WHERE at <= TIMESTAMP '2024-01-25' GROUP BY user_id
-HAVING max(at) >= TIMESTAMP '2024-01-25' - INTERVAL 36 HOUR""")
+WITH d AS (SELECT user_id, date_trunc('day', ts) + INTERVAL 1 DAY AS known, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+SELECT user_id, max(known) AS known, arg_max(n, known) AS n, arg_max(total, known) AS total FROM d WHERE known <= TIMESTAMP '2024-01-25' GROUP BY user_id
+HAVING max(known) >= TIMESTAMP '2024-01-25' - INTERVAL 36 HOUR""")
 def sink_feature_kv(t):
     """Daily features of users, put in two batches, as they are known at a time, if they are not older than 36 hours then."""
     t.spark.dataSource.register(FeatureStore)
-    daily = t.events.groupBy("user_id", (F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("at")).agg(
+    daily = t.events.groupBy("user_id", (F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("known")).agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    options = {"path": session.work_dir(t.spark, "features"), "keys": "user_id", "ts": "at"}
-    for part in ("at >= '2024-01-15'", "at < '2024-01-15'"):
+    options = {"path": session.work_dir(t.spark, "features"), "keys": "user_id", "ts": "known"}
+    for part in ("known >= '2024-01-15'", "known < '2024-01-15'"):
         daily.where(part).write.format("feature_kv").options(**options).mode("append").save()
     return t.spark.read.format("feature_kv").schema(daily.schema).options(**options, asOf="2024-01-25", ttl="36 hours").load()
