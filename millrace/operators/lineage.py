@@ -29,21 +29,43 @@ def job_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.when(read, topic).otherwise(job).alias("src"), F.when(read, job).otherwise(topic).alias("dst"))
 
 
-def cyclic_core(graph: DataFrame, per_round: int = 2) -> DataFrame:
+def chain_ends(edges: DataFrame) -> DataFrame:
+    """``node, end`` of every node with one edge out: the first node along its only ways that has none or several.
+
+    Pointers double: after k steps a node points 2^k edges ahead, so a chain of n nodes takes log2(n) steps. Nodes that only lead round a
+    cycle have no end; their pointers stay on it and are left out.
+    """
+    one = edges.groupBy("src").agg(F.min("dst").alias("end"), F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("src").alias("node"), "end").checkpoint()
+    left = one.count()
+    for _ in range(left.bit_length() + 1):
+        ahead = one.select(F.col("node").alias("end"), F.col("end").alias("_next"))
+        moved = one.join(ahead, "end", "left").select("node", F.coalesce("_next", "end").alias("end"), F.col("_next").isNotNull().alias("_moves"))
+        moved = moved.checkpoint()
+        if moved.where("_moves").isEmpty():
+            return one
+        one = moved.select("node", "end")
+    return one.join(one.select(F.col("node").alias("end")), "end", "left_anti").select("node", "end")
+
+
+def cyclic_core(graph: DataFrame) -> DataFrame:
     """Edges that remain when nodes without a way in or a way out are removed again and again.
 
-    Empty exactly if the graph has no cycle; otherwise the cycles and the paths between them. Every
-    round joins the edges with themselves on nodes; the lineage is cut by a checkpoint.
+    Empty exactly if the graph has no cycle; otherwise the cycles and the paths between them. A round removes every chain that leads nowhere, or
+    comes from nowhere, as a whole (``chain_ends``), so the rounds grow with how often branches nest and not with the length of chains. Lineage is
+    cut by checkpoints.
     """
     ensure_checkpoint_dir(graph.sparkSession)
     edges = graph.select("src", "dst").distinct().checkpoint()
     left = edges.count()
     while left:
         trimmed = edges
-        for _ in range(per_round):
-            trimmed = trimmed.join(trimmed.select(F.col("dst").alias("src")), "src", "left_semi")
-            trimmed = trimmed.join(trimmed.select(F.col("src").alias("dst")), "dst", "left_semi")
-        trimmed = trimmed.select("src", "dst").checkpoint()
+        for here, there in (("src", "dst"), ("dst", "src")):
+            ways = trimmed.select(F.col(here).alias("src"), F.col(there).alias("dst"))
+            nowhere = ways.select(F.col("dst").alias("end")).join(ways.select(F.col("src").alias("end")), "end", "left_anti").distinct()
+            dead = nowhere.unionByName(chain_ends(ways).join(nowhere, "end", "left_semi").select(F.col("node").alias("end")))
+            dead = dead.distinct().checkpoint()
+            trimmed = ways.join(dead.withColumnRenamed("end", "dst"), "dst", "left_anti").join(dead.withColumnRenamed("end", "src"), "src", "left_anti")
+            trimmed = trimmed.select(F.col("src").alias(here), F.col("dst").alias(there)).select("src", "dst").checkpoint()
         now = trimmed.count()
         if now == left:
             break
