@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,22 +66,24 @@ class Vocabulary:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         out = self.lookup(hashed(words))
-        for keys in beginnings(words):
-            out = np.where(out == 0, self.lookup(keys), out)
+        rest = np.flatnonzero(out == 0)
+        for keys in beginnings([words[k] for k in rest]):
+            found = self.lookup(keys)
+            out[rest] = np.where(out[rest] == 0, found, out[rest])
         return out
 
-    def of(self, text: bytes) -> list[int]:
-        words = WORD.findall(text.lower())
-        met = self.met
-        ids = list(map(met.get, words))
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts in a row, and where each text ends."""
+        if len(self.met) > self.keep_words:
+            self.met.clear()
+        parts = [WORD.findall(text.lower()) for text in texts]
+        words = list(chain.from_iterable(parts))
+        ids = list(map(self.met.get, words))
         if None in ids:
             new = list({w for w, own in zip(words, ids) if own is None})
-            if len(met) > self.keep_words:
-                met.clear()
-            found = dict(zip(new, self.numbers(new).tolist()))
-            met.update(found)
-            ids = [found[w] if own is None else own for w, own in zip(words, ids)]
-        return ids
+            self.met.update(zip(new, self.numbers(new).tolist()))
+            ids = list(map(self.met.get, words))
+        return np.array(ids, np.int64), np.cumsum([len(p) for p in parts])
 
 
 def split(group: np.ndarray, item: np.ndarray, lower: np.ndarray, counts: np.ndarray, totals: np.ndarray, pseudo: float, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +152,7 @@ class KneserNey:
 
     def ratios(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log P(word | previous, toxic) - log P(word | previous, ordinary) at each word; ``ends``: where texts end."""
-        previous = np.concatenate(([0], ids[:-1])).astype(np.int64)[:len(ids)]
-        starts = ends[:-1]
-        previous[starts[starts < len(ids)]] = 0
+        previous = previous_of(ids, ends)
         keys = np.where((previous > 0) & (ids > 0), previous * self.size + ids, -1)
         last = len(self.keys)
         at = np.minimum(np.searchsorted(self.keys, keys), max(last - 1, 0))
@@ -159,14 +160,12 @@ class KneserNey:
         chance = [self.pair[c, at] + self.back[c, previous] * self.unigram[c, ids] for c in CLASSES]
         return np.clip(np.log(chance[1]) - np.log(chance[0]), -LIMIT, LIMIT)
 
-    def measures(self, texts: list[list[int]]) -> np.ndarray:
-        """For each text the mean log ratio of all words, the greatest mean of a window of each size, and the mean of the greatest
+    def measures(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each text (``ends``: where they end) the mean log ratio of all words, the greatest mean of a window of each size, and the mean of the greatest
         ratios of different words; a text with fewer words than a window or a number of words is taken as a whole."""
-        ends = np.cumsum([len(t) for t in texts])
-        ids = np.array([i for t in texts for i in t], np.int64)
         ratios = self.ratios(ids, ends)
         sums = np.concatenate(([0.0], np.cumsum(ratios)))
-        out, start = np.zeros((len(texts), len(MEASURES))), 0
+        out, start = np.zeros((len(ends), len(MEASURES))), 0
         for k, end in enumerate(ends.tolist()):
             if end > start:
                 own = sums[start:end + 1]
@@ -220,17 +219,23 @@ def corpus_documents(docs: DataFrame, text: str, of: np.ndarray) -> np.ndarray:
 
     def run(batches):
         table = received(sent)
-        met, counts = {}, np.zeros(many, np.int32)
+        met, counts, own = {}, np.zeros(many + 1, np.int32), np.zeros((0, 1 + len(PREFIXES)), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 parts = [set(WORD.findall((t or b"").lower())) for t in batch.column(0).slice(at, 128).cast(pa.binary()).to_pylist()]
                 if len(met) > keep:
-                    met.clear()
-                new = list({w for words in parts for w in words if w not in met})
-                found = np.stack([places(table, keys) for keys in (hashed(new), *beginnings(new))], 1).tolist()
-                met.update((w, [k for k in own if k >= 0]) for w, own in zip(new, found))
-                for words in parts:
-                    counts[list({k for w in words for k in met[w]})] += 1
+                    met, own = {}, own[:0]
+                words = list(chain.from_iterable(parts))
+                new = list({w for w in words if w not in met})
+                met.update(zip(new, range(len(met), len(met) + len(new))))
+                own = np.concatenate((own, np.stack([places(table, keys) for keys in (hashed(new), *beginnings(new))], 1)))
+                found = own[np.fromiter(map(met.__getitem__, words), np.int64, len(words))]
+                doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                # words of a document may share a beginning, which counts once
+                begun = np.unique((doc[:, None] * (many + 1) + found[:, 1:] + 1).ravel()) % (many + 1)
+                seen, n = np.unique(np.concatenate((found[:, 0] + 1, begun)), return_counts=True)
+                counts[seen] += n.astype(np.int32)
+        counts = counts[1:]
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen].astype(np.int64))], names=["k", "docs"])
 
@@ -241,6 +246,14 @@ def corpus_documents(docs: DataFrame, text: str, of: np.ndarray) -> np.ndarray:
     return out
 
 
+def previous_of(items: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The item before each one in its text; 0 for the first."""
+    previous = np.concatenate((np.zeros(1, items.dtype), items[:-1]))[:len(items)]
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
+    previous[starts[starts < len(items)]] = 0
+    return previous
+
+
 def pair_documents(rows: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     """``cls``, ``key`` (previous * size + word) and ``docs`` in which the pair occurs."""
     sent, size = send(rows.sparkSession, vocabulary), vocabulary.size
@@ -248,13 +261,19 @@ def pair_documents(rows: DataFrame, text: str, vocabulary: Vocabulary) -> DataFr
     def run(batches):
         own = received(sent)
         for batch in batches:
-            docs = Counter()
-            for text, cls in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                ids = own.of(text or b"")
-                docs.update({(int(cls == 1), p * size + w) for p, w in zip([0, *ids], ids)})
-            keys = list(docs)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()),
-                                              pa.array([docs[k] for k in keys], pa.int32())], names=["cls", "key", "docs"])
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                ids, ends = own.of([t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()])
+                sizes = np.diff(ends, prepend=0)
+                keys = previous_of(ids, ends) * size + ids
+                doc = np.repeat(np.arange(len(ends)), sizes)
+                order = np.lexsort((keys, doc))
+                keys, doc = keys[order], doc[order]
+                once = np.flatnonzero((np.diff(keys, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))  # a pair counts once a document
+                toxic = np.array([cls == 1 for cls in part.column(1).to_pylist()], bool)[doc[once]]
+                for cls in CLASSES:
+                    found, docs = np.unique(keys[once][toxic == cls], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), cls, np.int32)), pa.array(found), pa.array(docs.astype(np.int32))], names=["cls", "key", "docs"])
 
     return (rows.select(F.col(f"`{text}`").cast("string"), "_label").mapInArrow(run, "cls int, key bigint, docs int")
             .groupBy("cls", "key").agg(F.sum("docs").cast("int").alias("docs")))
@@ -299,14 +318,11 @@ def corpus_continuations(docs: DataFrame, text: str, vocabulary: Vocabulary) ->
                 met.update(zip(new, range(len(met), len(met) + len(new))))
                 numbers = np.concatenate((numbers, own.numbers(new)))
                 hashes = np.concatenate((hashes, hashed(new)))
-                ids = np.array([met[w] for words in parts for w in words], np.int64)
+                ids = np.fromiter(map(met.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
                 if not len(ids):
                     continue
                 key = hashes[ids]
-                previous = np.concatenate((np.zeros(1, np.uint64), key[:-1]))
-                starts = np.cumsum([0] + [len(words) for words in parts])[:-1]
-                previous[starts[starts < len(ids)]] = 0
-                at_register, rank = cells(key, previous)
+                at_register, rank = cells(key, previous_of(key, np.cumsum([len(words) for words in parts])))
                 np.maximum.at(registers, numbers[ids] * REGISTERS + at_register, rank)
         for first in range(0, size, 1 << 14):
             table = registers[first * REGISTERS:(first + (1 << 14)) * REGISTERS].reshape(-1, REGISTERS)
@@ -397,7 +413,7 @@ def measured(docs: DataFrame, vocabulary: Vocabulary, model: KneserNey, carry, t
         words, own = received(sent)
 
         def work(texts):
-            parts = [own.measures([words.of(t) for t in texts[at:at + 128]]) for at in range(0, len(texts), 128)]
+            parts = [own.measures(*words.of(texts[at:at + 128])) for at in range(0, len(texts), 128)]
             every = np.concatenate(parts) if parts else np.zeros((0, len(MEASURES)))
             return [pa.array(np.ascontiguousarray(every[:, k])) for k in range(len(MEASURES))]
 
