@@ -127,19 +127,24 @@ def _cdc_sink(ins, p, ctx):
 
 
 def _jdbc_sink(ins, p, ctx):
-    """Appends; with ``staging`` (a prefix) each batch of a stream goes to a staging table of its own, which the function named by
+    """Appends; with ``staging`` (a prefix) a table, or each batch of a stream, goes to a staging table of its own, which the function named by
     ``merge`` upserts from."""
     df, own = ins[0], {k: v for k, v in p.items() if k not in ("staging", "merge", "keys")}
     options = readers.jdbc_options(**own)
-    if not df.isStreaming:
-        return lambda: df.write.mode("append").format("jdbc").options(**options).save()
     if p.get("staging"):
         rest = {k: v for k, v in options.items() if k != "dbtable"}
         write = sinks.jdbc_writer(lambda batch: f"{p['staging']}_{batch}", ctx.functions.get(p.get("merge", "")), **rest)
     else:
         def write(batch, batch_id):
             batch.write.mode("append").format("jdbc").options(**options).save()
-    return lambda: ctx.writer(df).foreachBatch(write).start()
+    return (lambda: ctx.writer(df).foreachBatch(write).start()) if df.isStreaming else lambda: write(df, "table")
+
+
+def _table_sink(ins, p, ctx):
+    """Appends to a catalog's table, or merges by ``keys``."""
+    df = ins[0]
+    writer = ctx.writer(df) if df.isStreaming else None
+    return lambda: sinks.write_table(df, p["table"], p.get("keys", ()), writer)
 
 
 def _connector_sink(fmt: str, options: Callable[..., dict]) -> Callable:
@@ -174,14 +179,10 @@ def _result(ins, p, ctx):
     node, writer = ctx.node, ctx.writer(ins[0])
 
     def start():
-        path = f"{ctx.settings['checkpoint']}/{node}-rows"
-        folder = ctx.spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(ctx.spark._jsc.hadoopConfiguration()).mkdirs(folder)
-        query = writer.format("parquet").option("path", path).start()
+        query = sinks.result_output(ins[0], p["name"], p.get("limit"), path=f"{ctx.settings['checkpoint']}/{node}-rows", writer=writer)
         if ctx.settings.get("trigger") == "available_now":
             query.awaitTermination()
-        rows = ctx.spark.read.schema(ins[0].schema).parquet(path)
-        (rows.limit(p["limit"]) if p.get("limit") else rows).createOrReplaceTempView(p["name"])
+            query.results()
         return query
 
     return start
@@ -270,7 +271,7 @@ NODES: dict[str, Callable] = {
     "elasticsearch_sink": _connector_sink("org.elasticsearch.spark.sql", sinks.elasticsearch_options),
     "mongodb_sink": _connector_sink("mongodb", sinks.mongodb_options),
     "hudi_sink": lambda ins, p, ctx: _sink("hudi", {**sinks.hudi_options(**{k: v for k, v in p.items() if k != "path"}), "path": p["path"]})(ins[0], ctx),
-    "iceberg_sink": lambda ins, p, ctx: _sink("iceberg", {"path": p["table"]})(ins[0], ctx),
+    "iceberg_sink": _table_sink,
     "filesystem_sink": _files_sink,
     "kafka_sink": _kafka_sink,
     "cdc_sink": _cdc_sink,

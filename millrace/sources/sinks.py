@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from millrace import session
 from millrace.sources.readers import kafka_security
 
 
@@ -130,20 +131,60 @@ def console(df: DataFrame, rows: int = 20):
 def blackhole(df: DataFrame, checkpoint: str | None = None):
     """Run the plan and discard the rows."""
     if df.isStreaming:
-        return df.writeStream.format("noop").option("checkpointLocation", checkpoint).start()
+        writer = df.writeStream.format("noop")
+        return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     df.write.format("noop").mode("overwrite").save()
 
 
-def result_output(df: DataFrame, name: str, limit: int | None = None, order: Sequence[Column] = ()):
-    """Temp view of the first rows, or a memory table fed by the stream."""
+def result_output(df: DataFrame, name: str, limit: int | None = None, order: Sequence[Column] = (), path: str | None = None, writer=None):
+    """Temp view of the first rows; of a stream, files below ``path`` (by default a folder of its own) and a view over those written by now.
+
+    Call ``refresh_results`` to see what a stream has written since. Rows do not gather in the driver.
+    """
     if df.isStreaming:
-        return df.writeStream.format("memory").queryName(name).outputMode("append").start()
+        spark = df.sparkSession
+        path = path or session.work_dir(spark, "results")
+        writer = writer or df.writeStream.outputMode("append").queryName(name).option("checkpointLocation", path + "-checkpoint")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        query = writer.format("parquet").option("path", path).start()
+        query.results = lambda: refresh_results(spark, name, path, df.schema, limit, order)
+        query.results()
+        return query
     out = df.orderBy(*order) if order else df
     out = out.limit(limit) if limit is not None else out
     out.createOrReplaceTempView(name)
     return out
 
 
+def refresh_results(spark, name: str, path: str, schema, limit: int | None = None, order: Sequence[Column] = ()) -> DataFrame:
+    """The view over the rows that a stream has committed to ``path``."""
+    return result_output(spark.read.schema(schema).parquet(path), name, limit, order)
+
+
+def write_table(df: DataFrame, table: str, keys: Sequence[str] = (), writer=None):
+    """Rows into a table of a catalog: appended, or merged by ``keys`` where the table's format has MERGE (Iceberg, Delta, Hudi).
+
+    On a stream every micro-batch is merged; a repeated batch changes nothing, as it merges the same rows again. Rows of a batch must differ in their keys.
+    Appends are exactly once where the format has that; a table of plain files may get a batch twice after a failure.
+    """
+    def put(batch: DataFrame, batch_id: int | None = None) -> None:
+        if not keys:
+            batch.write.mode("append").saveAsTable(table)
+            return
+        view = "_merge_" + table.replace(".", "_")
+        batch.createOrReplaceTempView(view)
+        batch.sparkSession.sql(merge_statement(table, view, keys))
+
+    if not df.isStreaming:
+        return put(df)
+    spark, writer = df.sparkSession, writer or df.writeStream.outputMode("append")
+    # Spark's file sink would hide the rows that a table of plain files has already
+    files = spark.catalog.tableExists(table) and not spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where(
+        "col_name = 'Provider' AND lower(data_type) IN ('parquet', 'orc', 'csv', 'json', 'text')").isEmpty()
+    return writer.foreachBatch(put).start() if keys or files else writer.toTable(table)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Quoted CSV with a header; NULLs are empty."""
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("nullValue", None) \

@@ -47,10 +47,16 @@ def corr_matrix(t):
 
 
 @query("corr_candidates", """
-SELECT 'event_id' AS column, 1.0::DOUBLE AS share FROM events HAVING count(*) > 0 UNION ALL SELECT 'user_id', 1.0 FROM events HAVING count(*) > 0
-UNION ALL SELECT 'value', 1.0 FROM events HAVING count(*) > 0""")
+WITH e AS (SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(value AS VARCHAR) AS value, event_type,
+  CASE WHEN event_type IN ('click', 'view', 'purchase') THEN CAST(value AS VARCHAR) ELSE event_type END AS mixed,
+  CASE WHEN event_type = 'click' THEN CAST(value AS VARCHAR) ELSE event_type END AS rarely FROM events),
+ c AS (SELECT unnest(['event_id', 'user_id', 'value', 'event_type', 'mixed', 'rarely']) AS name, unnest([event_id, user_id, value, event_type, mixed, rarely]) AS x FROM e)
+SELECT name AS "column", count(TRY_CAST(x AS DOUBLE)) / count(*) AS share FROM c GROUP BY name HAVING count(TRY_CAST(x AS DOUBLE)) / count(*) > 0.4""")
 def corr_candidates(t):
-    return A.mostly_numeric(t.events)
+    e = t.events.select("event_id", "user_id", "value", "event_type", "ts")
+    text = F.col("value").cast("string")
+    return A.mostly_numeric(e.withColumns({"mixed": F.when(F.col("event_type").isin("click", "view", "purchase"), text).otherwise(F.col("event_type")),
+                                           "rarely": F.when(F.col("event_type") == "click", text).otherwise(F.col("event_type"))}))
 
 
 RULES = [

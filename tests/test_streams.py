@@ -157,3 +157,33 @@ def test_top_n_in_two_levels_over_several_batches(spark, events, folder, order,
     assert left.where("n NOT IN (0, 1)").isEmpty()
     assert rows(left.where("n = 1"), "user_id", "event_id") == rows(want, "user_id", "event_id")
     assert out.where("row_kind = '-D'").count() > 0 or order == "value"
+
+
+def test_results_of_a_stream_are_a_view_over_files(spark, events, folder, tmp_path):
+    from millrace.sources import sinks
+    source = stream(spark, events, folder).select("event_id", "value")
+    q = sinks.result_output(source, "stream_results", 7, [F.desc("event_id")], path=str(tmp_path / "r"))
+    q.processAllAvailable()
+    q.stop()
+    assert [r.event_id for r in q.results().collect()] == [r.event_id for r in events.orderBy(F.desc("event_id")).limit(7).collect()]
+    assert spark.table("stream_results").count() == 7
+    q = sinks.blackhole(source.where("value > 1"))
+    q.processAllAvailable()
+    q.stop()
+
+
+def test_tables_take_appends_and_merges(spark, events, folder, tmp_path, monkeypatch):
+    """Appending is run; MERGE needs a table format that is not here, so its statement is read."""
+    from millrace.sources import sinks
+    spark.sql("DROP TABLE IF EXISTS appended")
+    sinks.write_table(events.select("event_id").limit(5), "appended")
+    source = stream(spark, events, folder).select("event_id")
+    writer = source.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    sinks.write_table(source, "appended", writer=writer).awaitTermination()
+    assert spark.table("appended").count() == events.count() + 5
+    spark.sql("DROP TABLE appended")
+    said = []
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **k: said.append(text))
+    sinks.write_table(events, "shop.items", ["event_id", "user_id"])
+    assert said == ["MERGE INTO shop.items t USING _merge_shop_items s ON t.event_id <=> s.event_id AND t.user_id <=> s.user_id "
+                    "WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *"]
