@@ -58,6 +58,8 @@ def match_sequence(df: DataFrame, by: Sequence[str], ts: str, steps: Sequence[st
     Output: the first row's columns and one struct per step, ``m_<step>``.
     """
     wanted = [*df.columns, *[f"m_{s}" for s in steps]]
+    if skip in ("next", "past") and hot_rows == sl.HOT_ROWS and ranges.cut(df, by, [ts]) is None:
+        return _whole_sequences(df, by, ts, steps, define, within, skip, tie).select(*wanted)
     if skip == "next":
         return sequence_starts(df, by, ts, steps, define, within, tie, slice_width, hot_rows).select(*wanted)
     if skip != "past":
@@ -73,6 +75,27 @@ def match_sequence(df: DataFrame, by: Sequence[str], ts: str, steps: Sequence[st
     return chosen.select(*df.columns, *data)
 
 
+def _whole_sequences(df: DataFrame, by: Sequence[str], ts: str, steps: Sequence[str], define: dict[str, Callable[[dict], Column]], within: str, skip: str,
+                     tie: Sequence[str]) -> DataFrame:
+    """Sequences where no key holds a large share of the rows: one window over the key, and a fold over the starts of a key for the greedy choice."""
+    w = Window.partitionBy(*by).orderBy(ts, *tie)
+    row = F.struct(*[F.col(c).alias(c) for c in df.columns])
+    rows = df.where(F.col(ts).isNotNull()).withColumns({"_at": F.row_number().over(w), **{f"m_{s}": F.lead(row, i).over(w) if i else row for i, s in enumerate(steps)}})
+    scope = {s: (lambda column, s=s: F.col(f"m_{s}.{column}")) for s in steps}
+    test = F.col(f"m_{steps[-1]}").isNotNull() & (F.col(f"m_{steps[-1]}.{ts}") < F.col(ts) + durations.interval(within))
+    for s in steps:
+        test = test & define[s](scope) if s in define else test
+    starts = rows.where(test)
+    if skip == "next":
+        return starts
+    matches = starts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_at", *[F.col(f"m_{s}") for s in steps]))).alias("_all"))
+    kind = matches.schema["_all"].dataType
+    chosen = F.aggregate("_all", F.struct(F.lit(0).alias("go"), F.array().cast(kind).alias("kept")),
+                         lambda acc, m: F.when(m["_at"] >= acc["go"], F.struct((m["_at"] + len(steps)).alias("go"), F.concat(acc["kept"], F.array(m)).alias("kept"))).otherwise(acc))
+    found = matches.select(F.explode(chosen["kept"]).alias("_m"))
+    return found.select(*[F.col(f"_m.m_{steps[0]}.{c}").alias(c) for c in df.columns], *[F.col(f"_m.m_{s}").alias(f"m_{s}") for s in steps])
+
+
 def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Keep matches greedily in row order: after each one, the next start at or past ``_resume``.
 

@@ -135,7 +135,8 @@ def test_sequences(ev, skip):
         return patterns.match_sequence(ev, ["user_id"], "ts", ["A", "B", "C"], STEPS, "2 days", skip,
                                        slice_width="9 hours", hot_rows=hot)
     got = rows(run(HOT), "event_id", "m_B.event_id", "m_C.event_id")
-    assert got == rows(run(10**6), "event_id", "m_B.event_id", "m_C.event_id")
+    assert got == rows(run(10**6), "event_id", "m_B.event_id", "m_C.event_id") == rows(run(10**6 + 1), "event_id", "m_B.event_id", "m_C.event_id")
+    assert "Pandas" not in run(10**6)._jdf.queryExecution().executedPlan().toString()
     users = {}
     for r in ev.orderBy("ts").collect():
         users.setdefault(r.user_id, []).append(r)
