@@ -78,12 +78,9 @@ class Vocabulary:
             self.met.clear()
         parts = [WORD.findall(text.lower()) for text in texts]
         words = list(chain.from_iterable(parts))
-        ids = list(map(self.met.get, words))
-        if None in ids:
-            new = list({w for w, own in zip(words, ids) if own is None})
-            self.met.update(zip(new, self.numbers(new).tolist()))
-            ids = list(map(self.met.get, words))
-        return np.array(ids, np.int64), np.cumsum([len(p) for p in parts])
+        new = list(set(words).difference(self.met))
+        self.met.update(zip(new, self.numbers(new).tolist()))
+        return np.fromiter(map(self.met.__getitem__, words), np.int64, len(words)), np.cumsum([len(p) for p in parts])
 
 
 def split(group: np.ndarray, item: np.ndarray, lower: np.ndarray, counts: np.ndarray, totals: np.ndarray, pseudo: float, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
@@ -214,26 +211,20 @@ def unit_documents(rows: DataFrame, text: str) -> DataFrame:
 
 
 def corpus_documents(docs: DataFrame, text: str, of: np.ndarray) -> np.ndarray:
-    """In how many of all documents each of the units ``of`` (ascending hashes) occurs. A task makes one row for each of them that it meets."""
+    """In how many of all documents each of the words ``of`` (ascending hashes) occurs. A task makes one row for each of them that it meets."""
     sent, many, keep = send(docs.sparkSession, of), len(of), 300_000
 
     def run(batches):
         table = received(sent)
-        met, counts, own = {}, np.zeros(many + 1, np.int32), np.zeros((0, 1 + len(PREFIXES)), np.int64)
+        met, counts = {}, np.zeros(many + 1, np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                parts = [set(WORD.findall((t or b"").lower())) for t in batch.column(0).slice(at, 128).cast(pa.binary()).to_pylist()]
                 if len(met) > keep:
-                    met, own = {}, own[:0]
-                words = list(chain.from_iterable(parts))
-                new = list({w for w in words if w not in met})
-                met.update(zip(new, range(len(met), len(met) + len(new))))
-                own = np.concatenate((own, np.stack([places(table, keys) for keys in (hashed(new), *beginnings(new))], 1)))
-                found = own[np.fromiter(map(met.__getitem__, words), np.int64, len(words))]
-                doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                # words of a document may share a beginning, which counts once
-                begun = np.unique((doc[:, None] * (many + 1) + found[:, 1:] + 1).ravel()) % (many + 1)
-                seen, n = np.unique(np.concatenate((found[:, 0] + 1, begun)), return_counts=True)
+                    met = {}
+                words = list(chain.from_iterable([set(WORD.findall((t or b"").lower())) for t in batch.column(0).slice(at, 128).cast(pa.binary()).to_pylist()]))
+                new = list(set(words).difference(met))
+                met.update(zip(new, (places(table, hashed(new)) + 1).tolist()))
+                seen, n = np.unique(np.fromiter(map(met.__getitem__, words), np.int64, len(words)), return_counts=True)
                 counts[seen] += n.astype(np.int32)
         counts = counts[1:]
         seen = np.flatnonzero(counts)
@@ -314,7 +305,7 @@ def corpus_continuations(docs: DataFrame, text: str, vocabulary: Vocabulary) ->
                 if len(met) > many:
                     met, numbers, hashes = {}, numbers[:0], hashes[:0]
                 parts = [WORD.findall((t or b"").lower()) for t in texts[at:at + 128]]
-                new = list({w for words in parts for w in words if w not in met})
+                new = list(set(chain.from_iterable(parts)).difference(met))
                 met.update(zip(new, range(len(met), len(met) + len(new))))
                 numbers = np.concatenate((numbers, own.numbers(new)))
                 hashes = np.concatenate((hashes, hashed(new)))
@@ -369,18 +360,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     if not table.num_rows:
         return None
     unit, docs_in_sample, part = table["unit"].to_numpy().view(np.uint64), table["docs"].to_numpy(), table["part"].to_numpy()
-    ascending = np.argsort(unit)
-    docs_in_corpus = np.zeros(len(unit), np.int64)
-    docs_in_corpus[ascending] = corpus_documents(docs, text, unit[ascending])
     often = docs_in_sample >= least_docs
-    kept = often | (docs_in_corpus >= least_docs) & ~part
+    rare = np.flatnonzero(~often & ~part)  # words that the sample has seldom are kept if the corpus has them often
+    rare = rare[np.argsort(unit[rare])]
+    kept = often.copy()
+    kept[rare] = corpus_documents(docs, text, unit[rare]) >= least_docs
     vocabulary = Vocabulary(unit[kept])
     size = vocabulary.size
     pool = np.where(often[kept], np.arange(1, size), 0)
     for k in range(len(PREFIXES)):  # a beginning is kept only if the sample has it often
         pool = np.where(pool == 0, vocabulary.lookup(table[f"p{k}"].to_numpy().view(np.uint64)[kept]), pool)
     pool = np.concatenate((np.zeros(1, np.int64), pool))
-    del table, unit, ascending
+    del table, unit, rare
     table = pair_documents(counted, text, vocabulary).toArrow()
     cls, key, found = (table[c].to_numpy() for c in ("cls", "key", "docs"))
     del table
