@@ -41,7 +41,13 @@ def hashed(words: list[bytes]) -> np.ndarray:
 
 def beginnings(words: list[bytes]) -> list[np.ndarray]:
     """Hashes of the beginnings of each word, from the longest on; 0 where the word is no longer than that."""
-    return [np.where([len(w) > k for w in words], hashed([w[:k] + b"*" for w in words]), np.uint64(0)) for k in PREFIXES] if words else [np.zeros(0, np.uint64)] * len(PREFIXES)
+    sizes, out = np.fromiter(map(len, words), np.int64, len(words)), []
+    for k in PREFIXES:
+        longer = np.flatnonzero(sizes > k)
+        keys = np.zeros(len(words), np.uint64)
+        keys[longer] = hashed([words[i][:k] + b"*" for i in longer.tolist()])
+        out.append(keys)
+    return out
 
 
 def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -55,7 +61,7 @@ def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Numbers words by the first of their units that was kept (given by hashes); 0 is the unknown word."""
 
-    def __init__(self, kept: np.ndarray, keep_words: int = 300_000):
+    def __init__(self, kept: np.ndarray, keep_words: int = 500_000):
         self.order = np.argsort(kept)
         self.table, self.size, self.keep_words = kept[self.order], len(kept) + 1, keep_words
         self.met: dict[bytes, int] = {}
@@ -212,7 +218,7 @@ def unit_documents(rows: DataFrame, text: str) -> DataFrame:
 
 def corpus_documents(docs: DataFrame, text: str, of: np.ndarray) -> np.ndarray:
     """In how many of all documents each of the words ``of`` (ascending hashes) occurs. A task makes one row for each of them that it meets."""
-    sent, many, keep = send(docs.sparkSession, of), len(of), 300_000
+    sent, many, keep = send(docs.sparkSession, of), len(of), 500_000
 
     def run(batches):
         table = received(sent)
@@ -328,12 +334,15 @@ def corpus_continuations(docs: DataFrame, text: str, vocabulary: Vocabulary) ->
         place: dict[int, int] = {}
         registers = np.zeros((1024, REGISTERS), np.uint8)
         for batch in batches:
-            for number, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k = place.setdefault(number, len(place))
-                if k == len(registers):
-                    registers = np.concatenate((registers, np.zeros_like(registers)))
-                pairs = np.frombuffer(sketch, np.uint8).reshape(-1, 2)
-                registers[k, pairs[:, 0]] = np.maximum(registers[k, pairs[:, 0]], pairs[:, 1])
+            numbers, row = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            own = np.array([place.setdefault(n, len(place)) for n in numbers.tolist()], np.int64)
+            if len(place) > len(registers):
+                registers = np.concatenate((registers, np.zeros((max(len(place) - len(registers), len(registers)), REGISTERS), np.uint8)))
+            sketch = batch.column(1)
+            ends = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset:sketch.offset + len(sketch) + 1]
+            pairs = np.frombuffer(sketch.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(-1, 2)
+            at = np.repeat(own[row] * REGISTERS, np.diff(ends) // 2) + pairs[:, 0]
+            np.maximum.at(registers.reshape(-1), at, pairs[:, 1])
         yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.int32()), pa.array(distinct(registers[:len(place)]))], names=["number", "contexts"])
 
     rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "number int, sketch binary")
