@@ -27,7 +27,8 @@ HEADLINE = [
     "udf_sql", "udaf_weighted_avg", "chart_agg", "histogram", "corr_matrix", "row_rules", "schema_diff",
     "health_findings", "lineage_shared", "fn_regex", "fn_json_value", "mask_pii", "multi_sink_branches", "spec_job",
     "flow_fraud_score", "flow_card_velocity", "flow_cleanse_kpi", "flow_risk_score", "flow_branch_summary",
-    "flow_window_alerts", "flow_watchlist", "stream_tumble", "stream_interval_join",
+    "flow_window_alerts", "flow_watchlist", "stream_tumble", "stream_interval_join", "hop_panes", "cumulate_panes", "cep_measures", "cep_until",
+    "join_band", "page_deep", "udtf_partitioned", "lineage_cycle",
 ]
 
 
