@@ -61,7 +61,7 @@ def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Numbers words by the first of their units that was kept (given by hashes); 0 is the unknown word."""
 
-    def __init__(self, kept: np.ndarray, keep_words: int = 500_000):
+    def __init__(self, kept: np.ndarray, keep_words: int = 900_000):
         self.order = np.argsort(kept)
         self.table, self.size, self.keep_words = kept[self.order], len(kept) + 1, keep_words
         self.met: dict[bytes, int] = {}
@@ -173,18 +173,24 @@ class KneserNey:
             if end > start:
                 own = sums[start:end + 1]
                 widths = [min(w, end - start) for w in WINDOWS]
-                best: dict[int, float] = {}
-                for at in start + np.argsort(-ratios[start:end], kind="stable"):
-                    best.setdefault(int(ids[at]), float(ratios[at]))
-                    if len(best) == TOPS[-1]:
-                        break
-                top = list(best.values())
+                top = greatest(ids[start:end], ratios[start:end], TOPS[-1])
                 out[k] = ((own[-1] - own[0]) / (end - start), *[(own[w:] - own[:-w]).max() / w for w in widths],
                           *[sum(top[:t]) / len(top[:t]) for t in TOPS])
             start = end
         return out
 
 
+def greatest(ids: np.ndarray, ratios: np.ndarray, n: int, near: int = 64) -> list[float]:
+    """The greatest ratios of up to ``n`` different words. A few candidates do, unless too few of them differ."""
+    few = np.argpartition(ratios, len(ratios) - near)[-near:] if len(ratios) > 2 * near else np.arange(len(ratios))
+    best: dict[int, float] = {}
+    for at in few[np.argsort(-ratios[few])].tolist():
+        best.setdefault(int(ids[at]), float(ratios[at]))
+        if len(best) == n:
+            return list(best.values())
+    return list(best.values()) if len(few) == len(ratios) else greatest(ids, ratios, n, len(ratios))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Weights (intercept last) by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -218,7 +224,7 @@ def unit_documents(rows: DataFrame, text: str) -> DataFrame:
 
 def corpus_documents(docs: DataFrame, text: str, of: np.ndarray) -> np.ndarray:
     """In how many of all documents each of the words ``of`` (ascending hashes) occurs. A task makes one row for each of them that it meets."""
-    sent, many, keep = send(docs.sparkSession, of), len(of), 500_000
+    sent, many, keep = send(docs.sparkSession, of), len(of), 900_000
 
     def run(batches):
         table = received(sent)

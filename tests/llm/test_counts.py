@@ -63,3 +63,16 @@ def test_model_holds_words_of_the_corpus_and_rare_pairs(spark):
     together, apart = model.ratios(ids[:4], np.array([4]))[[1, 3]]
     assert ids[0] * model.size + ids[1] in set(model.keys.tolist()) and together > apart + 0.1
     assert np.all(model.unigram.sum(1) < 1 + 1e-9) and np.all(model.back > 0) and np.allclose(model.unigram.sum(1), 1)
+
+
+def test_greatest_ratios_of_different_words():
+    rng = np.random.default_rng(5)
+    for n, kinds in ((3, 2), (50, 9), (400, 3), (400, 200), (2000, 1)):
+        ids = rng.integers(0, kinds, n)
+        ratios = np.round(rng.normal(size=n), 2)
+        best = {}
+        for k in np.argsort(-ratios, kind="stable"):
+            best.setdefault(ids[k], ratios[k])
+        assert toxicity.greatest(ids, ratios, 4) == sorted(best.values(), reverse=True)[:4]
+    skewed = np.concatenate((np.zeros(300, int), np.arange(9)))
+    assert toxicity.greatest(skewed, np.concatenate((np.full(300, 5.0), np.arange(9) / 9)), 4) == [5.0, 8 / 9, 7 / 9, 6 / 9]
