@@ -1,6 +1,7 @@
 """Python table functions, band joins and deep pages against brute force."""
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from helpers import rows
@@ -92,3 +93,32 @@ def test_deep_page_sorts_few_ranges(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     limits = [int(n) for n in __import__("re").findall(r"LocalLimit (\d+)|GlobalLimit (\d+)", plan) for n in n if n]
     assert limits and max(limits) < 8000
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_band_join_of_many_widths(spark, how):
+    """Widths from nothing to all, values that are infinite, NaN or far out."""
+    odd = spark.createDataFrame([(-1, float("nan")), (-2, float("inf")), (-3, float("-inf")), (-4, -1e12), (-5, None)], "id long, v double")
+    left = spark.range(3000).select("id", (F.col("id") * 7919 % 1009 / 8).alias("v")).unionByName(odd)
+    start = F.col("b") * 613 % 1013 / 8
+    right = spark.range(60).select(F.col("id").alias("b")).select("b", start.alias("low"), (start + F.when(F.col("b") % 7 > 0, F.pow(F.lit(2.0), F.col("b") % 19 - 9)).otherwise(0)).alias("high"))
+    right = right.unionByName(spark.createDataFrame([(100, 126.0, float("nan")), (101, float("-inf"), 0.0), (102, float("nan"), float("nan"))], "b long, low double, high double"))
+    got = joins.band_join(left, right, "v", "low", "high", how, parts=16)
+    assert rows(got, "id", "b") == rows(left.join(right, (left.v >= right.low) & (left.v <= right.high), how), "id", "b")
+
+
+def test_pairs_of_a_band_join_grow_with_its_matches(spark):
+    """Rows that meet on a cell: ranges of a fixed number of rows made 16 parts of 20,000 x 20,000 pairs, 25 million."""
+    left = spark.range(20_000).select(F.col("id").alias("x"), F.col("id").cast("double").alias("v"))
+    right = left.select(F.col("x").alias("b"), (F.col("v") - 0.1).alias("low"), (F.col("v") + 0.1).alias("high"))
+    got = joins.band_join(left, right, "v", "low", "high", parts=16)
+    assert got.count() == 20_000
+    join = got._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().apply(0)
+    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
+    a, b = [DataFrame(dataset.ofRows(spark._jsparkSession, join.children().apply(i)), spark) for i in (0, 1)]
+    keys = [k for k in ("level", "cell", "part") if "_" + k in a.columns]
+    left_rows = a.groupBy(*[F.col("_" + k).alias(k) for k in keys]).agg(F.count("*").alias("n"))
+    right_rows = b.groupBy(*[F.col("_r_" + k).alias(k) for k in keys]).agg(F.count("*").alias("m"))
+    assert left_rows.join(right_rows, keys).agg(F.sum(F.col("n") * F.col("m"))).first()[0] < 200_000
