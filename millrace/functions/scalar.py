@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -100,5 +102,17 @@ def fmt_duration(seconds: str | Column) -> Column:
 def logarithm(c: str | Column, base: float | None = None) -> Column:
     """Natural or other logarithm with -Infinity at 0 and NaN below, where Spark's own gives NULL."""
     v = _col(c).cast("double")
-    value = F.ln(v) if base is None else F.log(float(base), v)
+    # the JVM's logarithm of 3 is off by one last digit, and with it every quotient
+    value = F.ln(v) if base is None else F.log10(v) if base == 10 else F.ln(v) / F.lit(math.log(base))
     return (F.when(v == 0, F.lit(float("-inf"))).when(v < 0, F.lit(float("nan"))).otherwise(value))
+
+
+def rounded(c: str | Column, digits: int = 0) -> Column:
+    """Doubles to ``digits`` decimals as SQL engines on C do: scaled, rounded half away from zero, scaled back.
+
+    Spark's ``round`` takes the shortest decimal text instead, which may end in a half where the scaled number does not, or the other way round:
+    368.07866875499997 times 10^8 is 36807866875.5. Scaled values beyond a double's range stay as they are.
+    """
+    v = _col(c).cast("double")
+    scaled = v * F.lit(float(10 ** digits))
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / F.lit(float(10 ** digits))).otherwise(v)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.scalar import logarithm
+from millrace.functions.scalar import logarithm, rounded
 from millrace.operators import joins, over, windows
 
 KINDS = ("passthrough", "cast", "math", "coalesce", "ifnull", "upper", "lower", "trim", "substring", "round", "abs",
@@ -76,6 +76,8 @@ def add_features(df: DataFrame, features: Sequence[dict], time_column: str = "ev
     for f in features:
         if f.get("kind") == "lag":
             out.append(F.col(f"{f.get('alias') or f['col']}_lag"))
+        elif f.get("kind") == "round" and isinstance(df.select(f["col"]).schema[0].dataType, T.DoubleType):
+            out.append(rounded(f["col"], int(f.get("param") or 2)).alias(f.get("alias") or f["col"]))
         else:
             out.append(feature_column(f.get("col"), f.get("kind", "passthrough"), f.get("param", ""), f.get("alias")))
     return df.select(*out)

@@ -40,7 +40,7 @@ SELECT event_id, round(value, 1) AS r, abs(value - 100) AS a, round(ln(value), 8
 def feat_math(t):
     e = t.events.withColumn("off", F.col("value") - 100)
     return feats(e, ("event_id", "passthrough", "", None), ("value", "round", "1", "r"), ("off", "abs", "", "a"),
-                 ("value", "log", "", "l")).withColumn("l", F.round("l", 8))
+                 ("value", "log", "", "l")).withColumn("l", S.rounded("l", 8))
 
 
 @query("feat_hash", "SELECT event_id, md5(CAST(user_id AS VARCHAR)) AS h FROM events")
