@@ -87,9 +87,9 @@ SELECT event_id, CAST(sign(value - 20.0) AS DOUBLE) AS s, round(exp(least(value,
 def fn_math2(t):
     v = F.col("value")
     return t.events.select(
-        "event_id", F.sign(v - 20.0).alias("s"), F.round(F.exp(F.least(v, F.lit(10.0))), 4).alias("e"),
-        F.round(S.logarithm(v, 3), 8).alias("l3"), F.round(S.logarithm(v, 2), 8).alias("l2"), F.round(S.logarithm(v, 10), 8).alias("l10"),
-        F.round(F.pi() * v, 6).alias("p"), S.truncate("value", 1).alias("t1"),
+        "event_id", F.sign(v - 20.0).alias("s"), S.rounded(F.exp(F.least(v, F.lit(10.0))), 4).alias("e"),
+        S.rounded(S.logarithm(v, 3), 8).alias("l3"), S.rounded(S.logarithm(v, 2), 8).alias("l2"), S.rounded(S.logarithm(v, 10), 8).alias("l10"),
+        S.rounded(F.pi() * v, 6).alias("p"), S.truncate("value", 1).alias("t1"),
         F.bround(v.cast("decimal(18,2)"), 1).cast("double").alias("even"))
 
 
