@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.functions import scalar as S
 from millrace.operators import windows
 
 #: Level, hottest engine above, lowest oil pressure below (None: not asked), revolutions above and how many such readings more than.
@@ -47,9 +48,9 @@ def engine_risk(cars: DataFrame, size: str, by=("driver",)) -> DataFrame:
     scores = [(physical(hot, thin), ENGINE_SCORE[name]) for name, hot, thin, _, _ in ENGINE_RISK]
     _, hot, thin, revs, _ = ENGINE_RISK[0]
     return windows.tumble(cars, "ts", size, list(by), {
-        "avg_rpm": F.round(F.avg("rpm"), 6), "max_rpm": F.max("rpm"), "avg_engine_temp": F.round(F.avg("engine_temp"), 8),
-        "max_engine_temp": hottest, "avg_oil_pressure": F.round(F.avg("oil_pressure"), 8), "min_oil_pressure": thinnest,
-        "avg_energy": F.round(F.avg("energy"), 8), "total_energy": F.round(F.sum("energy"), 4),
+        "avg_rpm": S.rounded(F.avg("rpm"), 6), "max_rpm": F.max("rpm"), "avg_engine_temp": S.rounded(F.avg("engine_temp"), 8),
+        "max_engine_temp": hottest, "avg_oil_pressure": S.rounded(F.avg("oil_pressure"), 8), "min_oil_pressure": thinnest,
+        "avg_energy": S.rounded(F.avg("energy"), 8), "total_energy": S.rounded(F.sum("energy"), 4),
         "overrev_events": F.count_if(F.col("rpm") > revs), "oil_low_events": F.count_if(F.col("oil_pressure") < thin),
         "overheat_events": F.count_if(F.col("engine_temp") > hot),
         "risk_level": chain(levels, "LOW"), "risk_score": chain(scores, LOW_ENGINE_SCORE).cast("int")})
@@ -60,14 +61,14 @@ def race_positions(cars: DataFrame, size: str, by=("driver",)) -> DataFrame:
     speed = F.avg("speed")
     pitted = F.max(F.when(F.col("pit") != "ON_TRACK", 1).otherwise(0)) == 1
     return windows.tumble(cars, "ts", size, list(by), {
-        "current_lap": F.max("lap"), "avg_speed": F.round(speed, 8), "avg_fuel": F.round(F.avg("fuel"), 8), "avg_wear": F.round(F.avg("tyre_wear"), 8),
+        "current_lap": F.max("lap"), "avg_speed": S.rounded(speed, 8), "avg_fuel": S.rounded(F.avg("fuel"), 8), "avg_wear": S.rounded(F.avg("tyre_wear"), 8),
         "tyre": F.max("tyre"), "pit_status": F.max("pit"), "events_count": F.count("*"),
         "position_class": chain([(speed > PUSHING, "PUSHING"), (speed > RACING, "RACING"), (pitted, "PIT"), (speed < SLOW_ZONE, "SLOW_ZONE")], "CRUISING")})
 
 
 def tower_kpi(towers: DataFrame, size: str, by=("region", "tower_type")) -> DataFrame:
     return windows.tumble(towers, "ts", size, list(by), {
-        "tower_count": F.count("*"), **{f"avg_{c}": F.round(F.avg(c), 8) for c in ("rssi", "sinr", "latency", "loss", "uptime", "cpu")},
+        "tower_count": F.count("*"), **{f"avg_{c}": S.rounded(F.avg(c), 8) for c in ("rssi", "sinr", "latency", "loss", "uptime", "cpu")},
         "total_subscribers": F.sum("subscribers"), "total_handovers": F.sum("handovers"),
         "degraded_towers": F.count_if(F.col("quality") == "POOR"), "critical_alerts": F.count_if(F.col("alert_level") == "CRITICAL")})
 
@@ -83,15 +84,15 @@ def tower_alerts(towers: DataFrame) -> DataFrame:
 def handover_anomalies(towers: DataFrame, slide: str, size: str, by=("tower_id", "region")) -> DataFrame:
     total = F.sum("handovers")
     return windows.hop(towers, "ts", slide, size, list(by), {
-        "total_handovers": total, "avg_handovers": F.round(F.avg("handovers"), 8),
+        "total_handovers": total, "avg_handovers": S.rounded(F.avg("handovers"), 8),
         "anomaly_flag": chain([(total > least, name) for least, name in HANDOVERS], "NORMAL")})
 
 
 def leaderboard(readings: DataFrame, slide: str, size: str, by=("region",)) -> DataFrame:
     """Sliding health of each region, shares in percent."""
-    percent = lambda condition: F.round(F.avg(F.when(condition, 100.0).otherwise(0.0)), 8)
+    percent = lambda condition: S.rounded(F.avg(F.when(condition, 100.0).otherwise(0.0)), 8)
     return windows.hop(readings, "ts", slide, size, list(by), {
-        "device_count": F.count_distinct("device_id"), "total_events": F.count("*"), "avg_risk": F.round(F.avg(F.col("risk").cast("double")), 8),
+        "device_count": F.count_distinct("device_id"), "total_events": F.count("*"), "avg_risk": S.rounded(F.avg(F.col("risk").cast("double")), 8),
         "critical_pct": percent(F.col("status") == "CRITICAL"), "low_battery_pct": percent(F.col("battery") < LOW_BATTERY)})
 
 
@@ -105,7 +106,7 @@ def sensor_alerts(readings: DataFrame) -> DataFrame:
 def order_rejects(orders: DataFrame, size: str, by=("symbol", "ord_type", "error_code")) -> DataFrame:
     """Rejected orders per window and error; the reason is that of the earliest one (ties: least text)."""
     return windows.tumble(orders.where(F.col("status") == "REJECTED"), "ts", size, list(by), {
-        "reject_reason": F.min_by("reason", F.struct("ts", "reason")), "reject_count": F.count("*"), "total_blocked": F.round(F.sum("value"), 4)})
+        "reject_reason": F.min_by("reason", F.struct("ts", "reason")), "reject_count": F.count("*"), "total_blocked": S.rounded(F.sum("value"), 4)})
 
 
 def best_quotes(quotes: DataFrame, size: str, by=("symbol",)) -> DataFrame:
@@ -113,5 +114,5 @@ def best_quotes(quotes: DataFrame, size: str, by=("symbol",)) -> DataFrame:
     full = quotes.where((F.col("kind") == "W") & F.col("bid").isNotNull() & F.col("ask").isNotNull()).withColumns(
         {"spread": F.col("ask") - F.col("bid"), "mid": (F.col("ask") + F.col("bid")) / 2})
     return windows.tumble(full, "ts", size, list(by), {
-        **{f"avg_{c}": F.round(F.avg(c), 7) for c in ("bid", "ask", "spread", "mid", "bid_size", "ask_size")},
-        "min_spread": F.round(F.min("spread"), 7), "max_spread": F.round(F.max("spread"), 7), "snapshot_count": F.count("*")})
+        **{f"avg_{c}": S.rounded(F.avg(c), 7) for c in ("bid", "ask", "spread", "mid", "bid_size", "ask_size")},
+        "min_spread": S.rounded(F.min("spread"), 7), "max_spread": S.rounded(F.max("spread"), 7), "snapshot_count": F.count("*")})
