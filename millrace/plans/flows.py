@@ -78,7 +78,7 @@ def card_velocity(scored: DataFrame, size: str = "1 minute", high: int = 20, ele
     """Transactions, amounts and distinct merchants and countries per card and window (exact distincts: batch)."""
     n = F.count("*")
     return windows.tumble(scored, "ts", size, ["card_id"], {
-        "txn_count": n, "total_amount": F.round(F.sum("amount"), 4), "max_amount": F.max("amount"),
+        "txn_count": n, "total_amount": S.rounded(F.sum("amount"), 4), "max_amount": F.max("amount"),
         "unique_merchants": F.count_distinct("merchant_id"), "unique_countries": F.count_distinct("country"),
         "velocity_flag": F.when(n > high, "HIGH_VELOCITY").when(n > elevated, "ELEVATED").otherwise("NORMAL")})
 
@@ -86,8 +86,8 @@ def card_velocity(scored: DataFrame, size: str = "1 minute", high: int = 20, ele
 def amount_stats(scored: DataFrame, slide: str = "10 seconds", size: str = "2 minutes", large: float = 2000) -> DataFrame:
     """Sliding amount statistics per category."""
     return windows.hop(scored, "ts", slide, size, ["category"], {
-        "avg_amount": F.round(F.avg("amount"), 8), "max_amount": F.max("amount"),
-        "stddev_amount": F.round(F.stddev_pop("amount"), 4), "high_amount_count": F.count_if(F.col("amount") > large)})
+        "avg_amount": S.rounded(F.avg("amount"), 8), "max_amount": F.max("amount"),
+        "stddev_amount": S.rounded(F.stddev_pop("amount"), 4), "high_amount_count": F.count_if(F.col("amount") > large)})
 
 
 def risk_rate(scored: DataFrame, size: str = "5 minutes") -> DataFrame:
@@ -95,7 +95,7 @@ def risk_rate(scored: DataFrame, size: str = "5 minutes") -> DataFrame:
     rate = F.count_if(F.col("risk_label") == "HIGH_RISK") * F.lit(100.0) / F.count("*")
     return windows.tumble(scored, "ts", size, ["category"], {
         "total_txns": F.count("*"), "fraud_txns": F.count_if(F.col("risk_label") == "HIGH_RISK"),
-        "fraud_rate_pct": F.round(rate, 8), "avg_fraud_score": F.round(F.avg("fraud_score"), 8),
+        "fraud_rate_pct": S.rounded(rate, 8), "avg_fraud_score": S.rounded(F.avg("fraud_score"), 8),
         "risk_tier": F.when(rate > 15, "CRITICAL").when(rate > 8, "HIGH").when(rate > 3, "MEDIUM").otherwise("LOW")})
 
 
@@ -103,7 +103,7 @@ def rapid_succession(scored: DataFrame, gap: str = "30 seconds", many: int = 5)
     """Sessions of a card and what they look like."""
     n, worst = F.count("*"), F.max("fraud_score")
     return windows.session(scored, "ts", gap, ["card_id"], {
-        "txn_count": n, "total_amount": F.round(F.sum("amount"), 4), "unique_merchants": F.count_distinct("merchant_id"),
+        "txn_count": n, "total_amount": S.rounded(F.sum("amount"), 4), "unique_merchants": F.count_distinct("merchant_id"),
         "max_score": worst,
         "rapid_flag": F.when((n >= many) & (worst >= 40), "FRAUD_PATTERN").when(n >= many, "RAPID_SUCCESSION")
         .when(worst >= 70, "HIGH_SINGLE_SCORE").otherwise("NORMAL")})
@@ -112,8 +112,8 @@ def rapid_succession(scored: DataFrame, gap: str = "30 seconds", many: int = 5)
 def cleanse(txns: DataFrame) -> DataFrame:
     """Masked card and mail, normal currency, rounded figures."""
     return txns.select("txn_id", "customer_id", S.mask_card("card").alias("card"), S.mask_email("email").alias("email"),
-                       F.round("amount", 2).alias("amount"), S.normalize_currency("currency").alias("currency"),
-                       "country", "channel", F.round("risk", 4).alias("risk"), "latency_ms", "ts")
+                       S.rounded("amount", 2).alias("amount"), S.normalize_currency("currency").alias("currency"),
+                       "country", "channel", S.rounded("risk", 4).alias("risk"), "latency_ms", "ts")
 
 
 def classify(clean: DataFrame) -> DataFrame:
@@ -125,10 +125,10 @@ def classify(clean: DataFrame) -> DataFrame:
 def fraud_kpi(classified: DataFrame, size: str = "1 minute") -> DataFrame:
     tier = F.col("risk_tier")
     return windows.tumble(classified, "ts", size, ["country", "channel"], {
-        "total_txns": F.count("*"), "total_volume": F.round(F.sum("amount"), 4), "avg_risk": F.round(F.avg("risk"), 8),
+        "total_txns": F.count("*"), "total_volume": S.rounded(F.sum("amount"), 4), "avg_risk": S.rounded(F.avg("risk"), 8),
         "critical_count": F.count_if(tier == "CRITICAL"), "high_count": F.count_if(tier == "HIGH"),
         "whale_count": F.count_if(F.col("amount_band") == "WHALE"),
-        "fraud_rate_pct": F.round(F.count_if(tier.isin("CRITICAL", "HIGH")) / F.count("*") * 100.0, 8),
+        "fraud_rate_pct": S.rounded(F.count_if(tier.isin("CRITICAL", "HIGH")) / F.count("*") * 100.0, 8),
         "breached_count": F.count_if(F.col("sla_tier") == "BREACHED")})
 
 
@@ -158,7 +158,7 @@ def trade_risk(trades: DataFrame) -> DataFrame:
         "market_impact": F.least(F.lit(1.0), F.col("notional") / 1000000.0),
         "liquidity_use": F.least(F.lit(1.0), F.col("notional") / 500000.0),
         "slippage": F.when(F.col("order_type") == "MARKET", 0.001).otherwise(0.0),
-        "risk_score": F.round(score, 10), "triggered": triggers, "compliance": flags}).withColumn(
+        "risk_score": S.rounded(score, 10), "triggered": triggers, "compliance": flags}).withColumn(
         "risk_level", L.band_from(F.col("risk_score"), TRADE_RISK, "LOW"))
 
 
@@ -169,21 +169,21 @@ def order_summary(orders: DataFrame, size: str, by=("symbol", "side")) -> DataFr
         "total_orders": F.count("*"), "filled_count": F.count_if(status == "FILLED"),
         "partial_count": F.count_if(status == "PARTIALLY_FILLED"), "new_count": F.count_if(status == "NEW"),
         "rejected_count": F.count_if(status == "REJECTED"),
-        "total_value": F.round(F.sum("value"), 4), "avg_price": F.round(F.avg("price"), 7),
-        "min_price": F.round(F.min("price"), 9), "max_price": F.round(F.max("price"), 9)})
+        "total_value": S.rounded(F.sum("value"), 4), "avg_price": S.rounded(F.avg("price"), 7),
+        "min_price": S.rounded(F.min("price"), 9), "max_price": S.rounded(F.max("price"), 9)})
 
 
 def slippage_bps(paid: Column, limit: Column, digits: int = 4) -> Column:
     """Deviation of the paid price from the limit in basis points; 0 without a positive limit."""
     known = limit.isNotNull() & (limit > 0) & paid.isNotNull()
-    return F.when(known, F.round((paid - limit) / limit * 10000, digits)).otherwise(0.0)
+    return F.when(known, S.rounded((paid - limit) / limit * 10000, digits)).otherwise(0.0)
 
 
 def latency_p99(df: DataFrame, size: str, by, latency: str) -> DataFrame:
     """Delay statistics; p99 by the normal approximation mean + 2.3 standard deviations."""
     v = F.col(latency).cast("double")
     return windows.tumble(df, "ts", size, list(by), {
-        "message_count": F.count("*"), "avg_delay": F.round(F.avg(v), 8), "max_delay": F.max(latency), "min_delay": F.min(latency),
+        "message_count": F.count("*"), "avg_delay": S.rounded(F.avg(v), 8), "max_delay": F.max(latency), "min_delay": F.min(latency),
         "p99_estimate": F.floor(F.avg(v) + F.lit(2.3) * F.stddev_pop(v) + F.lit(1e-9))})
 
 
@@ -191,19 +191,19 @@ def orders_with_quotes(orders: DataFrame, quotes: DataFrame, reach: str) -> Data
     """Every order with the quotes around it and its distance from the mid price in basis points."""
     pairs = joins.interval_join(orders, quotes, ["symbol"], "order_ts", "quote_ts", f"-{reach}", reach)
     return pairs.withColumn("to_mid_bps", F.when(F.col("mid").isNotNull() & F.col("price").isNotNull(),
-                                                 F.round((F.col("price") - F.col("mid")) / F.col("mid") * 10000, 4)))
+                                                 S.rounded((F.col("price") - F.col("mid")) / F.col("mid") * 10000, 4)))
 
 
 def enrich_trades(trades: DataFrame) -> DataFrame:
     """Value, currency-adjusted notional, level, region, fees and band of a trade."""
     value = F.col("quantity") * F.col("price")
     fee = lookup(F.col("exchange"), FEES, OTHER_FEE)
-    return trades.withColumn("trade_value", F.round(value, 4)).withColumns({
-        "notional_usd": F.round(F.col("trade_value") * lookup(F.col("category"), FX, 1.00), 2),
+    return trades.withColumn("trade_value", S.rounded(value, 4)).withColumns({
+        "notional_usd": S.rounded(F.col("trade_value") * lookup(F.col("category"), FX, 1.00), 2),
         "risk_level": L.band_from(F.col("trade_value"), NOTIONAL_LEVELS, "MINIMAL"),
         "region": lookup(F.col("exchange"), REGIONS, "GLOBAL"),
         "pnl": F.when(F.col("side") == "BUY", -F.col("trade_value")).when(F.col("side") == "SELL", F.col("trade_value")).otherwise(0.0),
-        "fee": F.round(F.col("trade_value") * fee, 2), "net_value": F.round(F.col("trade_value") * (1 - fee), 2),
+        "fee": S.rounded(F.col("trade_value") * fee, 2), "net_value": S.rounded(F.col("trade_value") * (1 - fee), 2),
         "is_large": F.col("trade_value") >= 50000.0, "value_band": L.band_from(F.col("trade_value"), VALUE_BANDS, "MICRO")})
 
 
@@ -219,13 +219,13 @@ def trade_alerts(enriched: DataFrame, minimum: float = 100000) -> DataFrame:
 
 def trade_summary(enriched: DataFrame, size: str, by=("symbol", "side"), high: float = 10000) -> DataFrame:
     return windows.tumble(enriched, "ts", size, list(by), {
-        "trade_count": F.count("*"), "volume": F.round(F.sum("quantity"), 4), "total_value": F.round(F.sum("trade_value"), 4),
+        "trade_count": F.count("*"), "volume": S.rounded(F.sum("quantity"), 4), "total_value": S.rounded(F.sum("trade_value"), 4),
         "max_value": F.max("trade_value"), "high_risk_count": F.count_if(F.col("trade_value") >= high)})
 
 
 def sensor_stats(readings: DataFrame, size: str, by) -> DataFrame:
     return windows.tumble(readings, "ts", size, list(by), {
-        "event_count": F.count("*"), "avg_value": F.round(F.avg("reading"), 8), "min_value": F.min("reading"), "max_value": F.max("reading"),
+        "event_count": F.count("*"), "avg_value": S.rounded(F.avg("reading"), 8), "min_value": F.min("reading"), "max_value": F.max("reading"),
         "anomaly_count": F.count_if("is_anomaly"), "low_battery": F.count_if(F.col("battery") < 20),
         "critical_count": F.count_if(F.col("status") == "CRITICAL")})
 
@@ -233,8 +233,8 @@ def sensor_stats(readings: DataFrame, size: str, by) -> DataFrame:
 def anomaly_rate(readings: DataFrame, slide: str, size: str, by) -> DataFrame:
     return windows.hop(readings, "ts", slide, size, list(by), {
         "total_events": F.count("*"), "anomaly_count": F.count_if("is_anomaly"),
-        "anomaly_rate": F.round(F.avg(F.when(F.col("is_anomaly"), 1.0).otherwise(0.0)) * 100, 8),
-        "avg_risk": F.round(F.avg(F.col("risk").cast("double")), 8)})
+        "anomaly_rate": S.rounded(F.avg(F.when(F.col("is_anomaly"), 1.0).otherwise(0.0)) * 100, 8),
+        "avg_risk": S.rounded(F.avg(F.col("risk").cast("double")), 8)})
 
 
 def sensor_health(readings: DataFrame) -> DataFrame:
@@ -246,27 +246,27 @@ def sensor_health(readings: DataFrame) -> DataFrame:
 
 def fleet_sessions(readings: DataFrame, gap: str) -> DataFrame:
     return windows.session(readings, "ts", gap, ["device_id"], {
-        "event_count": F.count("*"), "avg_value": F.round(F.avg("reading"), 8), "max_risk": F.max("risk"), "min_battery": F.min("battery")})
+        "event_count": F.count("*"), "avg_value": S.rounded(F.avg("reading"), 8), "max_risk": F.max("risk"), "min_battery": F.min("battery")})
 
 
 def signal_index(towers: DataFrame, slide: str, size: str) -> DataFrame:
     """Sliding signal quality index per region."""
     return windows.hop(towers, "ts", slide, size, ["region"], {
-        "avg_sqi": F.round(F.avg(lookup(F.col("quality"), SIGNAL_INDEX, OTHER_SIGNAL)), 8), "min_rssi": F.min("rssi"),
+        "avg_sqi": S.rounded(F.avg(lookup(F.col("quality"), SIGNAL_INDEX, OTHER_SIGNAL)), 8), "min_rssi": F.min("rssi"),
         "poor_count": F.count_if(F.col("quality") == "POOR")})
 
 
 def capacity(towers: DataFrame, size: str) -> DataFrame:
     cpu = F.avg("cpu")
     return windows.tumble(towers, "ts", size, ["region"], {
-        "total_subscribers": F.sum("subscribers"), "peak_subscribers": F.max("subscribers"), "avg_cpu": F.round(cpu, 8),
+        "total_subscribers": F.sum("subscribers"), "peak_subscribers": F.max("subscribers"), "avg_cpu": S.rounded(cpu, 8),
         "capacity_status": F.when(cpu > 85, "OVERLOADED").when(cpu > 65, "HIGH").when(cpu > 40, "NORMAL").otherwise("UNDERUTILIZED")})
 
 
 def outages(towers: DataFrame, gap: str) -> DataFrame:
     up = F.avg("uptime")
     return windows.session(towers, "ts", gap, ["tower_id"], {
-        "event_count": F.count("*"), "avg_uptime": F.round(up, 8),
+        "event_count": F.count("*"), "avg_uptime": S.rounded(up, 8),
         "outage_risk": F.when(up < 80, "HIGH_RISK").when(up < 90, "MEDIUM_RISK").otherwise("NORMAL")})
 
 
@@ -274,7 +274,7 @@ def laps(cars: DataFrame, size: str) -> DataFrame:
     """Lap class per driver and window."""
     pits = F.count_if(F.col("pit") != "ON_TRACK")
     return windows.tumble(cars, "ts", size, ["driver"], {
-        "lap": F.max("lap"), "avg_speed": F.round(F.avg("speed"), 8), "max_speed": F.max("speed"),
+        "lap": F.max("lap"), "avg_speed": S.rounded(F.avg("speed"), 8), "max_speed": F.max("speed"),
         "sectors": F.count_distinct("sector"), "tyre": F.max("tyre"),
         "lap_class": F.when((F.avg("speed") > 250) & (F.max("speed") > 320), "FLYING_LAP").when(pits > 0, "PIT_LAP")
         .when(F.min("speed") < 60, "SLOW_LAP").otherwise("NORMAL_LAP")})
@@ -283,7 +283,7 @@ def laps(cars: DataFrame, size: str) -> DataFrame:
 def tyre_state(cars: DataFrame, slide: str, size: str) -> DataFrame:
     temp, wear = F.avg("tyre_temp"), F.avg("tyre_wear")
     return windows.hop(cars, "ts", slide, size, ["driver"], {
-        "avg_temp": F.round(temp, 8), "temp_delta": F.round(F.max("tyre_temp") - F.min("tyre_temp"), 4),
+        "avg_temp": S.rounded(temp, 8), "temp_delta": S.rounded(F.max("tyre_temp") - F.min("tyre_temp"), 4),
         "thermal_state": F.when((temp > 115) | (wear > 80), "GRAINING").when(temp > 105, "OVERHEATING").when(temp < 75, "COLD")
         .when(wear > 60, "HIGH_WEAR").otherwise("NOMINAL"),
         "overheating_count": F.count_if(F.col("tyre_temp") > 115)})
@@ -304,7 +304,7 @@ def incidents(cars: DataFrame) -> DataFrame:
 def pit_signals(cars: DataFrame, gap: str) -> DataFrame:
     wear = F.avg("tyre_wear")
     return windows.session(cars, "ts", gap, ["driver"], {
-        "laps": (F.max("lap") - F.min("lap")).cast("int"), "avg_wear": F.round(wear, 8),
+        "laps": (F.max("lap") - F.min("lap")).cast("int"), "avg_wear": S.rounded(wear, 8),
         "pit_events": F.count_if(F.col("pit") == "IN_PIT_BOX"),
         "advice": F.when(wear > 75, "STOP_NOW").when(wear > 55, "PREPARE_STOP").when(F.avg("tyre_temp") > 110, "THERMAL_DEGRADATION")
         .when(F.avg("fuel") < 15, "FUEL_CRITICAL").otherwise("CONTINUE")})
@@ -312,7 +312,7 @@ def pit_signals(cars: DataFrame, gap: str) -> DataFrame:
 
 def proxy_score(notional: Column, digits: int = 2) -> Column:
     """Risk score 0..100 that rises within each notional tier."""
-    return F.round(F.when(notional >= 500000, 95.0).when(notional >= 100000, 80.0 + (notional - 100000) / 400000 * 15.0)
+    return S.rounded(F.when(notional >= 500000, 95.0).when(notional >= 100000, 80.0 + (notional - 100000) / 400000 * 15.0)
                    .when(notional >= 10000, 50.0 + (notional - 10000) / 90000 * 30.0)
                    .when(notional >= 1000, 20.0 + (notional - 1000) / 9000 * 30.0).otherwise(notional / 1000 * 20.0), digits)
 
@@ -326,7 +326,7 @@ def flash_crashes(trades: DataFrame, size: str, count: int = 3, drop: float = 0.
     w = windows.tumble(trades, "ts", size, ["symbol"], {"hi": F.max("price"), "lo": F.min("price"), "trade_count": F.count("*"),
                                                       "total": F.sum("notional")})
     fall = 1.0 - F.col("lo") / F.nullif(F.col("hi"), F.lit(0.0))
-    return w.where((F.col("trade_count") >= count) & (fall >= drop)).withColumn("drop_pct", F.round(fall * 100, 8))
+    return w.where((F.col("trade_count") >= count) & (fall >= drop)).withColumn("drop_pct", S.rounded(fall * 100, 8))
 
 
 def watchlist(events: DataFrame, size: str) -> DataFrame:
@@ -334,8 +334,8 @@ def watchlist(events: DataFrame, size: str) -> DataFrame:
     w = L.weighted_avg(F.col("risk"), F.col("asset"))
     worst = L.enrich_severity(L.classify_risk(F.col("risk")), F.col("asset"), F.col("tx_rate"), F.col("sanctioned"))
     out = windows.tumble(events, "ts", size, ["trader_id"], {
-        "tx_count": F.count("*"), "weighted_risk": F.round(w, 8), "level": L.classify_risk(w),
-        "total_asset": F.round(F.sum("asset"), 2), "critical_count": F.count_if(worst == "CRITICAL")})
+        "tx_count": F.count("*"), "weighted_risk": S.rounded(w, 8), "level": L.classify_risk(w),
+        "total_asset": S.rounded(F.sum("asset"), 2), "critical_count": F.count_if(worst == "CRITICAL")})
     return out.where(F.col("level").isin("HIGH", "CRITICAL"))
 
 
