@@ -1,4 +1,4 @@
-"""Table functions written in Python: rows of a key come in order, rows go out, batches travel by Arrow."""
+"""Table functions written in Python: rows of a key come in order, rows go out."""
 
 from __future__ import annotations
 
@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def register(spark: SparkSession, name: str, handler: type, returns: str) -> None:
     """Make a class with ``eval`` (and ``terminate``) a table function of SQL; ``returns`` is its table as DDL.
 
-    The class's module travels with it, so executors need no copy of it.
+    The class's module travels with it, so executors need no copy of it. Rows go plain: by Arrow, Spark makes a table of what each single row gives.
     """
     if not callable(getattr(handler, "eval", None)):
         raise ValueError(f"{handler.__name__} has no method eval")
     cloudpickle.register_pickle_by_value(sys.modules[handler.__module__])
-    spark.udtf.register(name, F.udtf(handler, returnType=returns, useArrow=True))
+    spark.udtf.register(name, F.udtf(handler, returnType=returns, useArrow=False))
 
 
 def apply(df: DataFrame, name: str, by: Sequence[str], order: Sequence[str], arguments: Sequence = ()) -> DataFrame:

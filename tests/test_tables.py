@@ -122,3 +122,12 @@ def test_pairs_of_a_band_join_grow_with_its_matches(spark):
     left_rows = a.groupBy(*[F.col("_" + k).alias(k) for k in keys]).agg(F.count("*").alias("n"))
     right_rows = b.groupBy(*[F.col("_r_" + k).alias(k) for k in keys]).agg(F.count("*").alias("m"))
     assert left_rows.join(right_rows, keys).agg(F.sum(F.col("n") * F.col("m"))).first()[0] < 200_000
+
+
+def test_table_function_makes_no_arrow_table_for_each_row(spark):
+    tables.register(spark, "streaks", tables.Streaks, tables.STREAKS)
+    df = spark.range(5000).select((F.col("id") % 3).alias("key"), (F.col("id") % 2).cast("string").alias("value"), "id")
+    got = tables.apply(df, "streaks", ["key"], ["id"])
+    assert got.count() == 5000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
