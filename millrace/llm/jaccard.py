@@ -7,6 +7,7 @@ means more entries, but only documents that share k of them are compared. Pairs
 
 Pairs within a component are not needed. Where many documents share a shingle, some rounds therefore link documents with
 hubs and merge components; then every pair of different components that shares enough is verified, so no link is lost.
+Whole sets travel only for pairs that a small map of bits of each set has not ruled out (``possible``).
 """
 
 from __future__ import annotations
@@ -278,8 +279,41 @@ def fits(percent: int, a: str = "a", b: str = "b") -> Column:
     return F.expr(text)
 
 
-def shingle_sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """``node`` and ``tokens`` (sorted 64-bit hashes as bytes) of the nodes in ``wanted``, each once.
+def whole(own: np.ndarray) -> bytes:
+    return own.astype("<u8").tobytes()
+
+
+def bits(own: np.ndarray) -> bytes:
+    """Size of the set, and a map with the bit of each shingle set: a power of two of bits, two to four for each shingle."""
+    n = max(64, 1 << (2 * len(own) - 1).bit_length())
+    out = np.zeros(n, np.uint8)
+    out[(own & np.uint64(n - 1)).astype(np.int64)] = 1
+    return len(own).to_bytes(8, "little") + np.packbits(out, bitorder="little").tobytes()
+
+
+def enough(common: int, m: int, n: int, percent: int) -> bool:
+    return 100 * common >= percent * (m + n - common)
+
+
+def link(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets (``whole``) link."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return enough(int((x[at] == y).sum()), len(x), len(y), percent)
+
+
+def possible(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets may link by their ``bits``: each bit that only one of them has is a shingle at least that the other lacks."""
+    m, n = (int.from_bytes(x[:8], "little") for x in (a, b))
+    x, y = np.frombuffer(a, np.uint8, offset=8), np.frombuffer(b, np.uint8, offset=8)
+    while len(x) != len(y):
+        half = min(len(x), len(y))
+        x, y = (v if len(v) == half else v[:len(v) // 2] | v[len(v) // 2:] for v in (x, y))
+    return enough(min(m - int(np.bitwise_count(x & ~y).sum()), n - int(np.bitwise_count(y & ~x).sum())), m, n, percent)
+
+
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame, rows: DataFrame, form=whole) -> DataFrame:
+    """``node`` and ``tokens`` (sorted 64-bit hashes as bytes, or another ``form`` of the set) of the nodes in ``wanted``, each once.
 
     The document of the least id stands for its node (``rows``: ``doc_id`` and ``node`` of all documents). A Bloom filter of fixed size tells
     the tasks which ids are wanted, before they make sets; a set too many does no harm, as it is joined by its name.
@@ -307,7 +341,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: Dat
                 if node is not None and node not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    tokens.append(own.astype("<u8").tobytes())
+                    tokens.append(form(own))
             for k in range(0, len(nodes), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[k:k + 500], pa.int64()), pa.array(tokens[k:k + 500], pa.binary())], names=["node", "tokens"])
             if len(seen) > 500_000:
@@ -317,20 +351,18 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: Dat
     return texts.mapInArrow(build, "node bigint, tokens binary").repartition("node").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets link."""
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def verified(pairs: DataFrame, tokens: DataFrame, percent: int, test=link) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets meet the test."""
     with_b = pairs.join(tokens.withColumnsRenamed({"node": "b", "tokens": "tb"}), "b")
     both = with_b.join(tokens.withColumnsRenamed({"node": "a", "tokens": "ta"}), "a")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[at] == y).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(k)
+            keep = [k for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))) if test(a.as_buffer(), b.as_buffer(), percent)]
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
 
@@ -361,8 +393,8 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return labels
 
 
-def hub_round(busy: DataFrame, labels: DataFrame, tokens: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Links found by comparing documents of busy shingles with hubs of larger components.
+def hub_round(busy: DataFrame, labels: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Pairs of documents of busy shingles with hubs of larger components.
 
     Hubs of a shingle are the documents in whose prefix it comes earliest: they have few rare shingles of their own, and so are most
     like all others that share it. There are ``HUBS``, one for each class of a hash that changes by round.
@@ -380,8 +412,7 @@ def hub_round(busy: DataFrame, labels: DataFrame, tokens: DataFrame, seed: int,
     # Of the hubs that a document met, those with which it shares most: one in the first round, when all documents ask.
     # Others are left to later rounds and the last search.
     best = counted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), False), 1, ASKED if seed else 1).alias("best"))
-    pairs = best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return written(verified(pairs, tokens, percent), "links")
+    return best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def last_pairs(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -438,14 +469,20 @@ def linked(docs: DataFrame, rows: DataFrame, doc_id: str, text: str, size: int,
     found = entries(docs, text, sketch(docs, text, size), size, percent)
     labels = written(found.select("node").distinct().select("node", F.col("node").alias("comp")), "labels")
     busy = written(found.where(F.col("docs") > BUSY).drop("docs"), "busy")
+
+    def sets_of(nodes: DataFrame, form=whole) -> DataFrame:
+        return shingle_sets(docs, doc_id, text, size, nodes, rows, form)
+
+    def links(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+        left = written(verified(pairs, maps, percent, possible), "possible")
+        return written(verified(left, sets_of(ends(left)), percent), "links")
+
     if not busy.isEmpty():
-        tokens = written(shingle_sets(docs, doc_id, text, size, busy, rows), "sets")
+        maps = written(sets_of(busy, bits), "maps")
         for k in range(rounds):
-            labels = components(hub_round(busy, labels, tokens, k, percent), labels)
+            labels = components(links(hub_round(busy, labels, k, percent), maps), labels)
     pairs = written(last_pairs(found.drop("docs"), labels, percent), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    links = written(verified(pairs, shingle_sets(docs, doc_id, text, size, ends, rows), percent), "links")
-    return components(links, labels)
+    return components(links(pairs, sets_of(labels, bits)), labels)
 
 
 def least_ids(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -179,6 +179,38 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, busy, hot):
     assert len({c for _, c in want.values()}) > 60
 
 
+def test_whole_sets_only_of_pairs_that_may_link(spark, monkeypatch):
+    """Documents that share rare passages but little else: their pairs are ruled out before whole sets are sent."""
+    sent, build = [], jaccard.shingle_sets
+
+    def counted(docs, doc_id, text, size, wanted, rows, *form):
+        sent.append(0 if form and form[0] is jaccard.bits else wanted.distinct().count())
+        return build(docs, doc_id, text, size, wanted, rows, *form)
+
+    monkeypatch.setattr(jaccard, "shingle_sets", counted)
+    docs = [(k, " ".join([f"p{k // 5}x{j}" for j in range(12)] + [f"u{k}y{j}" for j in range(40)])) for k in range(60)]
+    docs += [(100, docs[7][1] + " more"), (101, "quite another text of seven words")]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id int, text string")).collect()}
+    assert got == {k: 7 if k == 100 else k for k, _ in docs}
+    assert sum(sent) == 2
+
+
+def test_bits_lose_no_link():
+    rng = np.random.default_rng(3)
+    seen = set()
+    for m in (1, 2, 5, 31, 32, 33, 500, 4000):
+        for share in (0.0, 0.5, 0.78, 0.8, 0.82, 1.0):
+            for n in {max(1, int(m * f)) for f in (0.8, 1.0, 1.24)}:
+                a = np.unique(rng.integers(0, 1 << 63, m, np.int64)).astype(np.uint64)
+                b = np.unique(np.append(a[:int(share * m)], rng.integers(0, 1 << 63, max(0, n - int(share * m)), np.int64).astype(np.uint64)))
+                if len(b):
+                    links = jaccard.link(jaccard.whole(a), jaccard.whole(b), 80)
+                    may = jaccard.possible(jaccard.bits(a), jaccard.bits(b), 80)
+                    assert may or not links
+                    seen.add((links, may))
+    assert (True, True) in seen and (False, False) in seen
+
+
 def test_layout():
     page = """<html><head><title>no</title></head><body><ul><li>One<li>Two<ul><li>in</ul></ul><p>A <b>b</b>c &amp; d<p>e<br>f<div hidden>no</div>
       <table><tr><th>Name<th>N<tr><td>Long name<td>1</table><ol start=3><li>x<li><p>y<p>z</ol><pre> a\n  b</pre><script>"</p>no"</script> end"""
