@@ -9,8 +9,10 @@ slice (see ``choose_matches``), never by gathering a key's rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -114,41 +116,62 @@ def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str], keep: S
         T.StructField("_e_" + sl.SLICE, T.LongType()), T.StructField("_entry", T.LongType())])
     by = list(by)
 
-    slice_column = sl.SLICE  # tasks get values, not modules
+    # tasks get values, not modules
+    group_columns, step_names, entry_names = [*by, sl.SLICE], step_function.names, entry_type.names
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        at, go = pdf["_at"].to_numpy(), pdf["_resume"].to_numpy()
-        n = len(at)
-        after = at.searchsorted(go)
-        out = [0] * n
+    def step_of(at: list[int], go: list[int]) -> tuple[list[int], list[int]]:
+        n, out = len(at), [0] * len(at)
         for i in range(n - 1, -1, -1):
-            out[i] = int(go[i]) if after[i] >= n else out[after[i]]
+            after = bisect_left(at, go[i])
+            out[i] = go[i] if after >= n else out[after]
         upto, leave = [], []
-        for i in range(n):
-            if leave and leave[-1] == out[i]:
-                upto[-1] = int(at[i])
+        for a, o in zip(at, out):
+            if leave and leave[-1] == o:
+                upto[-1] = a
             else:
-                upto.append(int(at[i]))
-                leave.append(out[i])
-        head = pdf.iloc[:1][[*by, slice_column]].reset_index(drop=True)
-        return head.assign(_upto=[upto], _exit=[leave])
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(slice_column)
-        entries, state = [], 0
-        for upto, leave in zip(pdf["_upto"], pdf["_exit"]):
-            entries.append(state)
-            place = int(pd.Series(upto).searchsorted(state))
-            if place < len(upto):
-                state = int(leave[place])
-        out = pdf[[*by, slice_column]].rename(columns=lambda c: "_e_" + c)
-        return out.assign(_entry=entries)
+                upto.append(a)
+                leave.append(o)
+        return upto, leave
 
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, at, go = None, [], []
+        for pdf in batches:
+            found, keys = [], [pdf[c].to_list() for c in group_columns]
+            rows, leads = pdf["_at"].to_list(), pdf["_resume"].to_list()
+            cuts = [*_starts(pdf, group_columns), len(pdf)]
+            for start, end in zip(cuts, cuts[1:]):
+                here = tuple(k[start] for k in keys)
+                if not _same(here, group):
+                    if at:
+                        found.append((*group, *step_of(at, go)))
+                    group, at, go = here, [], []
+                at += rows[start:end]
+                go += leads[start:end]
+            yield pd.DataFrame(found, columns=step_names).astype(object)
+        if at:
+            yield pd.DataFrame([(*group, *step_of(at, go))], columns=step_names).astype(object)
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state = None, 0
+        for pdf in batches:
+            entries, keys, new = [], [pdf[c].to_list() for c in by], set(_starts(pdf, by))
+            for i, (upto, leave) in enumerate(zip(pdf["_upto"], pdf["_exit"])):
+                if i in new:
+                    here = tuple(k[i] for k in keys)
+                    if not _same(here, group):
+                        group, state = here, 0
+                entries.append(state)
+                place = bisect_left(upto, state)
+                if place < len(upto):
+                    state = int(leave[place])
+            out = pdf[group_columns].set_axis(entry_names[:-1], axis=1)
+            yield out.assign(_entry=entries)
+
+    # Slices are short and many, so tasks walk over sorted rows; a call for each slice or key would cost more than its rows.
     narrow = spans.select(*by, sl.SLICE, "_at", "_resume", *keep)
-    functions = (busy.select(*by, sl.SLICE, "_at", "_resume").groupBy(*by, sl.SLICE)
-                 .applyInPandas(exits, step_function))
-    entries = functions.groupBy(*by).applyInPandas(compose, entry_type)
+    functions = (busy.select(*by, sl.SLICE, "_at", "_resume").repartition(*by, sl.SLICE)
+                 .sortWithinPartitions(*by, sl.SLICE, "_at").mapInPandas(exits, step_function))
+    entries = functions.repartition(*by).sortWithinPartitions(*by, sl.SLICE).mapInPandas(compose, entry_type)
     entered = narrow.join(entries, sl.same_keys(narrow, entries, (*by, sl.SLICE), "_e_"), "left").select(
         *[narrow[c] for c in narrow.columns], F.coalesce("_entry", F.lit(0).cast("long")).alias("_entry"))
 
@@ -157,11 +180,12 @@ def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str], keep: S
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, allowed = None, 0
         for pdf in batches:
-            chosen = []
-            rows = zip(zip(*[pdf[c] for c in (*by, slice_column)]), pdf["_at"], pdf["_resume"], pdf["_entry"])
-            for here, at, go, entry in rows:
-                if not _same(here, group):
-                    group, allowed = here, entry
+            chosen, keys, new = [], [pdf[c].to_list() for c in group_columns], set(_starts(pdf, group_columns))
+            for i, (at, go, entry) in enumerate(zip(pdf["_at"].to_list(), pdf["_resume"].to_list(), pdf["_entry"].to_list())):
+                if i in new:
+                    here = tuple(k[i] for k in keys)
+                    if not _same(here, group):
+                        group, allowed = here, entry
                 chosen.append(at >= allowed)
                 if at >= allowed:
                     allowed = go
@@ -172,6 +196,16 @@ def choose_matches(spans: DataFrame, busy: DataFrame, by: Sequence[str], keep: S
             .mapInPandas(choose, T.StructType([spans.schema[c] for c in out])))
 
 
+def _starts(pdf: pd.DataFrame, columns: Sequence[str]) -> list[int]:
+    """Rows whose values in ``columns`` are not those of the row before; the first row is one."""
+    same = np.ones(max(len(pdf) - 1, 0), bool)
+    for c in columns:
+        values = pdf[c].to_numpy()
+        none = pd.isna(values)
+        same &= (values[1:] == values[:-1]).astype(bool) | (none[1:] & none[:-1])
+    return [0, *(np.flatnonzero(~same) + 1).tolist()] if len(pdf) else []
+
+
 def _same(a, b) -> bool:
     return b is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
 

@@ -289,3 +289,30 @@ def test_first_and_nth_with_peers(ev):
     reach = ev.withColumn("n", F.count("*").over(Window.partitionBy("user_id").orderBy("event_type")))
     want = reach.select("event_id", F.first("value").over(w).alias("f"), F.when(F.col("n") >= 5, F.nth_value("event_id", 5).over(w)).alias("t"))
     assert rows(got, "event_id", "f", "t") == rows(want)
+
+
+def test_choice_of_matches_walks_over_sorted_rows(spark):
+    """Many short slices, keys with nulls, batches that part them; no call of Python for each slice or key."""
+    import random
+
+    from millrace.operators import patterns as P
+    rng, rows, want = random.Random(11), [], set()
+    for key in (None, "a", "b", "c"):
+        allowed, at = 0, 0
+        for _ in range(60):
+            at += rng.randint(1, 3)
+            go = at + rng.randint(1, 9)
+            rows.append((key, at, go, at // 7, key != "c"))
+            if at >= allowed:
+                want.add((key, at))
+                allowed = go
+    rng.shuffle(rows)
+    spans = spark.createDataFrame([(k, a, g, s if h else 0, h) for k, a, g, s, h in rows], "k string, _at long, _resume long, _slice long, _hot boolean")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        picked = P.choose_matches(spans, spans.where("_hot"), ["k"])
+        assert sorted(map(tuple, picked.collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroupsInPandas" not in picked._jdf.queryExecution().executedPlan().toString()
