@@ -130,14 +130,18 @@ def _split(texts: DataFrame, by: Sequence[str], labels: Labels, overlapping: boo
     return rows.where("length(_path) > 0").drop("_i", "_rest")
 
 
-def resume(skip: str, letter: str | None) -> Column:
+def resume(skip: str, letter: str | None, at: Column, path: Column) -> Column:
     """Where the search goes on after a match; a target at its start must still advance."""
     if skip == "next":
-        return F.col("_at") + 1
+        return at + 1
     if skip == "past":
-        return F.col("_at") + F.length("_path")
-    place = F.instr("_path", letter) - 1 if skip == "first" else F.length("_path") - F.instr(F.reverse("_path"), letter)
-    return F.col("_at") + F.when(F.instr("_path", letter) == 0, F.length("_path")).otherwise(F.greatest(place, F.lit(1)))
+        return at + F.length(path)
+    place = F.instr(path, letter) - 1 if skip == "first" else F.length(path) - F.instr(F.reverse(path), letter)
+    return at + F.when(F.instr(path, letter) == 0, F.length(path)).otherwise(F.greatest(place, F.lit(1)))
+
+
+def _gathered(rows: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_spans"))
 
 
 def extents(rows: DataFrame, by: Sequence[str], labels: Labels, within: str | None, skip: str, skip_to: str | None) -> DataFrame:
@@ -153,20 +157,29 @@ def extents(rows: DataFrame, by: Sequence[str], labels: Labels, within: str | No
         if skip == "past":  # where the whole key lies within the limit, matches follow one another in the text
             direct = _split(texts.where(span < limit).drop("_rows"), by, labels, False)
             texts = texts.where(span >= limit)
-        found = _split(texts.withColumn("_text", F.col("text")), by, labels, True)
+        # Matches go back to the one row of their key, so that its rows are there once and not beside each match.
+        found = _gathered(_split(texts.drop("_rows"), by, labels, True), by, "_at", "_path")
+        found = found.select(*[F.col(k).alias("_g_" + k) for k in by], "_spans")
+        found = texts.join(found, sl.same_keys(texts, found, by, "_g_")).select(*[texts[k] for k in by], "_rows", "text", "_spans")
         row = lambda at: F.get("_rows", (at - 1).cast("int"))
-        fits = row(F.col("_at") + F.length("_path") - 1)["_us"] - row(F.col("_at"))["_us"] < limit
-        near = F.substring("_text", F.col("_at").cast("int"), row(F.col("_at"))["_near"].cast("int"))
-        shorter = labels.path([F.regexp_extract(near, "^" + labels.groups(), j + 1) for j in range(len(labels.parts))])
-        found = found.withColumn("_path", F.when(fits, F.col("_path")).otherwise(shorter)).where("length(_path) > 0").select(*by, "_at", "_path")
+
+        def fit(m: Column) -> Column:
+            at, path = m["_at"], m["_path"]
+            fits = row(at + F.length(path) - 1)["_us"] - row(at)["_us"] < limit
+            near = F.substring("text", at.cast("int"), row(at)["_near"].cast("int"))
+            shorter = labels.path([F.regexp_extract(near, "^" + labels.groups(), j + 1) for j in range(len(labels.parts))])
+            return F.struct(at.alias("_at"), F.when(fits, path).otherwise(shorter).alias("_path"))
+
+        spans = found.select(*by, F.filter(F.transform("_spans", fit), lambda m: F.length(m["_path"]) > 0).alias("_spans"))
+    else:
+        spans = _gathered(_split(texts.drop("_rows"), by, labels, True), by, "_at", "_path")
+    if skip == "next":
+        found = spans.select(*by, F.explode("_spans").alias("_s")).select(*by, "_s._at", "_s._path")
     else:
-        found = _split(texts.drop("_rows"), by, labels, True).select(*by, "_at", "_path")
-    if skip != "next":
-        spans = found.withColumn("_go", resume(skip, labels.letters.get(skip_to or ""))).groupBy(*by).agg(
-            F.sort_array(F.collect_list(F.struct("_at", "_go", "_path"))).alias("_spans"))
+        go = lambda m: resume(skip, labels.letters.get(skip_to or ""), m["_at"], m["_path"]).cast("bigint")
         kind = spans.schema["_spans"].dataType
         chosen = F.aggregate("_spans", F.struct(F.lit(0).cast("bigint").alias("go"), F.array().cast(kind).alias("kept")),
-                             lambda acc, s: F.when(s["_at"] >= acc["go"], F.struct(s["_go"].cast("bigint").alias("go"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc))
+                             lambda acc, m: F.when(m["_at"] >= acc["go"], F.struct(go(m).alias("go"), F.concat(acc["kept"], F.array(m)).alias("kept"))).otherwise(acc))
         found = spans.select(*by, F.explode(chosen["kept"]).alias("_s")).select(*by, "_s._at", "_s._path")
         if within and skip == "past":
             found = found.unionByName(direct.select(*by, "_at", "_path"))

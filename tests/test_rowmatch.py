@@ -143,3 +143,18 @@ def test_followed_by_times_and_until_with_equal_times(ev, hot, times, until, neg
         assert rows(got, "event_id") == sorted(missed, key=repr)
     else:
         assert rows(got, "event_id", "next_event_id") == sorted(want, key=repr) and len(want) > 4
+
+
+def test_rows_of_a_key_do_not_stand_beside_each_match(spark, events):
+    """Pieces of a key's text are sorted without the key's rows, which would take memory with the square of its length."""
+    from millrace.operators import rowmatch
+    labels = rowmatch.Labels(rowmatch.factors("A B C"))
+    base = rowmatch.numbered(events, ["user_id"], "ts", (), labels, {"A": "value > 5", "C": "value > 20"}, "1 day")
+    found = rowmatch.extents(base, ["user_id"], labels, "1 day", "past", None)
+
+    def below(node):
+        children = node.children()
+        return [node, *(x for k in range(children.size()) for x in below(children.apply(k)))]
+
+    windows = [n for n in below(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    assert windows and all("_rows" not in n.output().mkString(",") for n in windows)
