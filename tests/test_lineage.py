@@ -41,3 +41,18 @@ def test_long_chain_in_few_rounds(spark, monkeypatch):
 
 def test_empty_graph(spark):
     assert lineage.cyclic_core(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_estimates_stay_in_proportion(spark):
+    """A join's estimate is the product of its sides; handed on from step to step, its digits doubled until planning took longer than the work."""
+    from millrace.session import plan_bytes
+    chain = spark.createDataFrame([(k, k + 1) for k in range(300)], "src long, dst long")
+    assert plan_bytes(lineage.chain_ends(chain)) < 1_000_000
+
+
+def test_cycles_where_every_node_has_several_ways(spark):
+    """No chain to merge and no node without a way on; cycles of odd length; edges from and to null belong to no cycle."""
+    full = [(a, b) for a in range(5) for b in range(5) if a != b]
+    odd = [(100 + k, 100 + (k + 1) % 7) for k in range(7)] + [(k, 100) for k in range(90, 93)]
+    graph = full + odd + [(None, 3), (3, None), (103, 200)]
+    assert rows(lineage.cyclic_core(spark.createDataFrame(graph, "src long, dst long"))) == sorted(full + odd[:7], key=repr)
