@@ -187,3 +187,18 @@ def test_tables_take_appends_and_merges(spark, events, folder, tmp_path, monkeyp
     sinks.write_table(events, "shop.items", ["event_id", "user_id"])
     assert said == ["MERGE INTO shop.items t USING _merge_shop_items s ON t.event_id <=> s.event_id AND t.user_id <=> s.user_id "
                     "WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *"]
+
+
+def test_keys_share_the_groups_of_the_state(spark, events, folder, tmp_path):
+    """A group costs Spark as much as thousands of rows, so groups and their timers stay few however many keys there are; keys of zero are one key."""
+    many = stream(spark, events, folder).withColumn("k", F.when(F.col("event_id") % 7 == 0, F.when(F.col("event_id") % 2 == 0, -0.0).otherwise(0.0))
+                                                   .otherwise(F.col("event_id").cast("double")))
+    out = state.lag(many, ["k"], "ts", {"prev": ("event_id", 1)})
+    q = (out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "o")))
+    q.awaitTermination()
+    assert max(o.customMetrics["numRegisteredTimers"] for p in q.recentProgress for o in p.stateOperators) <= state.GROUPS
+    got = {r.event_id: r.prev for r in spark.read.schema(out.schema).parquet(str(tmp_path / "o")).collect()}
+    limit = events.agg(F.max("ts") - F.expr("INTERVAL 1 HOUR")).first()[0]
+    done = [r.event_id for r in events.where(F.col("ts") <= F.lit(limit)).orderBy("ts").collect()]
+    zeros = [e for e in done if e % 7 == 0]
+    assert got == {**dict.fromkeys(done), **dict(zip(zeros[1:], zeros))}
