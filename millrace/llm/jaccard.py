@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.common import map_documents, written
+from millrace.llm.common import lean, map_documents, written
 
 SKETCH_BITS = 20
 SLICE = 4096
@@ -75,6 +75,7 @@ def sets(batches, size: int):
 def members(docs: DataFrame, carry, text: str, size: int) -> DataFrame:
     """``doc`` (the carried columns), ``node`` (null without words) and ``n_shingles`` of each row."""
     def make():
+        lean()
         shingler = Shingler(size)
 
         def work(texts):
@@ -94,6 +95,7 @@ def sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
     buckets = 1 << SKETCH_BITS
 
     def count(batches):
+        lean()
         total, met = np.zeros(buckets, np.uint32), 0
         for own in sets(batches, size):
             at, n = np.unique(own & np.uint64(buckets - 1), return_counts=True)
@@ -174,6 +176,7 @@ def entries(docs: DataFrame, text: str, counts: np.ndarray, size: int, percent:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def enter(batches):
+        lean()
         prefix, seen = Prefix(sent.value, percent), set()
         nodes, info, gathered, waiting, rows = [], [], [], 0, []
 
@@ -329,6 +332,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: Dat
     known = docs.sparkSession.sparkContext.broadcast(bloom.astype("<i8").tobytes())
 
     def build(batches):
+        lean()
         table, shingler = np.frombuffer(known.value, np.uint8), Shingler(size)
         seen: set[int] = set()
         for batch in batches:

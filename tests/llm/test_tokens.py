@@ -114,3 +114,15 @@ def test_packer_prefers_whole_documents():
     packer.pack()
     packer.finish()
     assert sorted({(x[3], x[5]) for x in packer.out}) == [(0, 2048), (1, 1024), (2, 1024)] and len(packer.out) == 6
+
+
+def test_a_worker_gives_back_what_another_operator_kept():
+    """Words that an encoder keeps for its worker's next tasks go when tasks of an operator without tokens begin; ids stay the same."""
+    from millrace.llm.common import lean
+    from millrace.llm.tokens import WordEncoder, tokenizer_path
+    encoder = WordEncoder.shared(tokenizer_path())
+    before = encoder.encode([b"some words, and more words"])
+    assert encoder.words and encoder.kept
+    lean()
+    assert not encoder.words and not encoder.kept
+    assert encoder.encode([b"some words, and more words"]) == before
