@@ -131,3 +131,39 @@ def test_table_function_makes_no_arrow_table_for_each_row(spark):
     assert got.count() == 5000
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+
+
+def rows_to_meet(spark, got):
+    """Rows of both sides at the join."""
+    join = got._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().apply(0)
+    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
+    return [DataFrame(dataset.ofRows(spark._jsparkSession, join.children().apply(i)), spark).count() for i in (0, 1)]
+
+
+def test_widths_of_few_bands_copy_no_rows_of_a_band_join(spark):
+    """Bands cut short by the last value, and one over all values: each of their widths was a copy of the 4,000 rows."""
+    left = spark.range(4000).select(F.col("id").alias("x"), (F.col("id") / 10).alias("v"))
+    right = spark.range(4100).select(F.col("id").alias("b"), (F.col("id") / 10 - 1.97).alias("low"), (F.col("id") / 10 + 2.03).alias("high"))
+    right = right.unionByName(spark.createDataFrame([(-1, -1e9, 1e9), (-2, 7.0, 7.0)], "b long, low double, high double"))
+    got = joins.band_join(left, right, "v", "low", "high", parts=16)
+    assert rows(got, "x", "b") == rows(left.join(right, (left.v >= right.low) & (left.v <= right.high)), "x", "b")
+    a, b = rows_to_meet(spark, got)
+    assert a == 4000 and b < 4 * 4102
+
+
+@pytest.mark.parametrize("bands, want", [
+    ({}, {}), ({-3: 1, 0: 2, 2: 50_000}, {-3: 2, 0: 2, 2: 2}), ({2: 50_000, 6: 3, 30: 1}, {2: 2, 6: 2, 30: 30}),
+    ({-8: 900_000, 6: 900_000}, {-8: -8, 6: 6}), ({5: 10}, {5: 5})])
+def test_levels_of_a_band_join(bands, want):
+    """A level with many bands stays, one with few goes to the nearest in use, unless it is too far below."""
+    assert joins._filed(bands, 1_000_000, [float(x) for x in range(0, 100_001, 1000)]) == want
+
+
+def test_levels_of_a_band_join_heed_where_the_rows_are():
+    """Nearly all rows lie in a thousandth of the span: there, wider cells would hold a tenth of them."""
+    spread, dense = [x * 1000.0 for x in range(101)], [x / 10 for x in range(100)] + [100_000.0]
+    bands = {-5: 2000, 0: 50_000}
+    assert joins._filed(bands, 1_000_000, spread) == {-5: 0, 0: 0}
+    assert joins._filed(bands, 1_000_000, dense) == {-5: -5, 0: 0}
